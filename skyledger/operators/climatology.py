@@ -78,8 +78,9 @@ def monthly_indices(indices: DataFrame) -> DataFrame:
     names = [c for c in INDICES if c in indices.columns]
     monthly = indices.groupBy(F.last_day(DAY).alias("month_end")).agg(*[F.avg(c).alias(c) for c in names])
     first, last = F.trunc(F.min("month_end"), "month"), F.trunc(F.max("month_end"), "month")
-    spine = monthly.agg(F.sequence(first, last, F.expr("interval 1 month")).alias("_m"))
-    return spine.select(F.last_day(F.explode("_m")).alias("month_end")).join(monthly, "month_end", "left")
+    months = F.sequence(first, last, F.expr("interval 1 month"))
+    spine = monthly.agg(F.transform(months, F.last_day).alias("_m")).select(F.explode("_m").alias("month_end"))
+    return spine.join(monthly, "month_end", "left")
 
 
 def seasonal_climatology(df: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def completeness_check(df: DataFrame, required: list[str]) -> DataFrame:
         (F.count_if(F.col(c).isNull()) if c in df.columns else F.count(F.lit(1))).alias(c) for c in required
     ]
     wide = df.agg(*counts)
-    return wide.unpivot([], required, "column", "nulls")
+    return wide.unpivot([], required, "name", "nulls")
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:

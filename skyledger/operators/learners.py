@@ -5,7 +5,7 @@ from pyspark.ml.classification import (
     LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -63,13 +63,10 @@ def fusion_classifier(df: DataFrame, inputs: list[str], label: str, iterations:
     return PipelineModel([assemble, net.fit(rows)])
 
 
-def window_vector(df: DataFrame, columns: list[str] = SEQUENCE, length: int = 30) -> DataFrame:
+def window_vector(df: DataFrame, columns: list[str] = SEQUENCE) -> DataFrame:
     """The row's sequence of steps flattened into one feature vector."""
     flat = F.flatten(F.transform("sequence", lambda s: F.array(*[s[c] for c in columns])))
-    wide = df.withColumn("_flat", flat)
-    names = [f"_w{i}" for i in range(length * len(columns))]
-    wide = wide.select("*", *[F.col("_flat")[i].alias(n) for i, n in enumerate(names)])
-    return assembler(names, "window").transform(wide).drop("_flat", *names)
+    return df.withColumn("window", array_to_vector(flat))
 
 
 def next_day_temperature(windows: DataFrame, regularisation: float = 1e-3):

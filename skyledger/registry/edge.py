@@ -33,11 +33,12 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
 def shape_sql(sql: str, spec: str) -> str:
     columns = []
     for name, kind in fields(spec):
+        quoted = f'"{name}"'
         if kind == "f":
-            value = f"ROUND(CAST({name} AS DOUBLE) + CAST({NUDGE:.7f} AS DOUBLE), 4)"
-            columns.append(f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS {name}")
+            value = f"ROUND(CAST({quoted} AS DOUBLE) + CAST({NUDGE:.7f} AS DOUBLE), 4)"
+            columns.append(f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS {quoted}")
         else:
-            columns.append(f"CAST({name} AS {SQL_KINDS[kind]}) AS {name}")
+            columns.append(f"CAST({quoted} AS {SQL_KINDS[kind]}) AS {quoted}")
     head, body = split_with(sql)
     return f"{head}SELECT {', '.join(columns)} FROM (\n{body}\n) AS result"
 
