@@ -43,18 +43,21 @@ def with_neighbours(df: DataFrame, before: int, after: int = 0, keys=(STATION,),
         raise ValueError("after may not exceed max(before, 1)")
     home = df.repartition(*keys, CHUNK)
     place = chunk_window(keys, order)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK))
+    # A row is among the last (first) rows of its chunk when none lies that far behind (ahead of) it.
     ends = (
-        home.withColumn("_up", F.row_number().over(place))
-        .withColumn("_down", size - F.col("_up") + 1)
-        .filter((F.col("_down") <= max(before, 1)) | (F.col("_up") <= max(after, 1)))
+        home.withColumn("_tail", F.lead(F.lit(1), max(before, 1)).over(place).isNull())
+        .withColumn("_head", F.lag(F.lit(1), max(after, 1)).over(place).isNull())
+        .filter(F.col("_tail") | F.col("_head"))
     )
     along = Window.partitionBy(*keys).orderBy(*order)
     own, none = F.col(CHUNK), F.array().cast("array<int>")
     furthest = F.max(CHUNK).over(along.rowsBetween(1, max(before, 1)))
     nearest = F.min(CHUNK).over(along.rowsBetween(-max(after, 1), -1))
-    later = F.when((F.col("_down") <= before) & (furthest > own), F.sequence(own + 1, furthest)).otherwise(none)
-    earlier = F.when((F.col("_up") <= after) & (nearest < own), F.sequence(nearest, own - 1)).otherwise(none)
+    later, earlier = none, none
+    if before:
+        later = F.when(F.col("_tail") & (furthest > own), F.sequence(own + 1, furthest)).otherwise(none)
+    if after:
+        earlier = F.when(F.col("_head") & (nearest < own), F.sequence(nearest, own - 1)).otherwise(none)
     copies = (
         ends.withColumn("_targets", F.concat(later, earlier))
         .withColumn(CHUNK, F.explode("_targets"))

@@ -1,11 +1,12 @@
 """Aggregates behind the dashboards and the evidence report."""
 
-from itertools import combinations_with_replacement
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skyledger.functions.columns import fahrenheit_to_celsius
 from skyledger.operators.chunks import attach, with_chunk, chunk_bounds
+from skyledger.operators.lineage import settle
 from skyledger.operators.ranks import quantiles
 from skyledger.schema import BASINS, DAY, INDICES, STATION
 
@@ -122,15 +123,20 @@ def station_profile(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair over the rows where both are known, in one aggregation."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    both = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    wide = df.agg(*both)
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs
-    ])).alias("p")).select("p.*")
-    mirrored = long.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
-    return long.unionByName(mirrored)
+    """Pearson correlation of every pair over the rows where both are known.
+
+    The rows are written once and aggregated once per column against the columns after it: a single
+    aggregation of all pairs generates methods too large to be compiled.
+    """
+    rows = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlated")
+    parts = []
+    for i, x in enumerate(columns):
+        wide = rows.agg(*[F.corr(x, y).alias(y) for y in columns[i:]])
+        parts.append(wide.unpivot([], columns[i:], "y", "corr").select(F.lit(x).alias("x"), "y", "corr"))
+    found = reduce(lambda a, b: a.unionByName(b), parts)
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    sides = F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both)
+    return found.select(F.explode(sides).alias("p"), "corr").select("p.x", "p.y", "corr")
 
 
 def hazard_shares(df: DataFrame) -> DataFrame:

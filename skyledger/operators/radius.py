@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyledger.functions.geo import Grid, haversine_km
 from skyledger.operators.chunks import join_by_station
+from skyledger.operators.lineage import settle
 from skyledger.schema import DAY, STATION
 
 SALTS = 16
@@ -70,7 +71,8 @@ def repair_gaps(
     ).select(DAY, "lat", "lon", "_d.donor", "_d.value")
     found = None
     for ring in rings:
-        hits = nearest_donor(open_gaps, donors, max_km * ring)
+        # Written once: the next ring and the result both start from it.
+        hits = settle(nearest_donor(open_gaps, donors, max_km * ring), "ring")
         found = hits if found is None else found.unionByName(hits)
         open_gaps = open_gaps.join(hits, [STATION, DAY], "left_anti")
     fills = found.select(STATION, DAY, F.col("value").alias("_value"), F.col("km").alias("_km"))

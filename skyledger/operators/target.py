@@ -8,7 +8,7 @@ from skyledger.functions.hazards import (
 )
 from skyledger.operators.chunks import CHUNK, attach, chunk_bounds
 from skyledger.operators.ranks import interpolate, order_statistics, quantiles
-from skyledger.operators.rolling import Frame, panel_windows, rain, rolling
+from skyledger.operators.rolling import Frame, rain, rolling
 from skyledger.schema import STATION
 
 LIMITS = ["t95", "t05", "drought75", "flood90", "wind90"]
@@ -90,10 +90,8 @@ def with_target(df: DataFrame) -> DataFrame:
     )
 
 
-def hazard_days(filled: DataFrame) -> DataFrame:
+def hazard_days(state: DataFrame) -> DataFrame:
     """Share of hazardous days and of next-day targets per station."""
-    windows = panel_windows(filled)
-    state = hazard_state(windows, station_thresholds(windows))
     return state.groupBy(STATION).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("CURRENT_RISK").cast("long").alias("hazard_days"),
@@ -101,4 +99,3 @@ def hazard_days(filled: DataFrame) -> DataFrame:
         F.avg("RISK_ENGINEERED").alias("next_day_rate"),
         F.max("DROUGHT_IDX").alias("worst_drought"),
     )
-

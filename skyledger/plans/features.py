@@ -5,20 +5,28 @@ from pyspark.sql import DataFrame, functions as F
 from skyledger.operators.cleaning import fill_defaults, final_zero_fill
 from skyledger.operators.lineage import settle
 from skyledger.operators.rolling import panel_windows
-from skyledger.operators.target import hazard_state, station_thresholds, with_target
+from skyledger.operators.target import hazard_days, hazard_state, station_thresholds, with_target
 from skyledger.schema import FEATURES
 
 
-def feature_panel(assembled: DataFrame, keep_open: bool = False) -> DataFrame:
-    """36 features, ``RISK_ENGINEERED`` and ``RISK`` per station-day.
+def hazard_panel(assembled: DataFrame) -> DataFrame:
+    """Window features, indices, flags and the next row's hazard state.
 
-    The assembled panel and its windows are written once each: the two branches of the window stage,
-    the thresholds and the final join then read files instead of running the joins above twice, and
-    the thresholds' true size decides whether they are broadcast. ``keep_open`` keeps the rows without a target.
+    The assembled panel and its windows are written once each: the branches of the window stage, the
+    thresholds and the final join then read files instead of running the joins above again, and the
+    thresholds' true size decides whether they are broadcast.
     """
-    panel = settle(fill_defaults(assembled), "panel")
-    windows = settle(panel_windows(panel), "windows")
-    thresholds = settle(station_thresholds(windows), "thresholds")
-    panel = with_target(hazard_state(windows, thresholds))
+    windows = settle(panel_windows(settle(fill_defaults(assembled), "panel")), "windows")
+    return hazard_state(windows, settle(station_thresholds(windows), "thresholds"))
+
+
+def feature_panel(assembled: DataFrame, keep_open: bool = False) -> DataFrame:
+    """36 features, ``RISK_ENGINEERED`` and ``RISK`` per station-day; ``keep_open`` keeps rows without a target."""
+    panel = with_target(hazard_panel(assembled))
     panel = panel.withColumns({c: F.col(c).cast("double") for c in FEATURES})
     return panel.fillna(0, subset=FEATURES) if keep_open else final_zero_fill(panel)
+
+
+def hazard_rates(assembled: DataFrame) -> DataFrame:
+    """Share of hazardous days and of next-day targets per station."""
+    return hazard_days(hazard_panel(assembled))

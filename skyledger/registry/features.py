@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from skyledger.operators import rolling as R
 from skyledger.operators.cleaning import derive_tavg, fill_defaults
 from skyledger.operators.chunks import CHUNK, with_chunk
-from skyledger.operators.target import drought_index, hazard_days, station_quantiles
+from skyledger.operators.target import drought_index, station_quantiles
 from skyledger.plans.assemble import assemble
-from skyledger.plans.features import feature_panel
+from skyledger.plans.features import feature_panel, hazard_panel, hazard_rates
 from skyledger.registry.entries import query
 from skyledger.registry.panel_sql import SOURCES, back, upto
 from skyledger.registry.proxies import Tables, over
@@ -67,7 +67,7 @@ def _feature_panel(t):
     ),
 )
 def _hazard_days(t):
-    return hazard_days(fill_defaults(assembled(t)))
+    return hazard_rates(assembled(t))
 
 
 @query(
@@ -190,7 +190,6 @@ def _next_day(t):
     over(SOURCES, "SELECT station, d, risk_engineered, risk FROM target WHERE risk IS NOT NULL", **upto("target")),
 )
 def _hybrid(t):
-    from skyledger.operators.target import hazard_state, station_thresholds, with_target
+    from skyledger.operators.target import with_target
 
-    windows = R.panel_windows(fill_defaults(assembled(t)))
-    return with_target(hazard_state(windows, station_thresholds(windows))).dropna(subset=["RISK"])
+    return with_target(hazard_panel(assembled(t))).dropna(subset=["RISK"])

@@ -52,13 +52,17 @@ class Tables:
     @archived
     def obs(self) -> DataFrame:
         lines = self.read("lineitem")
-        return lines.groupBy(
-            self.station_id(F.col("l_suppkey")).alias(STATION), F.to_date("l_shipdate").alias(DAY)
-        ).agg(
+        daily = lines.groupBy("l_suppkey", F.to_date("l_shipdate").alias(DAY)).agg(
             F.when(F.max("l_orderkey") % 29 != 0, F.max("l_quantity")).alias("TMAX"),
             (F.min("l_quantity") - 15 - F.min("l_linenumber") % 7).alias("TMIN"),
             F.when(F.max("l_orderkey") % 17 != 0, F.sum(F.round(F.col("l_tax") * 100).cast("int")) / 2.0).alias("PRCP"),
         )
+        return self.by_station(daily)
+
+    def by_station(self, daily: DataFrame) -> DataFrame:
+        """Station ids only after the aggregation, which then hashes numbers."""
+        rest = [c for c in daily.columns if c != "l_suppkey"]
+        return daily.select(self.station_id(F.col("l_suppkey")).alias(STATION), *rest)
 
     def stations(self) -> DataFrame:
         key = F.col("s_suppkey")
@@ -78,9 +82,8 @@ class Tables:
     @archived
     def atmosphere(self) -> DataFrame:
         price = self._price()
-        return self.read("lineitem").filter(F.col("l_suppkey") % 11 != 0).groupBy(
-            self.station_id(F.col("l_suppkey")).alias(STATION),
-            F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") % 3).alias(DAY),
+        daily = self.read("lineitem").filter(F.col("l_suppkey") % 11 != 0).groupBy(
+            "l_suppkey", F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") % 3).alias(DAY)
         ).agg(
             F.max(F.when(price % 13 != 0, price % 90)).cast("double").alias("DEWPOINT_F"),
             F.max(price % 40).cast("double").alias("WINDSPEED_MPH"),
@@ -89,17 +92,18 @@ class Tables:
             F.max(price % 2).cast("double").alias("ATMOSPHERE_IMPUTED"),
             F.max(price % 2 * (price % 64)).cast("double").alias("ATMOSPHERE_DONOR_KM"),
         )
+        return self.by_station(daily)
 
     @archived
     def soil(self) -> DataFrame:
         price = self._price()
-        return self.read("lineitem").filter(F.col("l_suppkey") % 7 != 0).groupBy(
-            self.station_id(F.col("l_suppkey")).alias(STATION),
-            F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") % 2).alias(DAY),
+        daily = self.read("lineitem").filter(F.col("l_suppkey") % 7 != 0).groupBy(
+            "l_suppkey", F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") % 2).alias(DAY)
         ).agg(
             (F.max(F.when(price % 5 != 0, price % 60)) / 128.0).alias("SOIL_MOISTURE_VOL"),
             F.max(F.when(price % 5 != 0, price % 101)).cast("double").alias("SATURATION_PCT"),
         )
+        return self.by_station(daily)
 
     @archived
     def indices(self) -> DataFrame:
