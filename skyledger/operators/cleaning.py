@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from skyledger.functions.columns import column_or_null, numeric
-from skyledger.operators.chunks import CHUNK, attach, with_chunk, chunk_bounds
+from skyledger.functions.columns import column_or_null, fahrenheit_to_celsius, kmh_to_mph, mph_to_kmh, numeric
+from skyledger.operators.chunks import CHUNK, attach, chunk_bounds, join_by_station, with_chunk
 from skyledger.schema import (
     ALIASES, ARCHIVE_SOURCE, CONSTANT_FILLS, DAY, DEWPOINT_GAP_F, FEATURES, LATEST_SUFFIX, RAW_COLUMNS,
     RECORD_YEARS, SOIL, STATION,
@@ -83,8 +83,6 @@ def fill_defaults(df: DataFrame) -> DataFrame:
 
 def units(df: DataFrame) -> DataFrame:
     """Dew point in Celsius and wind in km/h next to the source units, and wind back in mph."""
-    from skyledger.functions.columns import fahrenheit_to_celsius, kmh_to_mph, mph_to_kmh
-
     kmh = mph_to_kmh(F.col("WINDSPEED_MPH"))
     return df.withColumns({
         "DEWPOINT_C": fahrenheit_to_celsius(F.col("DEWPOINT_F")),
@@ -159,7 +157,7 @@ def require_stations(panel: DataFrame, requested: DataFrame) -> DataFrame:
     if absent:
         raise MissingStation(f"no prepared data for {', '.join(absent)}")
     wanted = requested.select(F.upper(STATION).alias(STATION)).distinct()
-    return panel.join(wanted, STATION, "left_semi")
+    return join_by_station(panel, wanted, "left_semi")
 
 
 CORE = ["TMAX", "TMIN", "PRCP", "DEWPOINT_F", "WINDSPEED_MPH", "PRESSURE_HPA", "HUMIDITY_PCT"]

@@ -2,10 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from skyledger.functions.columns import fahrenheit_to_celsius
-from skyledger.operators.chunks import attach, with_chunk, chunk_bounds
+from skyledger.operators.chunks import attach, chunk_bounds, with_chunk
 from skyledger.operators.lineage import settle
 from skyledger.operators.ranks import quantiles
 from skyledger.schema import BASINS, DAY, INDICES, STATION

@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from skyledger.functions.columns import fahrenheit_to_celsius, row_mean
+from skyledger.functions.columns import display_name, fahrenheit_to_celsius, row_mean
 from skyledger.functions.hazards import ocean_basin
-from skyledger.operators.chunks import CHUNK, attach, carry, with_chunk, chunk_bounds
+from skyledger.operators.chunks import CHUNK, attach, carry, chunk_bounds, join_by_station, with_chunk
 from skyledger.operators.cleaning import soil_observed
 from skyledger.operators.ranks import quantiles
 from skyledger.schema import (
@@ -51,8 +51,6 @@ def station_catalog(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def default_catalog(spark, code: str = "SEATTLE") -> DataFrame:
     """The single row used when no catalog exists."""
-    from skyledger.functions.columns import display_name
-
     row = spark.range(1).select(F.lit(code).alias("station_id"))
     fills = [F.lit(v).alias(k) for k, v in CATALOG_FILL.items()]
     return row.select("station_id", display_name(F.col("station_id")).alias("name"), *fills)
@@ -61,7 +59,7 @@ def default_catalog(spark, code: str = "SEATTLE") -> DataFrame:
 def prefer_repaired(repaired: DataFrame, raw: DataFrame) -> DataFrame:
     """All rows of a station come from the repaired source if it has any there, else from the raw one."""
     fixed = repaired.select(STATION).distinct()
-    return repaired.unionByName(raw.join(fixed, STATION, "left_anti"), allowMissingColumns=True)
+    return repaired.unionByName(join_by_station(raw, fixed, "left_anti"), allowMissingColumns=True)
 
 
 def join_atmosphere(df: DataFrame, atmosphere: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from skyledger.functions.columns import flag
 from skyledger.functions.hazards import clamp_pct, risk_tier
 from skyledger.operators.rolling import rolling
 from skyledger.operators.splits import MinMax, with_class_weights
-from skyledger.schema import FEATURES, SEQUENCE, STATION
+from skyledger.schema import FEATURES, SEQUENCE
 
 SCALED = "_z_"
 UNTRAINED_IMPORTANCE = 0.1

@@ -45,7 +45,7 @@ def running_levels(
 
 
 def order_statistics(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple], width: float = 0.25, bounds: str | None = None
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple], width: float = 0.05, bounds: str | None = None
 ) -> DataFrame:
     """Per key and name: the two order statistics around a probability and the step between them.
 
@@ -86,7 +86,7 @@ def interpolate(name: str) -> Column:
     return lo + (hi - lo) * at
 
 
-def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], width: float = 0.25) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], width: float = 0.05) -> DataFrame:
     """Exact, linearly interpolated quantiles per key."""
     stats = order_statistics(df, keys, wanted, width)
     return stats.select(*keys, *[interpolate(n).alias(n) for n in wanted])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.functions.columns import floor_at
 from skyledger.functions.hazards import flood_risk, wind_risk
-from skyledger.operators.chunks import COPY, CHUNK, carry, chunk_window, over_rows, with_chunk, with_neighbours
+from skyledger.operators.chunks import CHUNK, COPY, carry, chunk_window, over_rows, with_chunk, with_neighbours
 from skyledger.operators.ranks import percent_rank
 from skyledger.schema import DAY, SEQUENCE, SST_FILL_C, STATION
 

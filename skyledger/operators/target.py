@@ -26,7 +26,7 @@ def drought_index(df: DataFrame) -> DataFrame:
     return placed.withColumn("DROUGHT_IDX", drought(F.col("_mean"), F.col("_M"))).drop("_mean", "_M", CHUNK)
 
 
-def station_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], width: float = 0.25) -> DataFrame:
+def station_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], width: float = 0.05) -> DataFrame:
     return quantiles(df, [STATION], wanted, width)
 
 
@@ -46,7 +46,7 @@ def station_thresholds(windows: DataFrame) -> DataFrame:
             "wind90": ("WIND_RISK_IDX", 0.90),
             "dry": ("_M", 0.75, "descending"),
         },
-        width=0.5,
+        width=0.05,
         bounds=CHUNK,
     )
     mean = F.col("_sum__M") / F.col("_n__M")

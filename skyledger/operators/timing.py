@@ -44,16 +44,19 @@ def label_chips(
     )
 
 
+def reported(labels: DataFrame) -> DataFrame:
+    """Station-days with an event, once each: repeats are dropped before they are shuffled."""
+    return labels.filter(F.col("EVENT_LABEL") == 1).select(STATION, DAY).distinct()
+
+
 def event_dates(calendar: DataFrame, labels: DataFrame) -> DataFrame:
     """Station-days of the calendar with a reported event."""
-    hits = labels.filter(F.col("EVENT_LABEL") == 1)
-    return calendar.join(hits, [STATION, DAY], "left_semi")
+    return calendar.join(reported(labels), [STATION, DAY], "left_semi")
 
 
 def quiet_dates(calendar: DataFrame, labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` station-days without an event, in a repeatable pseudo-random order."""
-    hits = labels.filter(F.col("EVENT_LABEL") == 1)
-    free = calendar.join(hits, [STATION, DAY], "left_anti")
+    free = calendar.join(reported(labels), [STATION, DAY], "left_anti")
     return free.orderBy(F.xxhash64(STATION, DAY, F.lit(seed)), STATION, DAY).limit(n)
 
 

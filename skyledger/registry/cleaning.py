@@ -8,7 +8,7 @@ from skyledger.operators import climatology as K
 from skyledger.operators.enrichment import prefer_repaired, station_catalog
 from skyledger.operators.picks import append_observation, pool_stations, since
 from skyledger.registry.entries import query
-from skyledger.registry.features import LIGHT_VIEWS, assembled, light, light_panel
+from skyledger.registry.features import assembled, light, light_panel
 from skyledger.registry.panel_sql import SOURCES, upto
 from skyledger.registry.proxies import over
 from skyledger.schema import BASINS, DAY, REQUIRED, STATION

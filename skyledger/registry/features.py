@@ -4,14 +4,13 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import rolling as R
 from skyledger.operators.cleaning import derive_tavg, fill_defaults
-from skyledger.operators.chunks import CHUNK, with_chunk
 from skyledger.operators.target import drought_index, station_quantiles
 from skyledger.plans.assemble import assemble
 from skyledger.plans.features import feature_panel, hazard_panel, hazard_rates
 from skyledger.registry.entries import query
 from skyledger.registry.panel_sql import SOURCES, back, upto
 from skyledger.registry.proxies import Tables, over
-from skyledger.schema import DAY, FEATURES, STATION
+from skyledger.schema import FEATURES, STATION
 
 
 def assembled(t: Tables):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.hazards import ocean_basin
 from skyledger.operators import enrichment as E
 from skyledger.operators import timing
+from skyledger.operators.chunks import join_by_station
 from skyledger.operators.cleaning import derive_tavg
 from skyledger.operators.radius import label_by_radius, repair_gaps
 from skyledger.operators.rolling import saturation_percentile
@@ -61,7 +62,7 @@ def _fill(t):
 
 def placed_obs(t):
     places = t.stations().select(F.col("station_id").alias(STATION), F.col("lat").alias("LATITUDE"), F.col("lon").alias("LONGITUDE"))
-    return t.obs().join(places, STATION, "left")
+    return join_by_station(t.obs(), places, "left")
 
 
 SEA = {
