@@ -10,6 +10,7 @@ from skyledger.operators import splits as S
 from skyledger.operators.cleaning import derive_tavg
 from skyledger.operators.climatology import split_manifest
 from skyledger.operators.enrichment import join_event_labels, label_coverage
+from skyledger.operators.lineage import settle
 from skyledger.operators.learners import contributions, persistence_forecast
 from skyledger.operators.picks import default_chip, sample_stations
 from skyledger.operators.recent import recent_features
@@ -240,7 +241,7 @@ def _tail(n: int, column: str, how: str) -> str:
     ),
 )
 def _recent(t):
-    history = t.obs().join(t.atmosphere(), [STATION, DAY], "left").join(t.soil(), [STATION, DAY], "left")
+    history = settle(t.obs().join(t.atmosphere(), [STATION, DAY], "left").join(t.soil(), [STATION, DAY], "left"), "history")
     now = t.obs().groupBy(STATION).agg(
         (F.max("TMAX") + 1).alias("T"), F.lit(10.0).alias("D"), F.lit(12 * 1.60934).alias("W"), F.max("PRCP").alias("P")
     )
