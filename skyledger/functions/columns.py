@@ -37,6 +37,14 @@ def row_mean(names: list[str]) -> Column:
     return F.try_divide(total, filled)
 
 
+def micros(column: Column, zoned: bool) -> Column:
+    """Microseconds on a common scale; zone-free timestamps never pass through the session's time zone."""
+    if zoned:
+        return F.unix_micros(column)
+    whole = F.unix_date(F.to_date(column)) * F.lit(86400).cast("long") + F.hour(column) * 3600 + F.minute(column) * 60
+    return whole * 1000000 + (F.extract(F.lit("SECOND"), column) * 1000000).cast("long")
+
+
 def fahrenheit_to_celsius(column: Column) -> Column:
     return (column - 32) * 5.0 / 9.0
 

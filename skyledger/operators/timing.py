@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.functions.columns import micros
 from skyledger.operators.chunks import CHUNK, with_sides
 from skyledger.schema import DAY, STATION
 
@@ -28,8 +29,10 @@ def label_chips(
     order = ["ts", "_kind"]
     both = with_sides(merged, ["_event"], order=order)
 
+    zoned = dict(chips.dtypes)["ts"] == "timestamp"
+
     def gap(later, earlier):
-        return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 3.6e9
+        return (micros(later, zoned) - micros(earlier, zoned)) / 3.6e9
 
     since, until = gap(F.col("ts"), F.col("_prev__event")), gap(F.col("_next__event"), F.col("ts"))
     nearest = F.least(since, until)

@@ -148,3 +148,17 @@ def test_chip_labels_match_brute_force(spark, before, after, ambiguous):
         else:
             want[i] = -1 if any(abs(g) <= ambiguous for g in gaps) else 0
     assert {r["chip_id"]: r["label"] for r in got} == want
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_chip_gap_ignores_the_session_zone(spark, kind):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = lambda text: f"CAST('{text}' AS {kind})"
+        zone = "" if kind == "timestamp_ntz" else "Z"
+        chips = spark.sql(f"SELECT 1 chip_id, 'A' City_ID, {at('2022-03-13 10:00:00.25' + zone)} ts")
+        events = spark.sql(f"SELECT 'A' City_ID, {at('2022-03-13 04:00:00.25' + zone)} ts")
+        got = label_chips(chips, events, 6, 6, 12).first()
+        assert (got["label"], got["gap_hours"]) == (1, 6.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
