@@ -118,8 +118,8 @@ def gumbel_top_k(rows: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def resample(
-    docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.75,
-    buckets: int = 1 << 15, target_rows: int = 20_000, length_power: float = 0.5, seed: int = 20,
+    docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.8,
+    buckets: int = 1 << 15, target_rows: int = 20_000, length_power: float = 0.0, seed: int = 20,
 ) -> DataFrame:
     """(id, n_grams, log_weight, key, selected) per row; ``target`` holds ids of the target text, in column ``key``.
 

@@ -149,7 +149,7 @@ def _reweighted(rows: DataFrame, now: DataFrame, ridge: float) -> DataFrame:
 
 def judge(
     docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source",
-    cutoff: float = 60.0, least: int = 50, steps: int = 4, share: float = 0.75, ridge: float = 0.1,
+    cutoff: float = 100.0, least: int = 50, steps: int = 4, share: float = 0.75, ridge: float = 0.1,
 ) -> DataFrame:
     """One row per document: id, the counts of ``statistics``, ``base_failed``, ``distance`` and ``kept``.
 
