@@ -189,6 +189,8 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "
     if remove == "documents":
         return found.filter(~F.col("contaminated")).select(docs.columns)
 
+    columns = docs.columns
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -206,7 +208,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "
                     pa.string(), part.docs, [None, pa.py_buffer(ends), pa.py_buffer(part.data[keep].tobytes())]))
             new = pa.chunked_array(bodies, pa.string()).combine_chunks()
             new = pc.if_else(pc.is_null(table[text].combine_chunks()), pa.scalar(None, pa.string()), new)
-            out = pa.table([new if n == text else table[n] for n in docs.columns], names=docs.columns)
+            out = pa.table([new if n == text else table[n] for n in columns], names=columns)
             yield from out.to_batches()
 
     return found.mapInArrow(cut, docs.schema)
