@@ -65,7 +65,7 @@ def non_negative_least_squares(matrix: np.ndarray, target: np.ndarray) -> np.nda
     n = matrix.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     gram_all, aim = matrix.T, matrix.T @ target
-    floor = 1e-9 * max(1.0, float(np.abs(aim).max(initial=0)))
+    floor = 1e-7 * max(1.0, float(np.abs(aim).max(initial=0)))
     for _ in range(4 * matrix.shape[0] + 8):
         slope = aim - gram_all @ (matrix[:, active] @ x[active])
         slope[active] = -np.inf
@@ -75,7 +75,8 @@ def non_negative_least_squares(matrix: np.ndarray, target: np.ndarray) -> np.nda
         active[j] = True
         while True:
             some = matrix[:, active]
-            trial = np.linalg.lstsq(some, target, rcond=None)[0]
+            # The ridge keeps columns that depend on each other solvable.
+            trial = np.linalg.solve(some.T @ some + 1e-10 * np.eye(some.shape[1]), some.T @ target)
             if (trial > 0).all():
                 x[:] = 0
                 x[active] = trial
