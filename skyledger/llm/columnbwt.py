@@ -22,53 +22,52 @@ from pyspark.sql import DataFrame
 
 from skyledger.llm.lzfactor import result_schema
 from skyledger.llm.repeats import Lookup, Matches, Search, entries, references, search, spread, texts_and_ids
-from skyledger.llm.texts import cover, pieces, slices
+from skyledger.llm.texts import BYTES, cover, hash_rows, pieces, slices, window_hash
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
-COLLECTION = 2048
+COLLECTION = 1024
 
 
 def collection_suffixes(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, length, common prefix with the one before) of all suffixes of a collection, in order.
 
-    String i is ``flat[ends[i]:ends[i + 1]]``. Equal suffixes stand in the order of their strings.
+    String i is ``flat[ends[i]:ends[i + 1]]``, of UTF-8 text and under 256 bytes. Equal suffixes stand in the order
+    of their strings.
     """
     size = np.diff(ends)
     strings = len(size)
-    #: The list starts with the empty suffix of every string.
-    owner, length = np.arange(strings, dtype=np.int32), np.zeros(strings, np.int32)
-    common = np.zeros(strings, np.int32)
-    # A symbol is the byte before a suffix plus one; 0 stands before a whole string.
-    symbol = np.zeros(strings, np.uint16)
-    symbol[size > 0] = flat[ends[1:][size > 0] - 1].astype(np.uint16) + 1
+    # The list starts with the empty suffix of every string; a suffix is named by its string times 256 plus its length.
+    name = np.arange(strings, dtype=np.int32) * 256
+    common = np.zeros(strings, np.uint8)
+    # A symbol is the byte before a suffix plus one, as UTF-8 has no byte 255; 0 stands before a whole string.
+    symbol = np.zeros(strings, np.uint8)
+    symbol[size > 0] = flat[ends[1:][size > 0] - 1] + 1
     place = np.arange(strings)
-    open_ = np.flatnonzero(size > 0)
+    who = np.flatnonzero(size > 0)
     for j in range(1, int(size.max(initial=0)) + 1):
-        tails = place[open_]
         by_symbol = np.argsort(symbol, kind="stable")
-        closed = np.searchsorted(symbol, 0, "right", sorter=by_symbol)
-        rank = np.empty(len(symbol), np.int64)
-        rank[by_symbol] = np.arange(len(symbol))
-        k = rank[tails]
+        closed = len(symbol) - np.count_nonzero(symbol)
+        rank = np.empty(len(symbol), np.int32)
+        rank[by_symbol] = np.arange(len(symbol), dtype=np.int32)
+        k = rank[place[who]].astype(np.int64)
         order = np.argsort(k)
-        k, tails, who = k[order], tails[order], open_[order]
-        near = [_common(symbol, common, by_symbol, k, step) for step in (0, 1)]
+        k, who = k[order], who[order]
+        before, behind = (_common(symbol, common, by_symbol, k, step) for step in (0, 1))
         # The list without the empty suffixes is what the symbols sort to, so its places are ranks past the closed.
         spot = strings + k - closed
         old = np.ones(len(symbol) + len(who), bool)
         old[spot] = False
-        at = ends[1:][who] - j
-        fresh = np.where(size[who] > j, flat[np.maximum(at - 1, 0)].astype(np.uint16) + 1, 0)
-        owner, length, common, symbol = (
-            _merged(a, old, spot, b) for a, b in (
-                (owner, who), (length, np.full(len(who), j)), (common, near[0]), (symbol, fresh))
-        )
-        after = spot + 1
-        inside = after < len(common)
-        common[after[inside]] = near[1][inside]
+        more = size[who] > j
+        fresh = np.zeros(len(who), np.uint8)
+        fresh[more] = flat[ends[1:][who[more]] - j - 1] + 1
+        name = _merged(name, old, spot, who * 256 + j)
+        common = _merged(common, old, spot, before)
+        symbol = _merged(symbol, old, spot, fresh)
+        inside = spot + 1 < len(common)
+        common[spot[inside] + 1] = behind[inside]
         place[who] = spot
-        open_ = np.flatnonzero(size > j)
-    return owner, length, common
+        who = who[more]
+    return name >> 8, name & 255, common
 
 
 def _merged(values: np.ndarray, old: np.ndarray, spot: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -83,7 +82,7 @@ def _common(symbol, common, by_symbol, k, step) -> np.ndarray:
     high = k + step
     low = high - 1
     valid = (low >= 0) & (high < len(by_symbol))
-    out = np.zeros(len(k), np.int64)
+    out = np.zeros(len(k), np.uint8)
     a, b = by_symbol[low[valid]], by_symbol[high[valid]]
     same = symbol[a] == symbol[b]
     a, b = a[same], b[same]
@@ -94,7 +93,7 @@ def _common(symbol, common, by_symbol, k, step) -> np.ndarray:
     return out
 
 
-def first_strings(window: int):
+def first_strings(window: int, seed: int):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First place of every window of bytes."""
         e = entries(batches)
@@ -114,6 +113,7 @@ def first_strings(window: int):
         edges = np.flatnonzero(np.append(True, several[1:] != several[:-1]))
         groups = np.diff(np.append(edges, len(several)))
         todo = np.flatnonzero(np.repeat(groups > 1, groups))
+        todo = todo[_akin(e.flat, e.ends[:-1][first[todo]], width[todo], several[todo], window, seed)]
         for some in _collections(todo, several):
             flat = e.flat[spread(e.ends[:-1][first[some]], width[some])]
             owner, length, common = collection_suffixes(flat, np.append(0, np.cumsum(width[some])))
@@ -134,6 +134,39 @@ def first_strings(window: int):
     return resolve
 
 
+def _akin(flat: np.ndarray, start: np.ndarray, width: np.ndarray, part: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """Strings that can share a window with another string of their seed.
+
+    A window reaches half of what it holds beside its seed to the left of the seed, or to the right. Strings that
+    differ from all others of their seed on both of these stretches share no window with them.
+    """
+    half = (window - seed + 1) // 2
+    row = np.repeat(np.arange(len(start)), width - seed + 1)
+    local = spread(np.zeros(len(start), np.int64), width - seed + 1)
+    grams = window_hash(flat[spread(start, width)].astype(np.uint64) + np.uint64(1), seed, BYTES)
+    base = np.cumsum(width) - width
+    is_seed = grams[base[row] + local].view(np.int64) == part[row]
+    # The first place from which a window still fits; a string holds its seed at least once.
+    at = np.full(len(start), -1)
+    hit = np.flatnonzero(is_seed)[::-1]
+    at[row[hit]] = local[hit]
+    twice = np.bincount(row[hit], minlength=len(start)) != 1
+    keep = twice.copy()
+    for shift in (-half, 0):
+        lo = at + shift
+        inside = (lo >= 0) & (lo + half + seed <= width) & ~twice
+        some = np.flatnonzero(inside)
+        if not len(some):
+            continue
+        size = np.full(len(some), half + seed)
+        body = flat[spread(start[some] + lo[some], size)].reshape(len(some), half + seed)
+        mark = hash_rows(body) ^ part[some].view(np.uint64)
+        _, inverse, count = np.unique(mark, return_inverse=True, return_counts=True)
+        keep[some[count[inverse] > 1]] = True
+    # A seed with a string that holds it twice keeps all its strings.
+    return keep | np.isin(part, part[twice])
+
+
 def _collections(todo: np.ndarray, part: np.ndarray) -> Iterator[np.ndarray]:
     """Strings in turn, whole seeds together."""
     begin = 0
@@ -190,4 +223,4 @@ def remove_repeated_bytes(
         }
         return pa.table([new[f.name] if f.name in new else table[f.name] for f in schema], names=schema.names)
 
-    return search(docs, text, key, how, first_strings(window), finish, schema)
+    return search(docs, text, key, how, first_strings(window, seed), finish, schema)

@@ -42,7 +42,7 @@ class Search:
     seed: int
     within: bool
     block_bytes: int = 8 << 20
-    heavy: int = 20_000
+    heavy: int = 4_000
 
     @property
     def powers(self) -> _Powers:
@@ -129,13 +129,16 @@ def texts_and_ids(table: pa.Table, text: str, key: str) -> tuple[pa.Array, np.nd
     return body, ids.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def blocked(docs: DataFrame, text: str, key: str, how: Search) -> DataFrame:
-    """Documents with the number of their block; the number of blocks follows the bytes of all texts."""
+def blocked(docs: DataFrame, text: str, key: str, how: Search) -> tuple[DataFrame, str]:
+    """Documents with the number of their block, and that column's name; the blocks follow the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(total / how.block_bytes)))))
+    name = BLOCK
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(total / how.block_bytes))))), name
 
 
-def seeds(docs: DataFrame, text: str, key: str, how: Search) -> DataFrame:
+def seeds(docs: DataFrame, by: str, text: str, key: str, how: Search) -> DataFrame:
     """(seed, block, n): every distinct seed of a block with its number of runs, or of documents."""
 
     def one(name: tuple, table: pa.Table) -> pa.Table:
@@ -152,7 +155,7 @@ def seeds(docs: DataFrame, text: str, key: str, how: Search) -> DataFrame:
         value, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.table({"seed": value, "block": np.full(len(value), name[0].as_py()), "n": n})
 
-    return docs.groupBy(BLOCK).applyInArrow(one, "seed long, block long, n long")
+    return docs.groupBy(by).applyInArrow(one, "seed long, block long, n long")
 
 
 def shared_seeds(found: DataFrame, how: Search) -> DataFrame:
@@ -164,7 +167,7 @@ def shared_seeds(found: DataFrame, how: Search) -> DataFrame:
     )
 
 
-def index(docs: DataFrame, shared: DataFrame, text: str, key: str, how: Search) -> DataFrame:
+def index(docs: DataFrame, by: str, shared: DataFrame, text: str, key: str, how: Search) -> DataFrame:
     """The index of each block: its distinct runs with shared seeds, with first and last place and their content."""
 
     def one(name: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -200,8 +203,8 @@ def index(docs: DataFrame, shared: DataFrame, text: str, key: str, how: Search)
         head = np.flatnonzero(np.append(True, mark[order][1:] != mark[order][:-1]))
         tail = order[np.append(head[1:], len(order)) - 1]
         head = order[head]
-        by = np.argsort(owner[head], kind="stable")
-        head, tail = head[by], tail[by]
+        turn = np.argsort(owner[head], kind="stable")
+        head, tail = head[turn], tail[turn]
         bodies = []
         for k in np.unique(owner[head]):
             mine = head[owner[head] == k]
@@ -212,7 +215,7 @@ def index(docs: DataFrame, shared: DataFrame, text: str, key: str, how: Search)
             "last_doc": doc[tail], "last_pos": pos[tail], "body": pa.chunked_array(bodies, pa.binary()),
         }).cast(INDEX_ARROW)
 
-    return docs.groupBy(BLOCK).cogroup(shared.groupBy("block")).applyInArrow(one, INDEX)
+    return docs.groupBy(by).cogroup(shared.groupBy("block")).applyInArrow(one, INDEX)
 
 
 INDEX_ARROW = pa.schema([
@@ -283,14 +286,14 @@ def search(
     finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
 ) -> DataFrame:
     """``finish`` gets each block's documents and the references of its runs; its rows are the result."""
-    dealt = blocked(docs, text, key, how)
-    shared = shared_seeds(seeds(dealt, text, key, how), how)
-    refs = index(dealt, shared, text, key, how).repartition("part").mapInArrow(resolve, REFS)
+    dealt, by = blocked(docs, text, key, how)
+    shared = shared_seeds(seeds(dealt, by, text, key, how), how)
+    refs = index(dealt, by, shared, text, key, how).repartition("part").mapInArrow(resolve, REFS)
 
     def one(table: pa.Table, found: pa.Table) -> pa.Table:
-        return finish(table.drop_columns([BLOCK]), found)
+        return finish(table.drop_columns([by]), found)
 
-    return dealt.groupBy(BLOCK).cogroup(refs.groupBy("block")).applyInArrow(one, schema)
+    return dealt.groupBy(by).cogroup(refs.groupBy("block")).applyInArrow(one, schema)
 
 
 @dataclass

@@ -169,7 +169,14 @@ def pieces(limits: np.ndarray, covered: np.ndarray) -> np.ndarray:
 
 def cover(length: int, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Which of ``length`` items lie in a run of ``size`` items from any of ``starts``."""
-    change = np.zeros(length + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + size, -1)
+    if not len(starts):
+        return np.zeros(length, bool)
+    change = np.bincount(starts, minlength=length + 1)
+    change -= np.bincount(starts + size, minlength=length + 1)
     return np.cumsum(change[:-1]) > 0
+
+
+def hash_rows(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row of a byte matrix."""
+    up, _ = BYTES.get(rows.shape[1] + 1)
+    return mix(((rows.astype(np.uint64) + np.uint64(1)) * up[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyledger.llm.texts import BYTES, SPACED, mix, slices, words
+from skyledger.llm.texts import BYTES, SPACED, hash_rows, mix, slices, words
 
 MARK = "▁".encode()
 #: Longer words are scored one by one; a worker forgets its words beyond this number.
@@ -47,7 +47,7 @@ class Vocabulary:
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in sorted({len(p) for p in scored}, reverse=True):
             some = [p for p in scored if len(p) == size]
-            marks = _hash_rows(np.frombuffer(b"".join(some), np.uint8).reshape(-1, size))
+            marks = hash_rows(np.frombuffer(b"".join(some), np.uint8).reshape(-1, size))
             order = np.argsort(marks)
             self.by_size[size] = marks[order], np.array([scored[p] for p in some])[order]
         self.marks, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -119,12 +119,6 @@ class Vocabulary:
         return tokens[-1]
 
 
-def _hash_rows(rows: np.ndarray) -> np.ndarray:
-    up, _ = BYTES.get(rows.shape[1] + 1)
-    with np.errstate(over="ignore"):
-        return mix(((rows.astype(np.uint64) + np.uint64(1)) * up[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, n_pretokens, n_tokens) per row.
 
