@@ -153,9 +153,9 @@ def missing_stations(requested: DataFrame, panel: DataFrame) -> DataFrame:
 
 def require_stations(panel: DataFrame, requested: DataFrame) -> DataFrame:
     """The panel of the requested stations; never fabricates data for an absent one."""
-    absent = [r[0] for r in missing_stations(requested, panel).limit(20).toLocalIterator()]
+    absent, first = missing_stations(requested, panel).agg(F.count(F.lit(1)), F.min(STATION)).first()
     if absent:
-        raise MissingStation(f"no prepared data for {', '.join(absent)}")
+        raise MissingStation(f"no prepared data for {absent} stations, the first is {first}; missing_stations has them all")
     wanted = requested.select(F.upper(STATION).alias(STATION)).distinct()
     return join_by_station(panel, wanted, "left_semi")
 

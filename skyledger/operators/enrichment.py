@@ -49,6 +49,12 @@ def station_catalog(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     )
 
 
+def catalog_or_default(catalog: DataFrame, code: str = "SEATTLE") -> DataFrame:
+    """The catalog, or the default row where it has no station."""
+    fallback = default_catalog(catalog.sparkSession, code).select(catalog.columns)
+    return catalog.unionByName(fallback.join(catalog.select("station_id").limit(1).toDF("_any"), F.lit(True), "left_anti"))
+
+
 def default_catalog(spark, code: str = "SEATTLE") -> DataFrame:
     """The single row used when no catalog exists."""
     row = spark.range(1).select(F.lit(code).alias("station_id"))

@@ -115,7 +115,9 @@ def regression_metrics(df: DataFrame, y: str, predicted: str, low: float = 0.0,
     return known.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(error * error).alias("mse_scaled"),
-        (F.lit(1.0) - F.try_divide(F.avg(error * error), F.var_pop(y))).alias("r2"),
+        # A constant truth scores 1 if it is met exactly and 0 otherwise.
+        F.when(F.var_pop(y) > 0, F.lit(1.0) - F.try_divide(F.avg(error * error), F.var_pop(y)))
+        .when(F.max(F.abs(error)) == 0, 1.0).when(F.max(F.abs(error)) > 0, 0.0).alias("r2"),
         F.avg(F.abs(raw)).alias("mae"),
         F.sqrt(F.avg(raw * raw)).alias("rmse"),
     )

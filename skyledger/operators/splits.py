@@ -29,12 +29,12 @@ def chronological_split(df: DataFrame, train_pct: int = 70, validation_pct: int
     """``split`` per row: fixed boundaries for the full archive, else shares of the rows in date order.
 
     Whole days stay together, so no split overlaps another in time. Cuts are found on the table of
-    days, which is bounded by the calendar and broadcast back.
+    days, which is bounded by the calendar and broadcast back. A row without a day stays, in no split.
     """
-    days = df.select(F.unix_date(DAY).alias("_day"))
+    days = df.filter(F.col(DAY).isNotNull()).select(F.unix_date(DAY).alias("_day"))
     levels = running_levels(days, [], "_day", 31.0, {"n": F.count(F.lit(1))})
-    first, last = df.agg(F.min(DAY)).scalar(), df.agg(F.max(DAY)).scalar()
-    whole = (first <= F.to_date(F.lit(ARCHIVE_START))) & (last >= F.to_date(F.lit(ARCHIVE_END)))
+    span = df.agg(F.struct(F.min(DAY).alias("first"), F.max(DAY).alias("last"))).scalar()
+    whole = (span["first"] <= F.to_date(F.lit(ARCHIVE_START))) & (span["last"] >= F.to_date(F.lit(ARCHIVE_END)))
     day = F.date_from_unix_date("_day")
     train_end = F.floor(F.col("n_total") * train_pct / 100)
     validation_end = F.floor(F.col("n_total") * (train_pct + validation_pct) / 100)
@@ -46,7 +46,7 @@ def chronological_split(df: DataFrame, train_pct: int = 70, validation_pct: int
     cuts = levels.select(
         day.alias(DAY), F.when(whole, by_dates(day, VALIDATION_FROM, TEST_FROM)).otherwise(by_share).alias("split")
     )
-    return df.join(F.broadcast(cuts), DAY)
+    return df.join(F.broadcast(cuts), DAY, "left")
 
 
 def require_splits(df: DataFrame, minimum: int = 31) -> DataFrame:

@@ -60,12 +60,12 @@ def _drop(t):
 @query(
     "parse_dates", "station:s d:s rec_max_yr:n",
     over("rawlab", """SELECT UPPER(noaa_station) AS station, TRY_CAST(date AS DATE) AS d,
-                             YEAR(TRY_CAST(date AS DATE)) - 5 AS rec_max_yr FROM rawlab WHERE TRY_CAST(date AS DATE) IS NOT NULL"""),
+                             YEAR(TRY_CAST(date AS DATE)) - 5 AS rec_max_yr FROM rawlab"""),
 )
 def _dates(t):
     raw = t.raw_labels().select(F.upper("NOAA_STATION").alias(STATION), "date")
     parsed = C.parse_dates(raw).withColumn("record_max_temp_year", F.year(DAY) - 5)
-    return C.copy_record_years(parsed).dropna(subset=[DAY])
+    return C.copy_record_years(parsed)
 
 
 @query(

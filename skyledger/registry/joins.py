@@ -92,13 +92,15 @@ def _sst_fill(t):
     "join_sst_monthly", "station:s d:s sst:f",
     over(
         "obs sst", f"SELECT station, d, COALESCE({carried('c')}, (SELECT AVG(c) FROM months), 18) AS sst FROM joined",
-        months="""SELECT YEAR(d) AS y, MONTH(d) AS m, (AVG(sst_pacific_f) - 32) * 5 / 9 AS c FROM sst
-                  WHERE MONTH(d) <> 7 GROUP BY 1, 2""",
+        # Every July counts for fifty years before, so that the panel has months without a value.
+        months="""SELECT YEAR(d) - CASE WHEN MONTH(d) = 7 THEN 50 ELSE 0 END AS y, MONTH(d) AS m,
+                         (AVG(sst_pacific_f) - 32) * 5 / 9 AS c FROM sst GROUP BY 1, 2""",
         joined="SELECT o.station, o.d, c FROM obs o LEFT JOIN months ON y = YEAR(o.d) AND m = MONTH(o.d)",
     ),
 )
 def _sst_monthly(t):
-    monthly = t.sst().filter(F.month(DAY) != 7).groupBy(F.year(DAY).alias("Year"), F.month(DAY).alias("Month")).agg(
+    year = F.year(DAY) - F.when(F.month(DAY) == 7, 50).otherwise(0)
+    monthly = t.sst().groupBy(year.alias("Year"), F.month(DAY).alias("Month")).agg(
         ((F.avg("sst_pacific_f") - 32) * 5 / 9).alias("SST_Mean_Celsius")
     )
     return E.join_sst_monthly(t.obs(), monthly)
@@ -275,8 +277,8 @@ def _chip_tabular(t):
 
 @query(
     "saturation_percentile", "station:s d:s saturation_pctl:f",
-    over("soil", """SELECT station, d, 100 * PERCENT_RANK() OVER (PARTITION BY station ORDER BY soil_moisture_vol) AS saturation_pctl
-                    FROM soil WHERE soil_moisture_vol IS NOT NULL"""),
+    over("soil", """SELECT station, d, CASE WHEN soil_moisture_vol IS NOT NULL THEN 100 * PERCENT_RANK() OVER (
+                      PARTITION BY station, soil_moisture_vol IS NULL ORDER BY soil_moisture_vol) END AS saturation_pctl FROM soil"""),
 )
 def _saturation(t):
-    return saturation_percentile(t.soil()).dropna(subset=["SOIL_MOISTURE_VOL"])
+    return saturation_percentile(t.soil())

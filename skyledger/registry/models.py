@@ -16,7 +16,6 @@ from skyledger.schema import DAY, STATION
 from skyledger.sources.writers import load_models, save_models, write_run_report
 
 EVENT_CUTS = ("2001-01-01", "2001-06-01")
-TREES = 20
 _memo: dict[tuple, object] = {}
 
 
@@ -32,7 +31,7 @@ def features(t):
 
 
 def trained(t) -> Trained:
-    return once(t, "trained", lambda: train(features(t), trees=TREES, fusion_iterations=30, event_cuts=EVENT_CUTS))
+    return once(t, "trained", lambda: train(features(t), event_cuts=EVENT_CUTS))
 
 
 @query("hazard_forest", "station:s d:s risk:f hazard_prob:f")

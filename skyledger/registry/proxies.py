@@ -12,6 +12,8 @@ from skyledger.operators.lineage import settle
 from skyledger.schema import DAY, STATION
 
 
+#: Moves that leave gaps in a source without leaving out rows of its table.
+FAR_STATIONS, FAR_DAYS, LABEL_DAYS = 1_000_000, 14_610, 2_922
 _archive: dict[tuple, DataFrame] = {}
 
 
@@ -76,13 +78,24 @@ class Tables:
             F.when(key % 4 == 0, F.lit("sst_gulf_f")).alias("ocean_basin"),
         )
 
+    def lines(self, every: int) -> DataFrame:
+        """All line items; one supplier in ``every`` is moved to a station that the archive lacks."""
+        key = F.col("l_suppkey")
+        return self.read("lineitem").withColumn("l_suppkey", F.when(key % every == 0, key + FAR_STATIONS).otherwise(key))
+
+    def orders_until(self, day: int) -> DataFrame:
+        """All orders by day; the later days of each month are moved ``FAR_DAYS`` back, to leave gaps."""
+        date = F.to_date("o_orderdate")
+        moved = F.when(F.dayofmonth("o_orderdate") > day, F.date_sub(date, FAR_DAYS)).otherwise(date)
+        return self.read("orders").withColumn("o_orderdate", moved)
+
     def _price(self) -> Column:
         return F.floor("l_extendedprice").cast("bigint")
 
     @archived
     def atmosphere(self) -> DataFrame:
         price = self._price()
-        daily = self.read("lineitem").filter(F.col("l_suppkey") % 11 != 0).groupBy(
+        daily = self.lines(11).groupBy(
             "l_suppkey", F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") % 3).alias(DAY)
         ).agg(
             F.max(F.when(price % 13 != 0, price % 90)).cast("double").alias("DEWPOINT_F"),
@@ -97,7 +110,7 @@ class Tables:
     @archived
     def soil(self) -> DataFrame:
         price = self._price()
-        daily = self.read("lineitem").filter(F.col("l_suppkey") % 7 != 0).groupBy(
+        daily = self.lines(7).groupBy(
             "l_suppkey", F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") % 2).alias(DAY)
         ).agg(
             (F.max(F.when(price % 5 != 0, price % 60)) / 128.0).alias("SOIL_MOISTURE_VOL"),
@@ -107,9 +120,8 @@ class Tables:
 
     @archived
     def indices(self) -> DataFrame:
-        days = self.read("orders").filter(F.dayofmonth("o_orderdate") <= 15)
         n = F.count(F.lit(1))
-        return days.groupBy(F.to_date("o_orderdate").alias(DAY)).agg(
+        return self.orders_until(15).groupBy(F.col("o_orderdate").alias(DAY)).agg(
             F.when(n % 3 != 0, n / 8.0).alias("enso_nino34"),
             (F.min("o_orderkey") % 7 - 3).cast("double").alias("pdo_index"),
             F.when(F.max("o_orderkey") % 5 != 0, (F.max("o_orderkey") % 9 - 4) / 4.0).alias("nao_index"),
@@ -117,19 +129,18 @@ class Tables:
 
     @archived
     def sst(self) -> DataFrame:
-        days = self.read("orders").filter(F.dayofmonth("o_orderdate") <= 20)
-        return days.groupBy(F.to_date("o_orderdate").alias(DAY)).agg(
+        return self.orders_until(20).groupBy(F.col("o_orderdate").alias(DAY)).agg(
             (F.min("o_orderkey") % 20 + 50).cast("double").alias("sst_pacific_f"),
             F.when(F.max("o_orderkey") % 11 != 0, F.max("o_orderkey") % 20 + 55).cast("double").alias("sst_atlantic_f"),
             (F.count(F.lit(1)) % 20 + 70).cast("double").alias("sst_gulf_f"),
         )
 
     def raw_labels(self) -> DataFrame:
-        key = F.col("l_orderkey")
-        return self.read("lineitem").filter(
-            (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")) & (F.col("l_suppkey") % 5 != 0)
-        ).select(
-            F.when(key % 97 == 0, F.lit("no date")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+        key, day = F.col("l_orderkey"), F.to_date("l_shipdate")
+        # Labels start in 2000: the days before it follow eight years later.
+        day = F.when(day < F.lit("2000-01-01").cast("date"), F.date_add(day, LABEL_DAYS)).otherwise(day)
+        return self.lines(5).select(
+            F.when(key % 97 == 0, F.lit("no date")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("date"),
             F.lower(self.station_id(F.col("l_suppkey"))).alias("NOAA_STATION"),
             F.when(key % 31 == 0, F.lit("?")).when(F.col("l_returnflag") == "R", F.lit("1")).otherwise(F.lit("0")).alias(
                 "EVENT_LABEL"
@@ -179,6 +190,17 @@ ID = "CASE WHEN {k} % 10 = 3 THEN 'USC' ELSE 'USW' END || LPAD(CAST({k} AS VARCH
 SUPPLIER_ID, USER_ID = ID.format(k="l_suppkey"), ID.format(k="user_id")
 PRICE = "CAST(FLOOR(l_extendedprice) AS BIGINT)"
 
+
+def lines(every: int) -> str:
+    moved = f"CASE WHEN l_suppkey % {every} = 0 THEN l_suppkey + {FAR_STATIONS} ELSE l_suppkey END"
+    return f"(SELECT * REPLACE ({moved} AS l_suppkey) FROM lineitem)"
+
+
+def orders_until(day: int) -> str:
+    date = "CAST(o_orderdate AS DATE)"
+    return f"(SELECT o_orderkey, CASE WHEN DAY(o_orderdate) > {day} THEN {date} - {FAR_DAYS} ELSE {date} END AS o_orderdate FROM orders)"
+
+
 VIEWS = {
     "obs": f"""
         SELECT {SUPPLIER_ID} AS station, CAST(l_shipdate AS DATE) AS d,
@@ -204,32 +226,34 @@ VIEWS = {
                CAST(MAX({PRICE} % 101) AS DOUBLE) AS humidity_pct,
                CAST(MAX({PRICE} % 2) AS DOUBLE) AS atmosphere_imputed,
                CAST(MAX({PRICE} % 2 * ({PRICE} % 64)) AS DOUBLE) AS atmosphere_donor_km
-        FROM lineitem WHERE l_suppkey % 11 <> 0 GROUP BY 1, 2""",
+        FROM {lines(11)} GROUP BY 1, 2""",
     "soil": f"""
         SELECT {SUPPLIER_ID} AS station, CAST(l_shipdate AS DATE) + CAST(l_linenumber % 2 AS INTEGER) AS d,
                CAST(MAX(CASE WHEN {PRICE} % 5 <> 0 THEN {PRICE} % 60 END) AS DOUBLE) / 128 AS soil_moisture_vol,
                CAST(MAX(CASE WHEN {PRICE} % 5 <> 0 THEN {PRICE} % 101 END) AS DOUBLE) AS saturation_pct
-        FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1, 2""",
-    "idx": """
-        SELECT CAST(o_orderdate AS DATE) AS d,
+        FROM {lines(7)} GROUP BY 1, 2""",
+    "idx": f"""
+        SELECT o_orderdate AS d,
                CASE WHEN COUNT(*) % 3 <> 0 THEN CAST(COUNT(*) AS DOUBLE) / 8 END AS enso_nino34,
                CAST(MIN(o_orderkey) % 7 - 3 AS DOUBLE) AS pdo_index,
                CASE WHEN MAX(o_orderkey) % 5 <> 0
                     THEN CAST(MAX(o_orderkey) % 9 - 4 AS DOUBLE) / 4 END AS nao_index
-        FROM orders WHERE DAY(o_orderdate) <= 15 GROUP BY 1""",
-    "sst": """
-        SELECT CAST(o_orderdate AS DATE) AS d,
+        FROM {orders_until(15)} GROUP BY 1""",
+    "sst": f"""
+        SELECT o_orderdate AS d,
                CAST(MIN(o_orderkey) % 20 + 50 AS DOUBLE) AS sst_pacific_f,
                CAST(CASE WHEN MAX(o_orderkey) % 11 <> 0 THEN MAX(o_orderkey) % 20 + 55 END AS DOUBLE) AS sst_atlantic_f,
                CAST(COUNT(*) % 20 + 70 AS DOUBLE) AS sst_gulf_f
-        FROM orders WHERE DAY(o_orderdate) <= 20 GROUP BY 1""",
+        FROM {orders_until(20)} GROUP BY 1""",
     "rawlab": f"""
-        SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'no date' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date,
+        SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'no date' ELSE strftime(
+                 CAST(l_shipdate AS DATE) + CASE WHEN CAST(l_shipdate AS DATE) < DATE '2000-01-01' THEN {LABEL_DAYS} ELSE 0 END,
+                 '%Y-%m-%d') END AS date,
                LOWER({SUPPLIER_ID}) AS noaa_station,
                CASE WHEN l_orderkey % 31 = 0 THEN '?' WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS event_label,
                CASE WHEN l_orderkey % 6 <> 0 THEN 'type ' || l_linestatus || l_linenumber % 3 END AS event_type,
                CASE WHEN l_orderkey % 19 = 0 THEN 'far' ELSE CAST(l_linenumber * 10 AS VARCHAR) END AS event_distance_km
-        FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_suppkey % 5 <> 0""",
+        FROM {lines(5)}""",
     "lab": """
         SELECT TRY_CAST(date AS DATE) AS d, UPPER(noaa_station) AS station,
                COALESCE(TRY_CAST(event_label AS INTEGER), 0) AS event_label, event_type,
