@@ -1,6 +1,6 @@
-"""Model jobs. Their results have no SQL equivalent; rows and bounds are checked."""
+"""Model jobs. SQL has no models, so the queries return what it can state of their scores: the rows, bounds and rules."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from skyledger.operators import learners as L
 from skyledger.operators.cleaning import fill_defaults
@@ -12,7 +12,9 @@ from skyledger.plans.scoring import score_panel, score_today
 from skyledger.plans.training import Trained, hazard_scores, temperature_scores, train
 from skyledger.registry.entries import query
 from skyledger.registry.features import assembled
-from skyledger.schema import DAY, STATION
+from skyledger.registry.panel_sql import SOURCES, upto
+from skyledger.registry.proxies import over
+from skyledger.schema import DAY, FEATURES, STATION
 from skyledger.sources.writers import load_models, save_models, write_run_report
 
 EVENT_CUTS = ("2001-01-01", "2001-06-01")
@@ -34,53 +36,80 @@ def trained(t) -> Trained:
     return once(t, "trained", lambda: train(features(t), event_cuts=EVENT_CUTS))
 
 
-@query("hazard_forest", "station:s d:s risk:f hazard_prob:f")
+def on_panel(statement: str) -> str:
+    """The statement over ``rows``, the feature rows with their number within the station."""
+    return over(SOURCES, statement, **upto("target"), rows="""
+        SELECT station, d, risk, ROW_NUMBER() OVER (PARTITION BY station ORDER BY d) AS place FROM target WHERE risk IS NOT NULL""")
+
+
+def within(name: str, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.coalesce(F.col(name).between(low, high), F.lit(False)).cast("int")
+
+
+@query("hazard_forest", "station:s d:s risk:f in_range:i", on_panel("SELECT station, d, risk, 1 AS in_range FROM rows"))
 def _hazard(t):
-    return hazard_scores(features(t), trained(t))
+    return hazard_scores(features(t), trained(t)).withColumn("in_range", within("hazard_prob"))
 
 
-@query("event_forest", "station:s d:s event_prob:f")
+@query("event_forest", "station:s d:s in_range:i", on_panel("SELECT station, d, 1 AS in_range FROM rows"))
 def _event(t):
     model = trained(t)
     scaled = model.event_scaler.transform(features(t), L.SCALED)
-    return L.with_probability(scaled, model.event, "event_prob")
+    return L.with_probability(scaled, model.event, "event_prob").withColumn("in_range", within("event_prob"))
 
 
-@query("next_day_temperature", "station:s d:s target:f temp_pred:f")
+@query("next_day_temperature", "station:s d:s in_range:i", on_panel("SELECT station, d, 1 AS in_range FROM rows WHERE place > 30"))
 def _temperature(t):
-    return temperature_scores(features(t).withColumn("split", F.lit("all")), trained(t))
+    """Scaled temperatures: the fit stays near the unit range."""
+    scored = temperature_scores(features(t).withColumn("split", F.lit("all")), trained(t))
+    return scored.withColumn("in_range", within("temp_pred", -1.0, 2.0))
 
 
-@query("fusion_classifier", "station:s d:s fused_prob:f")
+@query("fusion_classifier", "station:s d:s in_range:i", on_panel("SELECT station, d, 1 AS in_range FROM rows WHERE place > 30"))
 def _fusion(t):
     model = trained(t)
     temps = temperature_scores(features(t).withColumn("split", F.lit("all")), model)
     both = temps.join(hazard_scores(features(t), model).select(STATION, DAY, "hazard_prob"), [STATION, DAY])
-    return L.with_probability(both, model.fusion, "fused_prob")
+    return L.with_probability(both, model.fusion, "fused_prob").withColumn("in_range", within("fused_prob"))
 
 
-@query("feature_importances", "feature:s importance:f")
+@query(
+    "feature_importances", "feature:s in_range:i total:f",
+    f"SELECT UNNEST([{', '.join(repr(c) for c in FEATURES)}]) AS feature, 1 AS in_range, 1 AS total",
+)
 def _importances(t):
-    return L.feature_importances(t.spark, trained(t).hazard)
+    """One row per feature; together they are 1."""
+    found = L.feature_importances(t.spark, trained(t).hazard)
+    return found.withColumns({"in_range": within("importance"), "total": F.sum("importance").over(Window.partitionBy())})
 
 
 @query(
-    "score_panel",
-    "station:s d:s hazard_prob:f event_prob:f event_alert:i fused_prob:f probability_pct:f tier:s contribution_sum:f",
+    "score_panel", "station:s d:s in_range:i alert_follows:i source_follows:i contribution_sum:f",
+    on_panel("SELECT station, d, 1 AS in_range, 1 AS alert_follows, 1 AS source_follows, 1 AS contribution_sum FROM rows"),
 )
 def _score(t):
-    scored = score_panel(features(t), trained(t))
-    return scored.withColumn("contribution_sum", F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x))
+    """Alerts follow the threshold; the percentage is the fused probability, or the forest's without one."""
+    final = F.coalesce("fused_prob", "hazard_prob")
+    return score_panel(features(t), trained(t)).withColumns({
+        "in_range": within("probability_pct", 0.0, 100.0) * within("hazard_prob") * within("event_prob"),
+        "alert_follows": (F.col("event_alert") == (F.col("event_prob") >= F.col("event_threshold")).cast("int")).cast("int"),
+        "source_follows": (F.abs(F.col("probability_pct") - F.least(F.greatest(final * 100, F.lit(0.0)), F.lit(100.0))) < 1e-9).cast("int"),
+        "contribution_sum": F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x),
+    })
 
 
-@query("score_today", "station:s probability_pct:f tier:s event_alert:i forecast_tavg_c:f")
+@query(
+    "score_today", "station:s in_range:i alert_known:i",
+    over("obs", "SELECT DISTINCT station, 1 AS in_range, 1 AS alert_known FROM obs"),
+)
 def _today(t):
     history = fill_defaults(assembled(t))
     current = t.obs().groupBy(STATION).agg(
         F.max("TMAX").alias("TMAX"), F.min("TMIN").alias("TMIN"), F.lit(10.0).alias("D"), F.lit(15.0).alias("W"),
         F.coalesce(F.max("PRCP"), F.lit(0.0)).alias("PRCP"),
     )
-    return score_today(history, current, trained(t))
+    return score_today(history, current, trained(t)).withColumns({
+        "in_range": within("probability_pct", 0.0, 100.0), "alert_known": F.col("event_alert").isin(0, 1).cast("int")})
 
 
 @query("training_metrics", "metric:s value:f")
@@ -92,7 +121,7 @@ def _metrics(t):
     return values.select(F.explode("m").alias("metric", "value")).withColumn("value", F.col("value").try_cast("double"))
 
 
-@query("reload_models", "rows:n differing:n")
+@query("reload_models", "rows:n differing:n", on_panel("SELECT COUNT(*) AS rows, 0 AS differing FROM rows"))
 def _reload(t):
     model = trained(t)
     folder = once(t, "saved", lambda: scratch_path(t.spark, "models"))
