@@ -5,9 +5,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from skyledger.functions.columns import fahrenheit_to_celsius
-from skyledger.operators.chunks import attach, chunk_bounds, with_chunk
+from skyledger.operators.chunks import join_by_station
 from skyledger.operators.lineage import settle
-from skyledger.operators.ranks import quantiles
+from skyledger.operators.target import station_quantiles
 from skyledger.schema import BASINS, DAY, INDICES, STATION
 
 
@@ -141,9 +141,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def hazard_shares(df: DataFrame) -> DataFrame:
     """Share of rows above the station's own hot and wet limits, and of dry rows; null counts as no."""
-    base = with_chunk(df)
-    limits = quantiles(base, [STATION], {"_t95": ("TAVG", 0.95), "_p90": ("PRCP", 0.90)})
-    placed = attach(base, base.groupBy(STATION).agg(*chunk_bounds()).join(limits, STATION, "left"))
+    placed = join_by_station(df, station_quantiles(df, {"_t95": ("TAVG", 0.95), "_p90": ("PRCP", 0.90)}))
 
     def share(condition):
         return F.avg(F.coalesce(condition, F.lit(False)).cast("double")) * 100

@@ -6,7 +6,6 @@ from skyledger.functions.columns import display_name, fahrenheit_to_celsius, row
 from skyledger.functions.hazards import ocean_basin
 from skyledger.operators.chunks import CHUNK, attach, carry, chunk_bounds, join_by_station, with_chunk
 from skyledger.operators.cleaning import soil_observed
-from skyledger.operators.ranks import quantiles
 from skyledger.schema import (
     ATMOSPHERE, BASINS, CATALOG_CLIMATE, CATALOG_FILL, CATALOG_REGION, DAY, INDICES, SOIL, SST_FILL_C, STATION,
 )
@@ -118,8 +117,8 @@ def station_basins(df: DataFrame) -> DataFrame:
         nowhere = F.lit(None).cast("double")
         placed = reach.withColumn("basin", ocean_basin(F.col(STATION), nowhere, nowhere))
     else:
-        middle = quantiles(base, [STATION], {"_lat": ("LATITUDE", 0.5), "_lon": ("LONGITUDE", 0.5)}, width=1.0)
-        placed = reach.join(middle, STATION, "left").withColumn(
+        middle = [F.percentile(c, 0.5).alias(n) for n, c in (("_lat", "LATITUDE"), ("_lon", "LONGITUDE"))]
+        placed = base.groupBy(STATION).agg(*chunk_bounds(), *middle).withColumn(
             "basin", ocean_basin(F.col(STATION), F.col("_lat"), F.col("_lon"))
         ).drop("_lat", "_lon")
     return placed.withColumn("basin", F.coalesce("basin", F.lit("mean")))
@@ -216,15 +215,19 @@ def join_event_labels(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     }).drop("_hit")
 
 
+def label_period(labels: DataFrame):
+    """First and last day of all labels, as one column from one scan."""
+    return labels.agg(F.struct(F.min(DAY).alias("first"), F.max(DAY).alias("last"))).scalar()
+
+
 def label_coverage(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of a labelled station inside the labels' overall period count as available, label 0 if none."""
-    start = labels.agg(F.min(DAY)).scalar()
-    end = labels.agg(F.max(DAY)).scalar()
+    period = label_period(labels)
     covered = labels.select(STATION).distinct().withColumn("_covered", F.lit(True))
     base = with_chunk(df)
     reach = base.groupBy(STATION).agg(*chunk_bounds()).join(covered, STATION, "left")
     placed = attach(base, reach)
-    inside = F.coalesce(F.col("_covered") & F.col(DAY).between(start, end), F.lit(False))
+    inside = F.coalesce(F.col("_covered") & F.col(DAY).between(period["first"], period["last"]), F.lit(False))
     return placed.withColumns({
         "EVENT_LABEL": F.when(inside, F.coalesce("EVENT_LABEL", F.lit(0.0))).otherwise(F.col("EVENT_LABEL")),
         "EVENT_LABEL_AVAILABLE": F.when(inside, F.lit(1)).otherwise(F.col("EVENT_LABEL_AVAILABLE")),

@@ -114,10 +114,12 @@ def score(
     event: tuple[MinMax, PipelineModel, float] | None = None,
     fused: DataFrame | None = None,
     columns: list[str] = FEATURES,
+    fusion: tuple[PipelineModel, DataFrame] | None = None,
 ) -> DataFrame:
     """Hazard and event probability, alert, tier and contributions for whole panels.
 
-    ``fused`` may hold (City_ID, Date, fused_prob); without it the forest alone decides.
+    ``fused`` may hold (City_ID, Date, fused_prob), or ``fusion`` the fusion model with the rows' ``temp_pred`` by
+    (City_ID, Date); without either, and for rows without a prediction, the forest alone decides.
     """
     filled = features.fillna(0, subset=columns)
     rows = with_probability(scaler.transform(filled, SCALED), hazard, "hazard_prob")
@@ -136,7 +138,12 @@ def score(
     if fused is not None:
         keys = [c for c in fused.columns if c != "fused_prob"]
         rows = rows.join(fused, keys, "left")
-    final = F.coalesce("fused_prob", "hazard_prob") if fused is not None else F.col("hazard_prob")
+    elif fusion is not None:
+        model, temperatures = fusion
+        keys = [c for c in temperatures.columns if c != "temp_pred"]
+        rows = with_probability(rows.join(temperatures, keys, "left"), model, "fused_prob")
+        rows = rows.withColumn("fused_prob", F.when(F.col("temp_pred").isNotNull(), F.col("fused_prob"))).drop("temp_pred")
+    final = F.coalesce("fused_prob", "hazard_prob") if fused is not None or fusion is not None else F.col("hazard_prob")
     pct = clamp_pct(final * 100.0)
     return rows.withColumns({"probability_pct": pct, "tier": risk_tier(pct)})
 

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyledger.functions.columns import floor_at
 from skyledger.functions.hazards import flood_risk, wind_risk
 from skyledger.operators.chunks import CHUNK, COPY, carry, chunk_window, over_rows, with_chunk, with_neighbours
-from skyledger.operators.ranks import percent_rank
 from skyledger.schema import DAY, SEQUENCE, SST_FILL_C, STATION
 
 
@@ -177,5 +176,5 @@ def latest_valid(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
 
 def saturation_percentile(df: DataFrame, moisture: str = "SOIL_MOISTURE_VOL") -> DataFrame:
     """Percentile of root-zone moisture within the station's own record."""
-    ranked = percent_rank(df, [STATION], moisture, "_share", width=0.01)
-    return ranked.withColumn("SATURATION_PCTL", F.col("_share") * 100.0).drop("_share")
+    record = Window.partitionBy(STATION, F.col(moisture).isNull()).orderBy(moisture)
+    return df.withColumn("SATURATION_PCTL", F.when(F.col(moisture).isNotNull(), F.percent_rank().over(record) * 100.0))

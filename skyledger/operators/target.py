@@ -7,7 +7,7 @@ from skyledger.functions.hazards import (
     current_risk, extreme_cold, extreme_heat, heat_index, hybrid_risk, sst_air_diff, wet_bulb, wind_chill,
 )
 from skyledger.operators.chunks import CHUNK, attach, chunk_bounds
-from skyledger.operators.ranks import interpolate, order_statistics, quantiles
+from skyledger.operators.ranks import interpolate, order_statistics
 from skyledger.operators.rolling import Frame, rain, rolling
 from skyledger.schema import STATION
 
@@ -26,8 +26,12 @@ def drought_index(df: DataFrame) -> DataFrame:
     return placed.withColumn("DROUGHT_IDX", drought(F.col("_mean"), F.col("_M"))).drop("_mean", "_M", CHUNK)
 
 
-def station_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], width: float = 0.05) -> DataFrame:
-    return quantiles(df, [STATION], wanted, width)
+def station_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact, linearly interpolated; a station's distinct values are bounded by its days."""
+    return df.groupBy(STATION).agg(*[
+        F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), p).alias(n)
+        for n, (c, p) in wanted.items()
+    ])
 
 
 def station_thresholds(windows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from skyledger.functions.hazards import ocean_basin
 from skyledger.operators.chunks import CHUNK, attach, carry, chunk_bounds, chunk_of, with_chunk
 from skyledger.operators.cleaning import derive_tavg, soil_observed
 from skyledger.operators.enrichment import (
-    basin_series, join_atmosphere, join_event_labels, one_per_key, per_day,
+    basin_series, join_atmosphere, join_event_labels, label_period, one_per_key, per_day,
 )
 from skyledger.schema import DAY, INDICES, SOIL, SST_FILL_C, STATION
 
@@ -76,8 +76,8 @@ def assemble(
         flag = F.when(F.col("_has_soil"), F.col("SOIL_MOISTURE_OBSERVED")).otherwise(F.lit(0.0))
         base = base.withColumn("SOIL_MOISTURE_OBSERVED", flag)
     if labels is not None:
-        start, end = labels.agg(F.min(DAY)).scalar(), labels.agg(F.max(DAY)).scalar()
-        inside = F.coalesce(F.col("_covered") & F.col(DAY).between(start, end), F.lit(False))
+        period = label_period(labels)
+        inside = F.coalesce(F.col("_covered") & F.col(DAY).between(period["first"], period["last"]), F.lit(False))
         base = base.withColumns({
             "EVENT_LABEL": F.when(inside, F.coalesce("EVENT_LABEL", F.lit(0.0))).otherwise(F.col("EVENT_LABEL")),
             "EVENT_LABEL_AVAILABLE": F.when(inside, F.lit(1)).otherwise(F.col("EVENT_LABEL_AVAILABLE")),
