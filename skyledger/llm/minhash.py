@@ -4,11 +4,17 @@ A document's shingles are hashed once; the top bits of a hash choose one of ``bi
 hash. An empty bin copies a full one, found by a fixed sequence of hashed tries, so that every bin of two documents
 agrees with the probability of their similarity. Bands of bins are the buckets.
 
-Pair counts are bounded by stars: every member of a bucket is compared with the smallest id of the bucket only. Links
-that a star can miss lie between members that are still in different classes after all stars; those buckets, and
-only those, get a second step: each member outside the bucket's largest class is compared with the members of the
-other classes. Members of one class need no comparison, so a group of near copies costs one edge for each member
-and bucket, and no link of a bucket is lost. All links are confirmed on the full shingle sets.
+Pair counts are bounded by stars around the smallest id of each bucket. First every document is compared with the
+least of its buckets' centres, one edge for each document; then with the centres whose class still differs from its
+own. Links that stars can miss lie between members that are in different classes after that; in those buckets, and
+only those, each member outside the bucket's largest class is compared with the members of the other classes. Members
+of one class need no comparison, so a group of near copies costs about one edge for each member, and no link of a
+bucket is lost.
+
+Two tests inside the joins keep pairs from being formed. Two bits of every bin must agree often enough; a pair as
+similar as asked for misses that by five standard deviations. And the shingles that a document has in common with any
+other of the open buckets must be enough for the overlap: a variant with too many words of its own is like nobody,
+however many it shares buckets with. All links are confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start and enter as one row.
 """
@@ -19,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.llm.repeats import spread, texts_and_ids
 from skyledger.llm.texts import LOWER, SPACED, WORDS, mix, slices, window_hash, words
 from skyledger.operators.lineage import settle
 
 BINS, ROWS = 255, 5
+#: Two bits of every bin, 32 bins in a word.
+BIT_WORDS = 8
 
 
 def _sets(body: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,7 +78,7 @@ def densified(filled: np.ndarray, bins: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(id, n_shingles, two sums that name the set, buckets); no buckets without shingles or id."""
+    """(id, n_shingles, two sums that name the set, bits of the bins, buckets); no buckets without shingles or id."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,14 +105,20 @@ def sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
             for r in range(ROWS):
                 mark = mix(mark * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
             ends = np.append(0, np.cumsum(full * (BINS // ROWS))).astype(np.int32)
+            pair = np.zeros((n, BIT_WORDS * 32), np.uint64)
+            pair[:, :BINS] = mix(bins) & np.uint64(3)
+            pair <<= np.tile(np.arange(0, 64, 2, dtype=np.uint64), BIT_WORDS)
+            bits = np.bitwise_or.reduce(pair.reshape(n, BIT_WORDS, 32), axis=2)
             yield pa.record_batch({
                 "id": table[key].combine_chunks().cast(pa.int64()), "n_shingles": pa.array(count),
                 "set1": pa.array(sums[0].view(np.int64)), "set2": pa.array(sums[1].view(np.int64)),
+                "bits": pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * BIT_WORDS), pa.array(bits.reshape(-1).view(np.int64))),
                 "buckets": pa.ListArray.from_arrays(pa.array(ends), pa.array(mark[full].reshape(-1).view(np.int64))),
             })
 
     return docs.select(key, text).mapInArrow(
-        one, "id long, n_shingles long, set1 long, set2 long, buckets array<long>")
+        one, "id long, n_shingles long, set1 long, set2 long, bits array<long>, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -142,7 +156,8 @@ def components(edges: DataFrame) -> DataFrame:
     Labels fall to the least neighbouring label and then to their label's label; rounds grow with the logarithm of
     the longest path. Each round is written, and only counts come to the driver.
     """
-    links = settle(edges.select("a", "b").union(edges.select("b", "a")), "links").toDF("id", "other")
+    links = settle(edges, "links")
+    links = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
     labels = settle(links.groupBy("id").agg(F.min("other").alias("label"))
                     .select("id", F.least("id", "label").alias("label")), "labels")
     while True:
@@ -157,6 +172,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether two documents can be similar enough by n (shingles), bits, and common (shingles others have as well)."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    share = percent / 100
+    expected = share + (1 - share) / 4
+    agree = F.lit(0)
+    for k in range(BIT_WORDS):
+        differ = F.get(f"{a}bits", F.lit(k)).bitwiseXOR(F.get(f"{b}bits", F.lit(k)))
+        agree = agree + F.bit_count(F.bitwise_not(
+            differ.bitwiseOR(F.shiftrightunsigned(differ, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    least = BINS * (expected - 5 * F.sqrt(expected * (1 - expected) / F.least(n, m, F.lit(BINS))))
+    overlap = F.least(f"{a}common", f"{b}common") * (100 + percent) >= (n + m) * percent
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & overlap & ((F.least(n, m) < 16) | (agree >= least))
+
+
+def relabelled(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) after more edges between ids; ids without a label are their own."""
+    between = edges.join(names.toDF("a", "of_a"), "a", "left").join(names.toDF("b", "of_b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
+    merged = components(between)
+    return settle(
+        names.join(merged.toDF("label", "final"), "label", "left").select("id", F.coalesce("final", "label").alias("label"))
+        .union(merged.join(names, "id", "left_anti").select("id", "label")), "names")
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 75,
 ) -> DataFrame:
@@ -170,55 +210,57 @@ def near_duplicates(
     table = settle(sketches(docs, text, key, size), "sketches")
     full = table.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = full.groupBy("set1", "set2").agg(
-        F.min("id").alias("rep"), F.min_by("buckets", "id").alias("buckets"), F.min("n_shingles").alias("n"))
+        F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("bits", "id").alias("bits"),
+        F.min_by("buckets", "id").alias("buckets"))
     rows = classes.select("rep", "n", F.explode("buckets").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(
-        F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = settle(rows.join(crowded.select("bucket", "centre"), "bucket"), "members")
+    crowded = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    pairs = settle(rows.join(crowded.select("bucket", "centre"), "bucket").select("bucket", "rep", "centre"), "members")
+    known = settle(classes.join(pairs.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bits"), "bits")
+    # The ids grow with the corpus, so they are not to be broadcast, however few they are here.
+    sets = settle(shingle_sets(
+        docs.join(known.select(F.col("rep").alias(key)).hint("merge"), key, "left_semi"), text, key, size), "sets")
 
-    def fits(n, m):
-        return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    def stars(some: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs of members and centres that can be alike."""
+        both = some.filter("rep > centre").select("centre", "rep").distinct().join(facts, "rep").join(
+            facts.select(F.col("rep").alias("centre"), F.struct("n", "bits", "common").alias("c")), "centre")
+        return both.filter(alike("", "c.", percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
 
-    sets = settle(shingle_sets(
-        docs.join(members.select(F.col("rep").alias(key)).distinct(), key, "left_semi"), text, key, size), "sets")
-    stars = (
-        members.filter("rep > centre.rep").filter(fits(F.col("n"), F.col("centre.n")))
-        .select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    nearest = stars(pairs.groupBy("rep").agg(F.min("centre").alias("centre")), known.withColumn("common", F.col("n")))
+    names = relabelled(table.limit(0).select("id", F.col("id").alias("label")), confirmed(nearest, sets, percent))
+
+    of_rep, of_centre = names.toDF("rep", "label"), names.toDF("centre", "of_centre")
+    apart = settle(pairs.join(of_rep, "rep", "left").join(of_centre, "centre", "left").filter(
+        F.coalesce("label", "rep") != F.coalesce("of_centre", "centre")).select("bucket", "rep", "centre"), "apart")
+    crowd = pairs.join(apart.select("bucket").distinct(), "bucket", "left_semi").select(F.col("rep").alias("id")).distinct()
+    own = (
+        sets.join(crowd, "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep = last")
+        .groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     )
-    first = components(confirmed(stars, sets, percent))
+    facts = settle(known.join(own, "rep", "left").select(
+        "rep", "n", "bits", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "facts")
+    names = relabelled(names, confirmed(stars(apart, facts), sets, percent))
 
     placed = settle(
-        members.join(first.toDF("rep", "label"), "rep", "left")
-        .select("bucket", "rep", "n", F.col("centre.rep").alias("centre"), F.coalesce("label", "rep").alias("label")),
-        "placed")
+        pairs.join(facts, "rep").join(names.toDF("rep", "label"), "rep", "left")
+        .select("bucket", "rep", "n", "bits", "common", "centre", F.coalesce("label", "rep").alias("label")), "placed")
     sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = (
         sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
         .filter("classes > 1").select("bucket", F.col("top.label").alias("largest"))
     )
     open_ = placed.join(largest, "bucket")
-    outside = open_.filter("label <> largest").select("bucket", F.struct("rep", "n", "label").alias("m"))
+    outside = open_.filter("label <> largest").select("bucket", F.struct("rep", "n", "bits", "common", "label").alias("m"))
     rest = (
         outside.join(open_, "bucket")
-        .filter((F.col("m.label") != F.col("label")) & fits(F.col("n"), F.col("m.n")))
+        .filter((F.col("m.label") != F.col("label")) & alike("", "m.", percent))
         # Both outside: one direction is enough. With the centre the pair has been compared.
         .filter((F.col("label") == F.col("largest")) | (F.col("m.rep") < F.col("rep")))
         .filter((F.col("rep") != F.col("centre")) & (F.col("m.rep") != F.col("centre")))
         .select(F.least("m.rep", "rep").alias("a"), F.greatest("m.rep", "rep").alias("b")).distinct()
     )
-    extra = settle(confirmed(rest, sets, percent), "extra")
-    names = first
-    if not extra.isEmpty():
-        one, two = first.toDF("a", "label_a"), first.toDF("b", "label_b")
-        between = extra.join(one, "a", "left").join(two, "b", "left").select(
-            F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
-        second = components(between)
-        # Classes of the first step under their new name, and documents that only the second step linked.
-        names = (
-            first.join(second.toDF("label", "final"), "label", "left")
-            .select("id", F.coalesce("final", "label").alias("label"))
-            .union(second.join(first, "id", "left_anti").select("id", "label"))
-        )
+    names = relabelled(names, confirmed(rest, sets, percent))
     found = classes.select("set1", "set2", "rep").join(names.toDF("rep", "label"), "rep", "left").select(
         "set1", "set2", F.coalesce("label", "rep").alias("label"))
     linked = full.select("id", "n_shingles", "set1", "set2").join(found, ["set1", "set2"]).select(
