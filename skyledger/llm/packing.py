@@ -25,7 +25,7 @@ from skyledger.llm.tokens import token_ids
 from skyledger.operators.lineage import settle
 
 #: Rows of one bucket of a class.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def token_pieces(docs: DataFrame, text: str, key: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:

@@ -17,7 +17,7 @@ from skyledger.llm.repeats import spread
 from skyledger.llm.texts import BLANKS, BYTES, Slice, mix, slices
 
 #: A worker forgets its chunks beyond this number.
-KEPT = 1_500_000
+KEPT = 4_000_000
 _known: dict[str, "Chunks"] = {}
 
 
@@ -30,6 +30,10 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # In a byte-level vocabulary a token has one character for each of its bytes.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
         self.clear()
 
     @classmethod
@@ -42,40 +46,28 @@ class Chunks:
         self.marks, self.first, self.count = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
         self.ids = np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
 
     def learn(self, marks: np.ndarray, chunks: list[bytes]) -> None:
-        """Encode new chunks. Those that begin with a blank and end without one are encoded in one text."""
-        if len(self.marks) > KEPT:
-            self.clear()
-        plain = np.array([bool(BLANKS[c[0]]) and not BLANKS[c[-1]] for c in chunks], bool)
-        found: list[list[int]] = [[] for _ in chunks]
-        rows = np.flatnonzero(plain)
-        for begin in range(0, len(rows), 512):
-            some = rows[begin : begin + 512].tolist()
-            texts = [chunks[i].decode("utf-8", "replace") for i in some]
-            got = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-            stops = np.cumsum([len(t) for t in texts])
-            starts = np.array([a for a, _ in got.offsets], np.int64)
-            # A character cut into several tokens has one place for all of them.
-            for i, a, b in zip(some, *_ranges(starts, stops)):
-                found[i] = got.ids[a:b]
-        odd = np.flatnonzero(~plain).tolist()
-        for i, ids in zip(odd, self.encode([chunks[i].decode("utf-8", "replace") for i in odd]) if odd else []):
-            found[i] = ids
-        count = np.array([len(x) for x in found], np.int64)
+        """Encode new chunks. Those that begin with a blank and end without one are encoded many in one text; as
+        every token stands for a known number of bytes, the ids of each chunk can be told from their sum."""
+        plain = np.array([c[0] in b" \t\n\v\f\r" and c[-1] not in b" \t\n\v\f\r" for c in chunks], bool)
+        order = np.append(np.flatnonzero(plain), np.flatnonzero(~plain))
+        rows = order[: plain.sum()].tolist()
+        joined = [b"".join(chunks[i] for i in rows[a : a + 512]) for a in range(0, len(rows), 512)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *self.encode(joined)])
+        stops = np.cumsum([len(chunks[i]) for i in rows])
+        last = np.searchsorted(np.cumsum(self.width[ids]), stops) + 1
+        single = self.encode([chunks[i] for i in order[len(rows) :].tolist()])
+        count = np.append(np.diff(np.append(0, last)), [len(x) for x in single]).astype(np.int64)
         first = np.cumsum(count) - count + len(self.ids)
-        self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())))
-        every = np.append(self.marks, marks)
-        order = np.argsort(every, kind="stable")
-        self.marks = every[order]
-        self.first, self.count = np.append(self.first, first)[order], np.append(self.count, count)[order]
-
-
-def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[list[int], list[int]]:
-    b = np.searchsorted(starts, stops, "left")
-    return np.append(0, b[:-1]).tolist(), b.tolist()
+        self.ids = np.concatenate([self.ids, ids, *single])
+        every = np.append(self.marks, marks[order])
+        turn = np.argsort(every, kind="stable")
+        self.marks = every[turn]
+        self.first, self.count = np.append(self.first, first)[turn], np.append(self.count, count)[turn]
 
 
 def _unusual(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -122,10 +114,10 @@ def _slice_ids(known: Chunks, part: Slice) -> tuple[np.ndarray, np.ndarray]:
     limits = np.append(0, np.cumsum(count))[np.searchsorted(start, bounds)]
     odd = _unusual(data, bounds)
     if len(odd):
-        whole = known.encode([data[bounds[d] : bounds[d + 1]].tobytes().decode("utf-8", "replace") for d in odd.tolist()])
+        whole = known.encode([data[bounds[d] : bounds[d + 1]].tobytes() for d in odd.tolist()])
         parts, sizes, last = [], np.diff(limits), 0
         for d, got in zip(odd.tolist(), whole):
-            parts += [ids[limits[last] : limits[d]], np.array(got, np.uint32)]
+            parts += [ids[limits[last] : limits[d]], got]
             sizes[d], last = len(got), d + 1
         ids = np.concatenate([*parts, ids[limits[last] :]])
         limits = np.append(0, np.cumsum(sizes))
