@@ -29,8 +29,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from skyledger.llm.texts import BYTES, SPACED, WORDS, Slice, Words, _Powers, mix, slices, sliding_min, window_hash, words
 
 BLOCK = "__block"
-INDEX = "part long, single boolean, content long, block long, doc long, pos long, last_doc long, last_pos long, body binary"
-REFS = "block long, single boolean, content long, at int, n int, ref_doc long, ref_pos long"
+INDEX = (
+    "part long, single boolean, content long, seed long, block long, doc long, pos long, last_doc long, last_pos long,"
+    " body binary"
+)
+REFS = "block long, single boolean, content long, seed long, at int, n int, ref_doc long, ref_pos long"
 
 
 @dataclass(frozen=True)
@@ -176,7 +179,7 @@ def index(docs: DataFrame, by: str, shared: DataFrame, text: str, key: str, how:
         order = np.argsort(seed)
         seed, heavy = seed[order], heavy[order]
         kept: list[tuple] = []
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
         for part in slices(body) if len(seed) else ():
             s = how.symbols(part)
             runs = runs_of(s, how)
@@ -192,12 +195,13 @@ def index(docs: DataFrame, by: str, shared: DataFrame, text: str, key: str, how:
                 for c, v in zip(cols, (
                     mark, ids[part.first : part.last][some.doc], some.start - s.limits[some.doc],
                     mark if single else some.seed, np.full(len(mark), single), some.start, some.count,
+                    some.seed if single else np.zeros(len(mark), np.int64),  # runs have their seed in ``part``
                 )):
                     c.append(v)
                 kept.append((s, len(mark)))
         if not kept:
             return pa.table({f.name: pa.array([], f.type) for f in INDEX_ARROW}, INDEX_ARROW)
-        mark, doc, pos, part_key, single, start, count = (np.concatenate(c) for c in cols)
+        mark, doc, pos, part_key, single, start, count, own_seed = (np.concatenate(c) for c in cols)
         owner = np.repeat(np.arange(len(kept)), [n for _, n in kept])
         order = np.lexsort((pos, doc, mark))
         head = np.flatnonzero(np.append(True, mark[order][1:] != mark[order][:-1]))
@@ -210,7 +214,7 @@ def index(docs: DataFrame, by: str, shared: DataFrame, text: str, key: str, how:
             mine = head[owner[head] == k]
             bodies.append(body_of(kept[k][0], start[mine], count[mine], how))
         return pa.table({
-            "part": part_key[head], "single": single[head], "content": mark[head],
+            "part": part_key[head], "single": single[head], "content": mark[head], "seed": own_seed[head],
             "block": np.full(len(head), name[0].as_py()), "doc": doc[head], "pos": pos[head],
             "last_doc": doc[tail], "last_pos": pos[tail], "body": pa.chunked_array(bodies, pa.binary()),
         }).cast(INDEX_ARROW)
@@ -219,12 +223,12 @@ def index(docs: DataFrame, by: str, shared: DataFrame, text: str, key: str, how:
 
 
 INDEX_ARROW = pa.schema([
-    ("part", pa.int64()), ("single", pa.bool_()), ("content", pa.int64()), ("block", pa.int64()), ("doc", pa.int64()),
-    ("pos", pa.int64()), ("last_doc", pa.int64()), ("last_pos", pa.int64()), ("body", pa.binary()),
+    ("part", pa.int64()), ("single", pa.bool_()), ("content", pa.int64()), ("seed", pa.int64()), ("block", pa.int64()),
+    ("doc", pa.int64()), ("pos", pa.int64()), ("last_doc", pa.int64()), ("last_pos", pa.int64()), ("body", pa.binary()),
 ])
 REFS_ARROW = pa.schema([
-    ("block", pa.int64()), ("single", pa.bool_()), ("content", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
-    ("ref_doc", pa.int64()), ("ref_pos", pa.int64()),
+    ("block", pa.int64()), ("single", pa.bool_()), ("content", pa.int64()), ("seed", pa.int64()), ("at", pa.int32()),
+    ("n", pa.int32()), ("ref_doc", pa.int64()), ("ref_pos", pa.int64()),
 ])
 
 
@@ -275,7 +279,7 @@ def references(e: Entries, row: np.ndarray, at: np.ndarray, ref_doc: np.ndarray,
     take = row[head]
     return pa.table({
         "block": e.table["block"].to_numpy()[take], "single": e.table["single"].to_numpy()[take],
-        "content": e.table["content"].to_numpy()[take], "at": at[head].astype(np.int32),
+        "content": e.table["content"].to_numpy()[take], "seed": e.table["seed"].to_numpy()[take], "at": at[head].astype(np.int32),
         "n": np.diff(np.append(head, len(row))).astype(np.int32), "ref_doc": ref_doc[head], "ref_pos": ref_pos[head],
     }).cast(REFS_ARROW)
 
@@ -313,6 +317,8 @@ class Lookup:
     def __init__(self, refs: pa.Table, how: Search):
         self.how = how
         single = refs["single"].to_numpy()
+        #: Seeds whose windows stand for themselves.
+        self.heavy = np.unique(refs["seed"].to_numpy()[single])
         self.kinds = []
         for kind in (False, True):
             some = refs.filter(pa.array(single == kind)).sort_by([("content", "ascending"), ("at", "ascending")])
@@ -325,7 +331,7 @@ class Lookup:
         for refs, single in zip(self.kinds, (False, True)):
             if not len(refs["content"]):
                 continue
-            some = runs.windows() if single else runs
+            some = runs.take(member(runs.seed, self.heavy) >= 0).windows() if single else runs
             mark = contents(s, some, self.how)
             lo, hi = (np.searchsorted(refs["content"], mark, side) for side in ("left", "right"))
             hit = np.flatnonzero(hi > lo)

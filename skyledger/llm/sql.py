@@ -24,8 +24,8 @@ REPEATED_BYTES = """
 WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
 starts AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d),
 windows AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM starts),
-firsts AS (SELECT s, min((doc_id, i)) AS f FROM windows GROUP BY s),
-hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE f < (doc_id, i)),
+firsts AS (SELECT s, min(doc_id * 4294967296 + i) AS f FROM windows GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE f < doc_id * 4294967296 + i),
 edges AS (
   SELECT doc_id, i, CASE WHEN i > max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100
     OR row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1 THEN 1 ELSE 0 END AS fresh FROM hits),
