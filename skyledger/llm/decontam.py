@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from skyledger.llm.repeats import spread
-from skyledger.llm.texts import ALNUM, LOWER, WORDS, cover, mix, pieces, slices, window_hash, words
+from skyledger.llm.texts import ALNUM, LOWER, WORDS, cover, mix, pieces, slices, tidy, window_hash, words
 from skyledger.operators.lineage import settle
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, text: str, index: Index) -> DataFrame:
             out = pa.table([new[n] if n in new else table[n] for n in schema.names], names=schema.names)
             yield from out.to_batches()
 
-    return docs.mapInArrow(one, schema)
+    return docs.mapInArrow(tidy(one), schema)
 
 
 def _hits(data: np.ndarray, found, known: Index) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skyledger.llm.texts import ALNUM, LOWER, WORDS, slices, window_hash, words
+from skyledger.llm.texts import ALNUM, LOWER, WORDS, slices, tidy, window_hash, words
 from skyledger.operators.lineage import settle
 
 #: Ranges that one pass of the selection tells apart.
@@ -48,7 +48,7 @@ def gram_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         some = np.flatnonzero(total[0])
         yield pa.record_batch({"bucket": pa.array(some), "raw": pa.array(total[0][some]), "target": pa.array(total[1][some])})
 
-    return docs.select(text, "is_target").mapInArrow(one, "bucket long, raw long, target long").groupBy("bucket").agg(
+    return docs.select(text, "is_target").mapInArrow(tidy(one), "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -75,7 +75,7 @@ def weights(docs: DataFrame, text: str, key: str, ratio: np.ndarray, length_powe
                 "log_weight": pa.array(total / np.maximum(count, 1) ** length_power),
             })
 
-    return docs.select(key, text).mapInArrow(one, "id long, n_grams long, log_weight double")
+    return docs.select(key, text).mapInArrow(tidy(one), "id long, n_grams long, log_weight double")
 
 
 def kth(rows: DataFrame, column: str, k: int, largest: bool) -> tuple[float | int, int]:

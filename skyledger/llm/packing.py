@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from skyledger.llm.texts import tidy
 from skyledger.llm.tokens import token_ids
 from skyledger.operators.lineage import settle
 
@@ -48,7 +49,7 @@ def token_pieces(docs: DataFrame, text: str, key: str, tokenizer: str, end_id: i
                 names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(key, text).mapInArrow(
-        one, "id long, start long, length long, ids_crc32 long, doc_tokens long")
+        tidy(one), "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(classes: int, present: np.ndarray) -> np.ndarray:

@@ -26,7 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from skyledger.llm.texts import BYTES, SPACED, WORDS, Slice, Words, _Powers, mix, slices, sliding_min, window_hash, words
+from skyledger.llm.texts import (
+    BYTES, SPACED, WORDS, Slice, Words, _Powers, give_back, mix, slices, sliding_min, tidy, window_hash, words,
+)
 
 BLOCK = "__block"
 INDEX = (
@@ -156,6 +158,7 @@ def seeds(docs: DataFrame, by: str, text: str, key: str, how: Search) -> DataFra
                 seed, doc = runs.seed[order], runs.doc[order]
                 found.append(seed[np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))[: len(seed)]])
         value, n = np.unique(np.concatenate(found), return_counts=True)
+        give_back()
         return pa.table({"seed": value, "block": np.full(len(value), name[0].as_py()), "n": n})
 
     return docs.groupBy(by).applyInArrow(one, "seed long, block long, n long")
@@ -292,10 +295,12 @@ def search(
     """``finish`` gets each block's documents and the references of its runs; its rows are the result."""
     dealt, by = blocked(docs, text, key, how)
     shared = shared_seeds(seeds(dealt, by, text, key, how), how)
-    refs = index(dealt, by, shared, text, key, how).repartition("part").mapInArrow(resolve, REFS)
+    refs = index(dealt, by, shared, text, key, how).repartition("part").mapInArrow(tidy(resolve), REFS)
 
     def one(table: pa.Table, found: pa.Table) -> pa.Table:
-        return finish(table.drop_columns([by]), found)
+        out = finish(table.drop_columns([by]), found)
+        give_back()
+        return out
 
     return dealt.groupBy(by).cogroup(refs.groupBy("block")).applyInArrow(one, schema)
 

@@ -6,7 +6,9 @@ megabyte, so that memory follows the longest document and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,3 +182,23 @@ def hash_rows(rows: np.ndarray) -> np.ndarray:
     """Hash of each row of a byte matrix."""
     up, _ = BYTES.get(rows.shape[1] + 1)
     return mix(((rows.astype(np.uint64) + np.uint64(1)) * up[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+
+def give_back() -> None:
+    """Return free memory to the system: workers stay between tasks, and the next stage needs what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(function: Callable) -> Callable:
+    """A task function over batches that gives memory back when it is through."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run

@@ -127,5 +127,5 @@ def _slice_ids(known: Chunks, part: Slice) -> tuple[np.ndarray, np.ndarray]:
 def token_ids(column: pa.Array | pa.ChunkedArray, path: str):
     """(first document, ids, limits per document) slice by slice; a null text has no ids."""
     known = Chunks.of(path)
-    for part in slices(column, 4 << 20):
+    for part in slices(column, 2 << 20):
         yield part.first, *_slice_ids(known, part)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyledger.llm.texts import BYTES, SPACED, hash_rows, mix, slices, words
+from skyledger.llm.texts import BYTES, SPACED, hash_rows, mix, slices, tidy, words
 
 MARK = "▁".encode()
 #: Longer words are scored one by one; a worker forgets its words beyond this number.
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
         known = Vocabulary.of(vocabulary)
         for batch in batches:
             n_words, n_tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for part in slices(batch.column(1), 4 << 20):
+            for part in slices(batch.column(1), 2 << 20):
                 found = words(part.data, part.bounds, SPACED)
                 n_words.append(np.diff(found.doc))
                 if not len(found.start):
@@ -158,4 +158,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
             })
 
     return docs.select(key, text).mapInArrow(
-        one, f"id {docs.schema[key].dataType.simpleString()}, n_pretokens long, n_tokens long").withColumnRenamed("id", key)
+        tidy(one), f"id {docs.schema[key].dataType.simpleString()}, n_pretokens long, n_tokens long").withColumnRenamed("id", key)
