@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.llm.repeats import spread, texts_and_ids
-from skyledger.llm.texts import LOWER, SPACED, WORDS, mix, slices, window_hash, words
+from skyledger.llm.texts import LOWER, SPACED, WORDS, mix, slices, tidy, window_hash, words
 from skyledger.operators.lineage import settle
 
 BINS, ROWS = 255, 5
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
             })
 
     return docs.select(key, text).mapInArrow(
-        one, "id long, n_shingles long, set1 long, set2 long, bits array<long>, buckets array<long>")
+        tidy(one), "id long, n_shingles long, set1 long, set2 long, bits array<long>, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -135,7 +135,7 @@ def shingle_sets(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
                     "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64))),
                 })
 
-    return docs.select(key, text).mapInArrow(one, "id long, shingles array<long>")
+    return docs.select(key, text).mapInArrow(tidy(one), "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +215,7 @@ def near_duplicates(
     rows = classes.select("rep", "n", F.explode("buckets").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     pairs = settle(rows.join(crowded.select("bucket", "centre"), "bucket").select("bucket", "rep", "centre"), "members")
-    known = settle(classes.join(pairs.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bits"), "bits")
+    known = settle(classes.join(pairs.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bits", "buckets"), "bits")
     # The ids grow with the corpus, so they are not to be broadcast, however few they are here.
     sets = settle(shingle_sets(
         docs.join(known.select(F.col("rep").alias(key)).hint("merge"), key, "left_semi"), text, key, size), "sets")
@@ -232,32 +232,36 @@ def near_duplicates(
     of_rep, of_centre = names.toDF("rep", "label"), names.toDF("centre", "of_centre")
     apart = settle(pairs.join(of_rep, "rep", "left").join(of_centre, "centre", "left").filter(
         F.coalesce("label", "rep") != F.coalesce("of_centre", "centre")).select("bucket", "rep", "centre"), "apart")
-    crowd = pairs.join(apart.select("bucket").distinct(), "bucket", "left_semi").select(F.col("rep").alias("id")).distinct()
+    crowded_pairs = pairs.join(apart.select("bucket").distinct(), "bucket", "left_semi")
+    crowd = crowded_pairs.select(F.col("rep").alias("id")).distinct()
     own = (
         sets.join(crowd, "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
         .groupBy("shingle").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep = last")
         .groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     )
     facts = settle(known.join(own, "rep", "left").select(
-        "rep", "n", "bits", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "facts")
+        "rep", "n", "bits", "buckets", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "facts")
     names = relabelled(names, confirmed(stars(apart, facts), sets, percent))
 
     placed = settle(
-        pairs.join(facts, "rep").join(names.toDF("rep", "label"), "rep", "left")
-        .select("bucket", "rep", "n", "bits", "common", "centre", F.coalesce("label", "rep").alias("label")), "placed")
+        crowded_pairs.join(facts, "rep").join(names.toDF("rep", "label"), "rep", "left")
+        .select("bucket", "rep", "n", "bits", "common", "buckets", "centre", F.coalesce("label", "rep").alias("label")), "placed")
     sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = (
         sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
         .filter("classes > 1").select("bucket", F.col("top.label").alias("largest"))
     )
     open_ = placed.join(largest, "bucket")
-    outside = open_.filter("label <> largest").select("bucket", F.struct("rep", "n", "bits", "common", "label").alias("m"))
+    outside = open_.filter("label <> largest").select("bucket", F.struct("rep", "n", "bits", "common", "buckets", "label").alias("m"))
     rest = (
         outside.join(open_, "bucket")
         .filter((F.col("m.label") != F.col("label")) & alike("", "m.", percent))
         # Both outside: one direction is enough. With the centre the pair has been compared.
         .filter((F.col("label") == F.col("largest")) | (F.col("m.rep") < F.col("rep")))
         .filter((F.col("rep") != F.col("centre")) & (F.col("m.rep") != F.col("centre")))
+        # Of the buckets that two documents share, the first one forms the pair. It may be one that a centre of theirs
+        # has settled: then they have been compared.
+        .filter(F.array_min(F.array_intersect("buckets", "m.buckets")) == F.col("bucket"))
         .select(F.least("m.rep", "rep").alias("a"), F.greatest("m.rep", "rep").alias("b")).distinct()
     )
     names = relabelled(names, confirmed(rest, sets, percent))
