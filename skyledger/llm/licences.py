@@ -24,6 +24,10 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 
+#: Postings of all templates that are broadcast at most.
+BROADCAST_POSTINGS = 100_000
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -118,9 +122,10 @@ def scan(
         F.array_max(F.transform("places", lambda p: p["at"])).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"),
         F.when(F.size("chosen") > 0, near).alias("near")), "licences")
-    posted = docs.sparkSession.createDataFrame(
-        [(w, t, q) for t, b in enumerate(bodies) for q, w in enumerate(b) if w in set(rare)] or [("", 0, 0)],
-        "word string, template int, q int")
+    postings = [(w, t, q) for t, b in enumerate(bodies) for q, w in enumerate(b) if w in set(rare)]
+    posted = docs.sparkSession.createDataFrame(postings or [("", 0, 0)], "word string, template int, q int")
+    if len(postings) <= BROADCAST_POSTINGS:  # a frequent word then stays where its files are
+        posted = F.broadcast(posted)
     votes = (
         found.select("id", F.explode("near").alias("v")).select("id", "v.*").join(posted, "word")
         .withColumn("start", F.col("at") - F.col("q"))
