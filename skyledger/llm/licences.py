@@ -1,9 +1,10 @@
 """Licence scans over a positional index of rare words.
 
-Each template's words are posted with their positions. A word's weight is its inverse document frequency in the whole
-corpus. For each file the highest-weighted licence words that it holds are looked up; a word at place p that a template
-has at place q votes for the template to start at p - q. Templates with enough votes for one start are compared
-word by word there, and count only if their mandatory key phrases stand in the matched words.
+A word's weight is its inverse document frequency in the whole corpus. Each template's highest-weighted words are
+posted with their positions, so many that a text with the least share of the template in place holds at least two of
+them in place (one, if one word alone may reach that share). Every posted word of a file is looked up; a word at place
+p that a template has at place q votes for the template to start at p - q. Templates with enough votes for one start
+are compared word by word there, and count only if their mandatory key phrases stand in the matched words.
 
 Only DataFrame functions are used. Texts are split twice, once for the frequencies and once for the places; what is
 shuffled is one row per vote.
@@ -87,31 +88,48 @@ def base_places(words: str) -> Column:
     ).otherwise(F.array().cast("array<struct<at:int,label:string>>"))
 
 
+def voting_words(body: list[str], shares: list[float], least: float) -> tuple[list[str], int]:
+    """The template's highest-weighted words that are looked up, and how many of them must agree on a start.
+
+    No text with ``least`` of the template's weight in place has fewer of them in place: what it misses weighs at most
+    1 - ``least``, and the words weigh more even without the heaviest of them.
+    """
+    own: dict[str, float] = {}
+    for w, x in zip(body, shares):
+        own[w] = own.get(w, 0.0) + x
+    order = sorted(own, key=lambda w: (-own[w], w))
+    for votes in (2, 1):
+        for k in range(votes, len(order) + 1):
+            # The heaviest words come first; all but votes - 1 of these may be missed.
+            if sum(own[w] for w in order[votes - 1 : k]) > 1 - least + 1e-9:
+                return order[:k], votes
+    return order, 1
+
+
 def scan(
     docs: DataFrame, text: str = "text", key: str = "doc_id", templates: tuple[Template, ...] = TEMPLATES,
-    rare_words: int = 6, rare_share: float = 0.2, least: float = 0.8,
+    least: float = 0.8,
 ) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``
     and ``score``, the largest weighted share of a verified template's words that stand in place (1 with a base phrase).
 
-    ``rare_words``: licence words looked up per file, those in at most ``rare_share`` of all documents.
-    ``least``: share of a template's weight that must match. Null and empty texts have no words and no labels; repeated
-    rows are labelled each; rows with one id share what the method finds. An empty table gives no rows. Other columns
-    are not read.
+    ``least``: share of a template's weight that must match. A template whose words are all in every document weighs
+    them equally. Null and empty texts have no words and no labels; repeated rows are labelled each; rows with one id
+    share what the method finds. An empty table gives no rows. Other columns are not read.
     """
     bodies = [t.words.split() for t in templates]
     vocabulary = sorted({w for b in bodies for w in b})
     held = document_frequencies(docs, text, vocabulary)
     n = max(1, docs.count())
     weight = {w: math.log((n + 1) / (held.get(w, 0) + 1)) for w in vocabulary}
-    rare = [w for w in sorted(vocabulary, key=lambda w: (-weight[w], w)) if 0 < held.get(w, 0) <= max(1, rare_share * n)]
+    shares = [_shares(b, weight) for b in bodies]
+    voting = [voting_words(b, x, least) for b, x in zip(bodies, shares)]
+    posted_words = sorted({w for words, _ in voting for w in words})
     reach = max(map(len, bodies))
-    order = F.array(*map(F.lit, rare)).cast("array<string>")
     split = docs.select(F.col(key).alias("id"), split_words(F.col(text)).alias("words"))
-    chosen = split.withColumns({
-        "places": base_places("words"), "chosen": F.slice(F.array_intersect(order, "words"), 1, rare_words)})
+    chosen = split.withColumn("places", base_places("words"))
     near = F.filter(
-        F.transform("words", lambda w, i: F.when(F.array_contains("chosen", w), F.struct(
+        F.transform("words", lambda w, i: F.when(w.isin(posted_words), F.struct(
             w.alias("word"), i.alias("at"),
             F.slice("words", F.greatest(i - reach + 1, F.lit(1)), reach * 2).alias("near"),
             (F.greatest(i - reach, F.lit(0))).alias("begin")))),
@@ -121,8 +139,8 @@ def scan(
         F.array_min(F.transform("places", lambda p: p["at"])).cast("long").alias("first_word"),
         F.array_max(F.transform("places", lambda p: p["at"])).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"),
-        F.when(F.size("chosen") > 0, near).alias("near")), "licences")
-    postings = [(w, t, q) for t, b in enumerate(bodies) for q, w in enumerate(b) if w in set(rare)]
+        near.alias("near")), "licences")
+    postings = [(w, t, q) for t, b in enumerate(bodies) for q, w in enumerate(b) if w in voting[t][0]]
     posted = docs.sparkSession.createDataFrame(postings or [("", 0, 0)], "word string, template int, q int")
     if len(postings) <= BROADCAST_POSTINGS:  # a frequent word then stays where its files are
         posted = F.broadcast(posted)
@@ -136,10 +154,10 @@ def scan(
         .groupBy("id", "template", "start").agg(
             F.countDistinct("word").alias("voters"), F.min("covered").alias("covered"))
     )
-    needed = _by_template([min(2, len({w for w in b if w in set(rare)})) for b in bodies])
+    needed = _by_template([votes for _, votes in voting])
     labels = (
         votes.filter(F.col("voters") >= needed)
-        .withColumn("share", _share(bodies, weight)).filter((F.col("share") >= least) & _phrases(templates))
+        .withColumn("share", _share(bodies, shares)).filter((F.col("share") >= least) & _phrases(templates))
         .groupBy("id").agg(F.max("share").alias("share"), F.collect_set(_by_template([t.label for t in templates])).alias("more"))
         .withColumnRenamed("id", "of")
     )
@@ -155,12 +173,17 @@ def _by_template(values: list) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col("template") + 1)
 
 
-def _share(bodies: list[list[str]], weight: dict[str, float]) -> Column:
+def _shares(body: list[str], weight: dict[str, float]) -> list[float]:
+    """Share of each place of the template in its weight."""
+    total = sum(weight[w] for w in body)
+    return [weight[w] / total if total else 1 / len(body) for w in body]
+
+
+def _share(bodies: list[list[str]], shares: list[list[float]]) -> Column:
     """Weight of the template's words that stand in their place, of all its weight."""
     out = F.lit(0.0)
     for t, body in enumerate(bodies):
-        total = sum(weight[w] for w in body) or 1.0
-        same = sum((F.when(F.get("covered", F.lit(q)) == w, weight[w] / total).otherwise(0.0) for q, w in enumerate(body)), F.lit(0.0))
+        same = sum((F.when(F.get("covered", F.lit(q)) == w, shares[t][q]).otherwise(0.0) for q, w in enumerate(body)), F.lit(0.0))
         out = F.when(F.col("template") == t, same).otherwise(out)
     return F.least(out, F.lit(1.0))
 

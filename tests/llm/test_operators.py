@@ -192,6 +192,31 @@ def test_licences(spark, corpus):
     assert labels == {1000: "apache-2.0", 1001: "mit", 1002: "reserved", 1003: "gpl,gpl-3.0", 1004: "cc-by,cc-by-nc-4.0", 1005: "cc-by,gpl"}
 
 
+def licence_labels(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {d: r[0] for d, r in by_id(licences.scan(df), "labels").items() if r[0]}
+
+
+@pytest.mark.parametrize("rows, every", [(5, 2), (9, 3), (90, 3), (60, 1)])
+def test_licence_notice_in_many_rows(spark, rows, every):
+    notice = " Licensed under the Apache License, Version 2.0"
+    got = licence_labels(spark, [f"text number {i} of the table" + notice * (i % every == 0) for i in range(rows)])
+    assert got == {i: "apache-2.0" for i in range(0, rows, every)}
+
+
+def test_voting_words_miss_no_match():
+    rng = np.random.default_rng(5)
+    for t in licences.TEMPLATES:
+        body = t.words.split()
+        for _ in range(300):
+            weight = dict(zip(body, rng.exponential(size=len(body)) ** 3))
+            shares = licences._shares(body, weight)
+            words, votes = licences.voting_words(body, shares, 0.8)
+            place = rng.permutation(len(body))
+            gone = place[: np.searchsorted(np.cumsum(np.array(shares)[place]), 0.2, "right")]
+            assert len({w for q, w in enumerate(body) if q not in gone} & set(words)) >= votes
+
+
 def test_packing(spark, documents, corpus):
     from tokenizers import Tokenizer
 
