@@ -204,6 +204,16 @@ def test_licence_notice_in_many_rows(spark, rows, every):
     assert got == {i: "apache-2.0" for i in range(0, rows, every)}
 
 
+def test_several_licence_notices_in_a_file(spark, corpus):
+    bsd, mit, isc, mozilla = (next(t.words for t in licences.TEMPLATES if t.label == x) for x in ("bsd", "mit", "isc", "mpl-2.0"))
+    prose = next(t for _, t in corpus if t and len(t.split()) >= 3000)
+    stray = " redistribution mozilla unencumbered copy gnu modify associated sa nc v lesser purpose "
+    german = [f"Der Text {i} kommt mit dem Wort" for i in range(20)]
+    assert licence_labels(spark, [
+        f"{bsd}. {mit}", f"{mit} {prose} {bsd} {prose} {isc}", f"{stray} {prose} {mozilla} {prose} {stray}", prose, stray,
+        *german]) == {0: "bsd,mit", 1: "bsd,isc,mit", 2: "mpl-2.0"}
+
+
 def test_voting_words_miss_no_match():
     rng = np.random.default_rng(5)
     for t in licences.TEMPLATES:
