@@ -29,14 +29,15 @@ from skyledger.operators.lineage import settle
 BUCKET_ROWS = 4_000
 
 
-def token_pieces(docs: DataFrame, text: str, key: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, text: str, key: str, tokenizer: str, end_id: int, capacity: int,
+                 added_tokens: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each document cut at multiples of the capacity."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).cast(pa.int64())
             out: list[list] = [[] for _ in range(5)]
-            for first, ids, limits in token_ids(batch.column(1), tokenizer):
+            for first, ids, limits in token_ids(batch.column(1), tokenizer, added_tokens):
                 for d in range(len(limits) - 1):
                     mine = np.append(ids[limits[d] : limits[d + 1]], np.uint32(end_id)).astype("<u4", copy=False)
                     for a in range(0, len(mine), capacity):
@@ -154,16 +155,17 @@ def slots(made: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 def pack(
     docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 1, capacity: int = 2048,
-    unit: int = 8,
+    unit: int = 8, added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and
     ``padded_length`` (the sequence's length if that is a power of two, else the capacity).
 
-    Every document ends with ``end_id``; a null or empty text is that id alone. Repeated rows are packed each for
+    ``added_tokens``: the text of a token added to the tokenizer is that token's id, as by the tokenizer's default;
+    otherwise it is ordinary text. Every document ends with ``end_id``; a null or empty text is that id alone. Repeated rows are packed each for
     itself; a row without an id keeps a null id. An empty table gives no rows. Other columns are not read.
     """
     pieces = settle(
-        token_pieces(docs, text, key, tokenizer, end_id, capacity)
+        token_pieces(docs, text, key, tokenizer, end_id, capacity, added_tokens)
         .withColumn("class", F.ceil(F.col("length") / unit).cast("int")), "pieces")
     counts = pieces.groupBy("class").count().collect()  # one row per class at most
     histogram = np.zeros(math.ceil(capacity / unit) + 1, np.int64)

@@ -62,7 +62,7 @@ def op6_lz_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(texts(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(texts(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op8_trie_counts(spark: SparkSession, folder: str) -> DataFrame:

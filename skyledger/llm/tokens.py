@@ -3,7 +3,8 @@
 The tokenizer's splitting pattern never joins a non-blank with a blank that follows it, so a text may be cut before
 every run of blanks and the ids of its chunks stand one after the other. Chunks repeat a great deal; a worker keeps
 their ids. A text with blanks outside ASCII, or with control characters that some patterns take for blanks, is
-encoded whole instead. Chunks are told apart by a 64-bit hash and their length.
+encoded whole instead; so is, if added tokens are wanted, a text that holds the text of one of the tokenizer's added
+tokens, such as <|endoftext|>, as the tokenizer reads it by default. Chunks are told apart by a 64-bit hash and their length.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # In a byte-level vocabulary a token has one character for each of its bytes.
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.clear()
 
     @classmethod
@@ -46,7 +47,8 @@ class Chunks:
         self.marks, self.first, self.count = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
         self.ids = np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes], added_tokens: bool = False) -> list[np.ndarray]:
+        self.tokenizer.encode_special_tokens = not added_tokens
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
@@ -84,7 +86,18 @@ def _unusual(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1)
 
 
-def _slice_ids(known: Chunks, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+def _holding(data: np.ndarray, bounds: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """Documents that hold one of the tokens' texts; one that begins such a text and ends within it may be among them."""
+    text, found = data.tobytes(), []
+    for token in tokens:
+        at = text.find(token)
+        while at >= 0:
+            found.append(at)
+            at = text.find(token, at + 1)
+    return np.unique(np.searchsorted(bounds, np.array(found, np.int64), "right") - 1)
+
+
+def _slice_ids(known: Chunks, part: Slice, added_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
     data, bounds = part.data, part.bounds
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(part.docs + 1, np.int64)
@@ -113,8 +126,10 @@ def _slice_ids(known: Chunks, part: Slice) -> tuple[np.ndarray, np.ndarray]:
     ids = known.ids[spread(known.first[at], count)]
     limits = np.append(0, np.cumsum(count))[np.searchsorted(start, bounds)]
     odd = _unusual(data, bounds)
+    if added_tokens:
+        odd = np.union1d(odd, _holding(data, bounds, known.added))
     if len(odd):
-        whole = known.encode([data[bounds[d] : bounds[d + 1]].tobytes() for d in odd.tolist()])
+        whole = known.encode([data[bounds[d] : bounds[d + 1]].tobytes() for d in odd.tolist()], added_tokens)
         parts, sizes, last = [], np.diff(limits), 0
         for d, got in zip(odd.tolist(), whole):
             parts += [ids[limits[last] : limits[d]], got]
@@ -124,8 +139,9 @@ def _slice_ids(known: Chunks, part: Slice) -> tuple[np.ndarray, np.ndarray]:
     return ids, limits
 
 
-def token_ids(column: pa.Array | pa.ChunkedArray, path: str):
-    """(first document, ids, limits per document) slice by slice; a null text has no ids."""
+def token_ids(column: pa.Array | pa.ChunkedArray, path: str, added_tokens: bool = False):
+    """(first document, ids, limits per document) slice by slice; a null text has no ids. ``added_tokens``: the text of
+    an added token is its id, as by default in the tokenizer, instead of ordinary pieces."""
     known = Chunks.of(path)
     for part in slices(column, 2 << 20):
-        yield part.first, *_slice_ids(known, part)
+        yield part.first, *_slice_ids(known, part, added_tokens)

@@ -248,6 +248,21 @@ def test_packing(spark, documents, corpus):
     assert all(r.padded_length in (512, sequences[r.sequence_id]) for r in rows)
 
 
+def test_packing_reads_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    import corpus_pipeline
+    from skyledger.llm.queries import op7_histogram_packing
+    from tokenizers import Tokenizer
+
+    tokenizer, end = Tokenizer.from_file(BYTE_BPE), "<|endoftext|>"
+    texts = [f"one{end}two three", f"{end}{end} x", "plain text", end[:6], f"{end[6:]} tail {end}", "plain text", None, f"a\u00a0{end} b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t in enumerate(texts)}
+    assert sum(50256 in x for x in ids.values()) == 4
+    for made in (op7_histogram_packing(spark, str(tmp_path)), corpus_pipeline.packed_sequences(spark, rows, str(tmp_path))):
+        assert by_id(made, "ids_crc32", "doc_tokens") == {d: (plain.checksum(x), len(x)) for d, x in ids.items()}
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(0)
     for shape in ("even", "one", "large"):
