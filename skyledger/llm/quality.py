@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyledger.operators.lineage import settle
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: The transformed statistics with the least scale that a group's spread counts as.
-VECTOR = {"word_length": 0.15, "symbols": 0.25, "lines": 0.25, "repeats": 0.25}
+#: The transformed statistics with the least scale that a group's spread counts as. In a group without spread a value
+#: alone is beyond a squared distance c from scale * sqrt(c * ridge) on: at 100 and 0.1 words 1.6 times as long as
+#: usual, 4.4 % symbols, 57 % repeated lines, 41 % words in repeated windows (over 50 % fail the base rule).
+VECTOR = {"word_length": 0.15, "symbols": 0.2, "lines": 0.18, "repeats": 0.13}
 P = len(VECTOR)
 #: Quantiles of the chi-squared distribution with four degrees of freedom: 0.5 and 0.975.
 CHI_HALF, CHI_975 = 3.3567, 11.1433
@@ -62,13 +64,14 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vector() -> dict[str, Column]:
-    """The transformed statistics: logarithms and square roots bring their tails in."""
+    """The transformed statistics: logarithms bring tails in; shares of repeats stay plain, so that a short text with one
+    repeated line is near and one with many is far."""
     words = F.greatest("n_words", F.lit(1))
     return {
         "word_length": F.log(F.greatest(F.col("word_chars") / words, F.lit(1.0))),
         "symbols": F.log1p(20 * F.col("n_symbols") / F.greatest("word_chars", F.lit(1))),
-        "lines": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
-        "repeats": F.sqrt(F.col("n_repeat_words") / words),
+        "lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
+        "repeats": F.col("n_repeat_words") / words,
     }
 
 

@@ -59,6 +59,34 @@ def test_outliers_are_rejected_and_the_rest_stays(spark):
     assert {d for d, (kept, _) in got.items() if not kept} == set(range(7, 400, 40))
 
 
+def test_each_statistic_alone_can_reject(spark):
+    rng = np.random.default_rng(4)
+
+    def words(n, least=3, most=8):
+        return ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(least, most))) for _ in range(n)]
+
+    def lines(w, n=10):
+        return "\n".join(" ".join(w[a : a + n]) for a in range(0, len(w), n))
+
+    def marked(w, share):
+        marks = set(range(0, len(w), round(1 / share / np.mean([len(x) for x in w]))))
+        return [x + "#" if i in marks else x for i, x in enumerate(w)]
+
+    few = words(12)
+    odd = {
+        "word length": lines(words(150, 9, 13)), "symbols": lines(marked(words(150), 0.06)),
+        "lines": "\n".join(rng.permutation(words(45) + [few[i % 12] for i in range(100)])), "repeats": lines((w := words(110)) + ["xx"] + w[:31] + words(2), 7)}
+    near = {"one repeated line": lines((w := words(60)) + w[:10]), "few symbols": lines(marked(words(200), 0.01))}
+    texts = [lines(words(rng.integers(80, 200))) for _ in range(300)] + list(odd.values()) + list(near.values())
+    n, _, _, dup, repeated = plain.counts(odd["repeats"])
+    assert dup == 0 and 0.42 < repeated / n <= 0.5
+    got = by_id(quality.judge(spark.createDataFrame(
+        [(i, t, "en", "clean") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")),
+        "kept", "base_failed", "distance")
+    assert {d for d, r in got.items() if not r[0]} == set(range(300, 300 + len(odd)))
+    assert not any(r[1] for r in got.values())
+
+
 def test_estimates_match_a_plain_concentration(spark):
     """The determinant of the result is no larger than that of plain steps from the same start."""
     rng = np.random.default_rng(5)
