@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import importance, licences, quality, sql, warc
+from skyledger.llm import importance, licences, merkle, quality, ranked, sql, vptree, warc
 from skyledger.llm.columnbwt import remove_repeated_bytes
 from skyledger.llm.decontam import find_contamination
 from skyledger.llm.lzfactor import remove_shared_passages
@@ -78,11 +78,24 @@ def op10_column_bwt(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vantage_points(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.search(table(spark, folder, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(texts(spark, folder), table(spark, folder, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.prove(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_robust_outliers, op2_warc_derivatives, op3_importance_resampling, op4_decontamination, op5_licence_index,
     op6_lz_factors, op7_histogram_packing, op8_trie_counts, op9_minhash, op10_column_bwt,
+    op11_vantage_points, op12_ranked_search, op13_merkle_manifest,
 )}
 SQL = {
     "op4_decontamination": sql.CONTAMINATION, "op6_lz_factors": sql.SHARED_PASSAGES, "op9_minhash": sql.NEAR_DUPLICATES,
-    "op10_column_bwt": sql.REPEATED_BYTES,
+    "op10_column_bwt": sql.REPEATED_BYTES, "op12_ranked_search": sql.RANKED, "op13_merkle_manifest": sql.MERKLE,
 }

@@ -79,3 +79,84 @@ reach(doc_id, r) AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+RANKED = f"""
+WITH words AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+size AS (SELECT count(*) FILTER (len(w) > 0) AS docs, coalesce(sum(len(w)), 1)::BIGINT AS total FROM words),
+asked AS (SELECT DISTINCT item_id, unnest({ALNUM_WORDS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+terms AS (SELECT DISTINCT term FROM asked),
+held AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words),
+counted AS (SELECT doc_id, n, term, count(*) AS tf FROM held SEMI JOIN terms USING (term) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM counted, size GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term), size GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+
+def _reduced(start: str, levels: int) -> str:
+    """Nodes of each level and their runs of eight, from (tree, i, h) in ``start``."""
+    parts, last = [], start
+    for level in range(levels):
+        here = f"{start}_{level + 1}"
+        parts.append(f"""{here}_runs AS (
+  SELECT tree, i // 8 AS run, list(h ORDER BY i) AS hs, any_value(total) AS total
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS total FROM {last}) GROUP BY tree, run),
+{here} AS (SELECT tree, run AS i, CASE WHEN total = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {here}_runs)""")
+        last = here
+    return ",\n".join(parts)
+
+
+def _walked(start: str, nodes: str, levels: int) -> str:
+    """(doc_id, tree, i, fold, proof) of ``start`` taken up through the runs of ``nodes``."""
+    parts, last = [], start
+    for level in range(levels):
+        here, place = f"{start}_{level + 1}", "(i % 8)::INTEGER"
+        before, after = f"array_to_string(hs[1:{place}], '')", f"array_to_string(hs[{place} + 2:], '')"
+        parts.append(f"""{here} AS (
+  SELECT w.* EXCLUDE (i, fold, proof), run AS i,
+    CASE WHEN total = 1 THEN fold ELSE sha256({before} || fold || {after}) END AS fold,
+    CASE WHEN total = 1 THEN proof ELSE proof || {before} || {after} END AS proof
+  FROM {last} w JOIN {nodes}_{level + 1}_runs r ON w.tree = r.tree AND w.i // 8 = r.run)""")
+        last = here
+    return ",\n".join(parts)
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Bit by bit: the byte of a character enters before the first of its eight steps.
+_CRC = """xor(list_reduce(
+  list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295::BIGINT)"""
+#: Up to 8**8 rows of a language and 8**3 languages.
+MERKLE = f"""
+WITH d AS (
+  SELECT doc_id, {_field('lang')} AS tree, lang, {_leaf('text')} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(_LOWERED)} ELSE leaf END AS fold,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents),
+base AS (SELECT tree, i, leaf AS h FROM d),
+{_reduced('base', 8)},
+subs AS (SELECT tree AS name, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+  FROM base_8 JOIN (SELECT DISTINCT tree, lang FROM d) USING (tree)),
+forest AS (SELECT '' AS tree, place AS i, subroot AS h FROM subs),
+{_reduced('forest', 3)},
+w AS (SELECT doc_id, tree, leaf, i, fold, '' AS proof FROM d),
+{_walked('w', 'base', 8)},
+u AS (SELECT doc_id, leaf, '' AS tree, subroot, place AS i, fold, proof FROM w_8 JOIN subs ON w_8.tree = subs.name),
+{_walked('u', 'forest', 3)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+FROM u_3, forest_3
+"""

@@ -127,3 +127,65 @@ def unigram_tokens(word, scored, fallback):
                 score, count = best[d - width][0] + piece, best[d - width][1] + 1
         best.append((score, count))
     return best[-1][1]
+
+
+def ranked(docs, items, k=50):
+    """{item: [(doc, score)]} of [(id, text)] pairs; every row of docs with a term counts."""
+    import math
+    from collections import Counter
+
+    held = [(d, Counter(w), len(w)) for d, t in docs if (w := alnum(t))]
+    count, total = len(held), sum(n for _, _, n in held)
+    terms = {}
+    for item, text in items:
+        if item is not None:
+            terms.setdefault(item, set()).update(alnum(text))
+    df = Counter(t for _, c, _ in held for t in c)
+    out = {}
+    for item, wanted in terms.items():
+        scores = []
+        for d, c, n in held:
+            m = 100 - 50 + (50 * n * count) // total
+            score = sum(
+                math.floor(1000 * math.log((2 * count + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m))
+                for t in wanted if t in c)
+            if score > 0 and d is not None:
+                scores.append((-score, d))
+        if scores:
+            out[item] = [(d, -s) for s, d in sorted(scores)[:k]]
+    return out
+
+
+def merkle(rows, changed):
+    """{doc_id: (leaf, subroot, root, proof, folded)} of (doc_id, source, lang, n_chars, text) rows."""
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def grow(level):
+        levels = [level]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([sha("".join(last[i : i + 8])) for i in range(0, len(last), 8)])
+        return levels
+
+    def walk(levels, i, start, proof):
+        for level in levels[:-1]:
+            a, run = i // 8 * 8, level[i // 8 * 8 : i // 8 * 8 + 8]
+            proof += "".join(run[: i - a] + run[i - a + 1 :])
+            start = sha("".join(run[: i - a]) + start + "".join(run[i - a + 1 :]))
+            i //= 8
+        return start, proof
+
+    by = {}
+    for row in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], leaf(r))):
+        by.setdefault(row[2], []).append(row)
+    names = sorted(by, key=lambda x: b"" if x is None else b"\1" + x.encode())
+    trees = {x: grow([leaf(r) for r in by[x]]) for x in names}
+    top = grow([trees[x][-1][0] for x in names])
+    out = []
+    for k, x in enumerate(names):
+        for i, row in enumerate(by[x]):
+            fold, proof = walk(trees[x], i, leaf(changed(row)), "")
+            fold, proof = walk(top, k, fold, proof)
+            out.append((row[0], leaf(row), trees[x][-1][0], top[-1][0], sha(proof), fold, fold == top[-1][0]))
+    return out
