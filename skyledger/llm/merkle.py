@@ -203,7 +203,6 @@ def expanded(logs: DataFrame, levels: int) -> DataFrame:
 
 def with_paths(rounds: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The logs of the lowest round, each with the siblings from its top upwards; ``above`` has (tree, path) of each tree."""
-
     below = None
     for logs in reversed(rounds):
         whole = logs.filter(f"n <= {FANOUT**levels}").join(above, "tree")
@@ -226,7 +225,8 @@ def manifest(docs: DataFrame, key: str = "doc_id", tree: str = "lang", fields: t
     nodes = docs.select(
         F.col(key).alias("id"), encoded(tree).alias("tree"), F.col(tree).alias("lang"), leaf(fields).alias("digest"),
         F.when(hit, leaf(fields, text=low)).alias("changed"))
-    return positions(nodes.withColumn("changed", F.coalesce("changed", "digest")), ["id", "digest"])
+    # Written, as range bounds are sampled from it: the texts are read once.
+    return positions(settle(nodes.withColumn("changed", F.coalesce("changed", "digest")), "digests"), ["id", "digest"])
 
 
 def prove(
