@@ -4,17 +4,22 @@ A document's shingles are hashed once; the top bits of a hash choose one of ``bi
 hash. An empty bin copies a full one, found by a fixed sequence of hashed tries, so that every bin of two documents
 agrees with the probability of their similarity. Bands of bins are the buckets.
 
-Pair counts are bounded by stars around the smallest id of each bucket. First every document is compared with the
-least of its buckets' centres, one edge for each document; then with the centres whose class still differs from its
-own. Links that stars can miss lie between members that are in different classes after that; in those buckets, and
-only those, each member outside the bucket's largest class is compared with the members of the other classes. Members
-of one class need no comparison, so a group of near copies costs about one edge for each member, and no link of a
-bucket is lost.
-
-Two tests inside the joins keep pairs from being formed. Two bits of every bin must agree often enough; a pair as
-similar as asked for misses that by five standard deviations. And the shingles that a document has in common with any
+Pair counts are bounded by stars. First every document is compared with the least of its buckets' centres, the
+smallest id of each bucket: one edge for each document. Buckets whose members are in several classes after that are
+open. Rounds follow in which each member outside the largest class of an open bucket is compared with the hub of that
+class, the member with the most shingles that others of the open buckets have as well; a hub is near to many where the
+smallest id is any variant. The rounds end when one merges nothing. Links that stars can miss lie between members that
+are in different classes of an open bucket then; each member outside its largest class is compared with the members of
+the other classes, a bucket's members being dealt over several tasks. Members of one class need no comparison, so a
+group of near copies costs about one edge for each member, and no link of a bucket is lost.
+
+Tests inside the joins keep pairs from being formed. Two bits of every bin must agree often enough; a pair as
+similar as asked for misses that by five standard deviations. The shingles that a document has in common with any
 other of the open buckets must be enough for the overlap: a variant with too many words of its own is like nobody,
-however many it shares buckets with. All links are confirmed on the full shingle sets.
+however many it shares buckets with. And the documents of open buckets have a second, wide sketch, the parity of their
+shingles in each of 2,048 places: each shingle that only one of two documents has changes one place, so the places that
+differ are never more than such shingles, and for sets of up to some thousands nearly as many. All links are confirmed
+on the full shingle sets.
 
 Documents with equal sets are one class from the start and enter as one row.
 """
@@ -34,6 +39,8 @@ from skyledger.operators.lineage import settle
 BINS, ROWS = 255, 5
 #: Two bits of every bin, 32 bins in a word.
 BIT_WORDS = 8
+#: Places of the wide sketch, and members of an open bucket that one task compares with the others.
+PLACES, DEALT = 2048, 256
 
 
 def _sets(body: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -187,6 +194,32 @@ def alike(a: str, b: str, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent) & overlap & ((F.least(n, m) < 16) | (agree >= least))
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(id, odd): for each of ``PLACES`` places by hash whether an odd number of the shingles fall into it."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, len(whole), 1024)):
+            shingles = batch.column(1)
+            owner = np.repeat(np.arange(len(batch)), np.diff(shingles.offsets.to_numpy()))
+            place = (mix(shingles.flatten().to_numpy().view(np.uint64)) % np.uint64(PLACES)).astype(np.int64)
+            odd = (np.bincount(owner * PLACES + place, minlength=len(batch) * PLACES) & 1).astype(np.uint8)
+            packed = np.packbits(odd).view(np.int64)
+            yield pa.record_batch({
+                "id": batch.column(0), "odd": pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (PLACES // 64)), pa.array(packed))})
+
+    return sets.select("id", "shingles").mapInArrow(one, "id long, odd array<long>")
+
+
+def near_enough(a: str, b: str, percent: int) -> Column:
+    """Whether no more places of the wide sketches differ than links allow; five deviations below where places overlap."""
+    apart = (F.col(f"{a}n") + F.col(f"{b}n")) * ((100 - percent) / (100 + percent))
+    differ = F.aggregate(
+        F.zip_with(f"{a}odd", f"{b}odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    usual = (1 - F.exp(apart * (-2.0 / PLACES))) * (PLACES / 2) + 5 * PLACES**0.5 / 2
+    return differ <= F.least(apart + 1e-6, usual)
+
+
 def relabelled(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label) after more edges between ids; ids without a label are their own."""
     between = edges.join(names.toDF("a", "of_a"), "a", "left").join(names.toDF("b", "of_b"), "b", "left").select(
@@ -229,40 +262,54 @@ def near_duplicates(
     nearest = stars(pairs.groupBy("rep").agg(F.min("centre").alias("centre")), known.withColumn("common", F.col("n")))
     names = relabelled(table.limit(0).select("id", F.col("id").alias("label")), confirmed(nearest, sets, percent))
 
-    of_rep, of_centre = names.toDF("rep", "label"), names.toDF("centre", "of_centre")
-    apart = settle(pairs.join(of_rep, "rep", "left").join(of_centre, "centre", "left").filter(
-        F.coalesce("label", "rep") != F.coalesce("of_centre", "centre")).select("bucket", "rep", "centre"), "apart")
-    crowded_pairs = pairs.join(apart.select("bucket").distinct(), "bucket", "left_semi")
-    crowd = crowded_pairs.select(F.col("rep").alias("id")).distinct()
+    def placed(some: DataFrame, *facts: str) -> DataFrame:
+        """Members of buckets with their class; a document that links with none is a class of its own."""
+        return some.join(names.toDF("rep", "label"), "rep", "left").select(
+            "bucket", "rep", *facts, F.coalesce("label", "rep").alias("label"))
+
+    apart = placed(pairs).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+    crowded_pairs = settle(pairs.join(settle(apart, "apart").select("bucket"), "bucket", "left_semi").select("bucket", "rep"), "open")
+    crowd = settle(sets.join(crowded_pairs.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "crowd")
     own = (
-        sets.join(crowd, "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+        crowd.select("id", F.explode("shingles").alias("shingle"))
         .groupBy("shingle").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep = last")
         .groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     )
-    facts = settle(known.join(own, "rep", "left").select(
-        "rep", "n", "bits", "buckets", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "facts")
-    names = relabelled(names, confirmed(stars(apart, facts), sets, percent))
-
-    placed = settle(
-        crowded_pairs.join(facts, "rep").join(names.toDF("rep", "label"), "rep", "left")
-        .select("bucket", "rep", "n", "bits", "common", "buckets", "centre", F.coalesce("label", "rep").alias("label")), "placed")
-    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = (
-        sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
-        .filter("classes > 1").select("bucket", F.col("top.label").alias("largest"))
-    )
-    open_ = placed.join(largest, "bucket")
-    outside = open_.filter("label <> largest").select("bucket", F.struct("rep", "n", "bits", "common", "buckets", "label").alias("m"))
+    facts = settle(known.join(parities(crowd).withColumnRenamed("id", "rep"), "rep").join(own, "rep", "left").select(
+        "rep", "n", "bits", "odd", "buckets", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "facts")
+    crowded_pairs = settle(crowded_pairs.join(facts.select("rep", "common"), "rep"), "open")
+    far = facts.select(F.col("rep").alias("centre"), F.struct("n", "bits", "odd", "common").alias("c"))
+    while True:
+        members = settle(placed(crowded_pairs, "common"), "placed")
+        largest = (
+            members.groupBy("bucket", "label").agg(
+                F.count(F.lit(1)).alias("size"), F.max(F.struct("common", (-F.col("rep")).alias("rep"))).alias("hub"))
+            .groupBy("bucket").agg(F.max(F.struct("size", "label", "hub")).alias("top"), F.count(F.lit(1)).alias("classes"))
+            .filter("classes > 1").select("bucket", F.col("top.label").alias("largest"), (-F.col("top.hub.rep")).alias("centre"))
+        )
+        members = members.join(largest, "bucket")
+        star = members.filter("label <> largest").select("centre", "rep").distinct().join(facts, "rep").join(far, "centre").filter(
+            alike("", "c.", percent) & near_enough("", "c.", percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+        edges = settle(confirmed(star, sets, percent), "edges")
+        if edges.isEmpty():
+            break
+        names = relabelled(names, edges)
+
+    open_ = settle(members.select("bucket", "rep", "label", "largest"), "open")
+    tasks = open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("tasks"))
+    traits = ("rep", "n", "bits", "odd", "common", "buckets", "label")
+    rich = open_.join(tasks, "bucket").join(facts.drop("label"), "rep")
+    outside = rich.filter("label <> largest").select(
+        "bucket", F.pmod(F.xxhash64("rep"), "tasks").cast("int").alias("task"), F.struct(*traits).alias("m"))
+    others = rich.select("bucket", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *traits, "largest")
     rest = (
-        outside.join(open_, "bucket")
+        outside.join(others, ["bucket", "task"])
         .filter((F.col("m.label") != F.col("label")) & alike("", "m.", percent))
-        # Both outside: one direction is enough. With the centre the pair has been compared.
+        # Both outside: one direction is enough.
         .filter((F.col("label") == F.col("largest")) | (F.col("m.rep") < F.col("rep")))
-        .filter((F.col("rep") != F.col("centre")) & (F.col("m.rep") != F.col("centre")))
-        # Of the buckets that two documents share, the first one forms the pair. It may be one that a centre of theirs
-        # has settled: then they have been compared.
-        .filter(F.array_min(F.array_intersect("buckets", "m.buckets")) == F.col("bucket"))
-        .select(F.least("m.rep", "rep").alias("a"), F.greatest("m.rep", "rep").alias("b")).distinct()
+        # Of the buckets that two documents share, the first one forms the pair; all of them are open.
+        .filter(near_enough("", "m.", percent) & (F.array_min(F.array_intersect("buckets", "m.buckets")) == F.col("bucket")))
+        .select(F.least("m.rep", "rep").alias("a"), F.greatest("m.rep", "rep").alias("b"))
     )
     names = relabelled(names, confirmed(rest, sets, percent))
     found = classes.select("set1", "set2", "rep").join(names.toDF("rep", "label"), "rep", "left").select(

@@ -433,3 +433,31 @@ def test_repeated_rows_and_missing_ids(spark, name):
     if name == "near":
         assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4)]
         assert all(r.kept for r in got if r.doc_id is None)
+
+
+def test_crowded_group_near_the_threshold(spark):
+    """Variants of one text, most pairs just below the threshold, links between many that the hub does not reach."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 5000, 200)
+    rows = []
+    for i in range(300):
+        changed = rng.random(200) < rng.uniform(0.01, 0.05)
+        rows.append((i, " ".join(f"w{w}" for w in np.where(changed, rng.integers(0, 5000, 200), base))))
+    rows += [(1000 + i, " ".join(f"w{w}" for w in rng.integers(0, 5000, 50))) for i in range(20)]
+    expected = plain.near_classes(dict(rows))
+    assert 20 < len({c for _, c in expected.values()}) < 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert by_id(minhash.near_duplicates(df), "n_shingles", "component_id") == expected
+
+
+def test_wide_sketch_never_counts_more_than_differs(spark):
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(1 << 40, n, replace=False).tolist() for n in (1, 30, 400, 3000)]
+    sets += [s[: len(s) * 4 // 5] + rng.choice(1 << 40, max(1, len(s) // 9)).tolist() for s in sets]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>").repartition(3)
+    odd = {r.id: r.odd for r in minhash.parities(df).collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            places = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(odd[i], odd[j]))
+            apart = len(set(a) ^ set(b))
+            assert places <= apart and (apart > 200 or places >= 0.8 * apart)
