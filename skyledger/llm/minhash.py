@@ -40,7 +40,7 @@ BINS, ROWS = 255, 5
 #: Two bits of every bin, 32 bins in a word.
 BIT_WORDS = 8
 #: Places of the wide sketch, and members of an open bucket that one task compares with the others.
-PLACES, DEALT = 2048, 256
+PLACES, DEALT = 2048, 1024
 
 
 def _sets(body: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -460,4 +460,4 @@ def test_wide_sketch_never_counts_more_than_differs(spark):
         for j, b in enumerate(sets):
             places = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(odd[i], odd[j]))
             apart = len(set(a) ^ set(b))
-            assert places <= apart and (apart > 200 or places >= 0.8 * apart)
+            assert places <= apart and (apart > 200 or places >= 0.8 * apart - 2)
