@@ -1,81 +1,127 @@
-"""Distance joins: event labels by radius, and gap repair from the nearest station."""
+"""Distance joins: event labels by radius, and gap repair from the nearest station.
 
-from pyspark.sql import DataFrame, functions as F
+Distances are computed between places, not between rows: once for an event place and a station, and once for two
+stations. Days come in afterwards by equi-joins and bitmaps.
+"""
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.functions.geo import Grid, haversine_km
-from skyledger.operators.chunks import join_by_station
 from skyledger.operators.lineage import settle
 from skyledger.schema import DAY, STATION
 
 SALTS = 16
+#: Days of a bitmap word.
+WORD = 64
+
+
+def within_km(places: DataFrame, stations: DataFrame, km: float) -> DataFrame:
+    """(columns of ``places``, station, km) for stations within ``km`` of the ``lat``, ``lon`` of a place; a null is near nothing."""
+    grid = Grid(km)
+    spots = places.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("cell", F.explode(grid.around(F.col("lat"), F.col("lon"))))
+    marks = stations.select(
+        F.col("station_id").alias("station"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
+        grid.cell(F.col("lat"), F.col("lon")).alias("cell"))
+    far = haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    return spots.join(marks, "cell").withColumn("km", far).filter(F.col("km") <= km).drop("cell", "_lat", "_lon")
+
+
+def place_dictionary(events: DataFrame, stations: DataFrame, km: float) -> DataFrame:
+    """(place, lat, lon, station, km): every distinct event place with the stations near it, each distance once."""
+    places = events.select("lat", "lon").distinct()
+    return within_km(places, stations, km).withColumn("place", F.xxhash64("lat", "lon"))
 
 
 def label_by_radius(events: DataFrame, stations: DataFrame, km: float = 100.0, salts: int = SALTS) -> DataFrame:
     """Station-days with an event within ``km``: label 1, distinct types, nearest distance.
 
-    Events of one day, place and type count once, so they are reduced before anything moves. A
-    grid cell turns the distance test into an equi-join; a cell with very many events is divided
-    by day into ``salts`` parts, each of which meets a copy of the cell's stations.
+    Events of one day, place and type count once. The stations near a place stand in a dictionary of places; event-days
+    meet it by equality. A place with very many event-days is divided by day into ``salts`` parts, each of which meets a
+    copy of the place's few rows.
     """
-    grid = Grid(km)
+    near = settle(place_dictionary(events, stations, km), "places").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     part = F.pmod(F.xxhash64(DAY), F.lit(salts)).cast("int")
-    distinct = events.groupBy(DAY, "lat", "lon", "event_type").agg(F.lit(1).alias("_one"))
-    spots = distinct.select(
-        DAY, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "event_type",
-        F.explode(grid.around(F.col("lat"), F.col("lon"))).alias("cell"), part.alias("part"),
-    )
-    places = stations.select(
-        F.col("station_id").alias(STATION), "lat", "lon", grid.cell(F.col("lat"), F.col("lon")).alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"),
-    )
-    near = spots.join(places, ["cell", "part"]).withColumn(
-        "km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    ).filter(F.col("km") <= km)
-    return near.groupBy(DAY, STATION).agg(
+    days = events.groupBy(DAY, "lat", "lon", "event_type").agg(F.lit(1).alias("_one")).select(
+        DAY, "lat", "lon", "event_type", F.xxhash64("lat", "lon").alias("place"), part.alias("part"))
+    return days.join(near, ["place", "part", "lat", "lon"]).groupBy(DAY, F.col("station").alias(STATION)).agg(
         F.lit(1).alias("EVENT_LABEL"),
         F.array_join(F.array_sort(F.collect_set("event_type")), "; ").alias("EVENT_TYPE"),
         F.min("km").alias("EVENT_DISTANCE_KM"),
     )
 
 
-def nearest_donor(gaps: DataFrame, donors: DataFrame, km: float) -> DataFrame:
-    """For each (station, day) of ``gaps`` the closest same-day donor within ``km``; ties by station id."""
-    grid = Grid(km)
-    wanted = gaps.select(
-        STATION, DAY, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-        F.explode(grid.around(F.col("lat"), F.col("lon"))).alias("cell"),
+def neighbour_lists(stations: DataFrame, km: float) -> DataFrame:
+    """(station, donor, km, place): all other stations within ``km``, ranked from the nearest; ties by station id."""
+    order = Window.partitionBy(STATION).orderBy(F.round("km", 6), "station")
+    pairs = within_km(stations.select(F.col("station_id").alias(STATION), "lat", "lon"), stations, km)
+    return pairs.filter(F.col("station") != F.col(STATION)).select(
+        STATION, F.col("station").alias("donor"), "km", F.row_number().over(order).alias("place"))
+
+
+def day_words(df: DataFrame, column: str) -> DataFrame:
+    """(station, word, known, gaps): days of 64 as bits, of rows with a value and of rows without one."""
+    day = F.datediff(DAY, F.lit("1970-01-01").cast("date"))
+    bit = F.expr("shiftleft(1L, _bit)")
+    return (
+        df.filter(F.col(STATION).isNotNull() & F.col(DAY).isNotNull())
+        .select(STATION, F.floor(day / WORD).cast("int").alias("word"), F.pmod(day, F.lit(WORD)).alias("_bit"), column)
+        .groupBy(STATION, "word").agg(
+            F.coalesce(F.bit_or(F.when(F.col(column).isNotNull(), bit)), F.lit(0).cast("long")).alias("known"),
+            F.coalesce(F.bit_or(F.when(F.col(column).isNull(), bit)), F.lit(0).cast("long")).alias("gaps"))
     )
-    offered = donors.withColumn("cell", grid.cell(F.col("lat"), F.col("lon")))
-    pairs = wanted.join(offered, [DAY, "cell"]).withColumn(
-        "km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    ).filter(F.col("km") <= km)
-    best = F.min_by(F.struct("donor", "value", "km"), F.struct(F.round("km", 6), "donor"))
-    return pairs.groupBy(STATION, DAY).agg(best.alias("_b")).select(STATION, DAY, "_b.*")
+
+
+def both(a: str | Column, b: Column) -> Column:
+    return (F.col(a) if isinstance(a, str) else a).bitwiseAND(b)
+
+
+def chosen_donors(words: DataFrame, lists: DataFrame, bands: tuple[int, ...]) -> DataFrame:
+    """(station, day, donor, km): for each gap the first neighbour on the station's list that knows the day.
+
+    Whole words walk the list: a neighbour takes the gaps of a word that it knows and that none before it knows. The
+    walk goes in bands of the list, so only words with open gaps meet the farther neighbours. A gap and a donor meet
+    in a row of their own only where the donor is the chosen one.
+    """
+    known = words.filter("known <> 0").select(F.col(STATION).alias("donor"), "word", "known")
+    open_ = words.filter("gaps <> 0").select(STATION, "word", "gaps")
+    longest = lists.agg(F.max("place")).first()[0] or 0
+    before = Window.partitionBy(STATION, "word").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    found, first = None, 0
+    for last in (*[b for b in bands if b < longest], longest):
+        band = lists.filter((F.col("place") > first) & (F.col("place") <= last))
+        met = open_.join(band, STATION).join(known, ["donor", "word"])
+        taken = F.coalesce(F.bit_or("known").over(before), F.lit(0).cast("long"))
+        hits = settle(
+            met.withColumn("take", both(both("gaps", F.col("known")), F.bitwise_not(taken))).filter("take <> 0")
+            .select(STATION, "word", "donor", "km", "take"), "donors")
+        found = hits if found is None else found.unionByName(hits)
+        if last < longest:
+            done = hits.groupBy(STATION, "word").agg(F.bit_or("take").alias("done"))
+            open_ = settle(
+                open_.join(done, [STATION, "word"], "left")
+                .withColumn("gaps", both("gaps", F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))).filter("gaps <> 0")
+                .select(STATION, "word", "gaps"), "open")
+        first = last
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("take", i) == 1)
+    return found.withColumn("_bit", F.explode(bits)).select(
+        STATION, F.date_add(F.lit("1970-01-01").cast("date"), F.col("word") * WORD + F.col("_bit")).alias(DAY), "donor", "km")
 
 
 def repair_gaps(
-    df: DataFrame, stations: DataFrame, column: str, max_km: float = 150.0, rings=(0.125, 0.5, 1.0)
+    df: DataFrame, stations: DataFrame, column: str, max_km: float = 150.0, bands: tuple[int, ...] = (8, 64)
 ) -> DataFrame:
-    """Fill nulls of ``column`` from the nearest station that has a value on the same day.
+    """Fill nulls of ``column`` from the nearest station that has a value on the same day; ties by station id.
 
-    The search widens ring by ring: stations in a dense area find their donor in the smallest ring
-    and never meet the rest of the area; only what a ring leaves open goes on to the next. Stations
-    at one and the same place offer one donor. The result is the exact nearest donor, since a ring
-    holds every donor within its radius.
+    Each station has a ranked list of its neighbours and a bitmap of the days that it knows; see ``chosen_donors``. The
+    value of the chosen donor is looked up by station and day. Rows without a station or day stay as they are; of
+    several values of a donor on one day the largest is taken.
     """
-    places = stations.select(F.col("station_id").alias(STATION), "lat", "lon")
-    placed = join_by_station(df.select(STATION, DAY, column), places)
-    open_gaps = placed.filter(F.col(column).isNull()).select(STATION, DAY, "lat", "lon")
-    donors = placed.filter(F.col(column).isNotNull()).groupBy(DAY, "lat", "lon").agg(
-        F.min_by(F.struct(F.col(STATION).alias("donor"), F.col(column).alias("value")), STATION).alias("_d")
-    ).select(DAY, "lat", "lon", "_d.donor", "_d.value")
-    found = None
-    for ring in rings:
-        # Written once: the next ring and the result both start from it.
-        hits = settle(nearest_donor(open_gaps, donors, max_km * ring), "ring")
-        found = hits if found is None else found.unionByName(hits)
-        open_gaps = open_gaps.join(hits, [STATION, DAY], "left_anti")
-    fills = found.select(STATION, DAY, F.col("value").alias("_value"), F.col("km").alias("_km"))
+    words = settle(day_words(df, column), "words")
+    lists = settle(neighbour_lists(stations, max_km), "neighbours")
+    values = df.filter(F.col(column).isNotNull()).select(F.col(STATION).alias("donor"), DAY, F.col(column).alias("_value"))
+    fills = chosen_donors(words, lists, bands).join(values, ["donor", DAY]).groupBy(STATION, DAY).agg(
+        F.max("_value").alias("_value"), F.first("km").alias("_km"))
     joined = df.drop("ATMOSPHERE_IMPUTED", "ATMOSPHERE_DONOR_KM").join(fills, [STATION, DAY], "left")
     imputed = F.col(column).isNull() & F.col("_value").isNotNull()
     return joined.withColumns({

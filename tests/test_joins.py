@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import enrichment as E
 from skyledger.operators.cleaning import MissingStation, require_stations
-from skyledger.operators.radius import label_by_radius, repair_gaps
+from skyledger.operators.radius import (
+    chosen_donors, day_words, label_by_radius, neighbour_lists, place_dictionary, repair_gaps,
+)
 from skyledger.operators.timing import label_chips
 
 D = date(2020, 1, 1)
@@ -129,6 +131,53 @@ def test_gap_repair_takes_the_exact_nearest_donor(spark):
             assert r["PRESSURE_HPA"] == known[min(near)[1], d]
 
 
+@pytest.mark.parametrize("bands", [(8, 64), (1, 2, 3), ()])
+def test_gap_repair_of_a_dense_cell(spark, bands):
+    """500 stations in one cell; most know few days, so that gaps walk far down the lists."""
+    rng = random.Random(12)
+    places = [(f"S{i:03d}", 40 + rng.randint(0, 40) / 100, -100 + rng.randint(0, 40) / 100) for i in range(500)]
+    rows = [(s, D + timedelta(days=k), 1000.0 + i if rng.random() < 0.01 else None)
+            for i, (s, _, _) in enumerate(places) for k in (-70, -1, 0, 1, 63, 64, 200)]
+    df = spark.createDataFrame(rows, "City_ID string, Date date, PRESSURE_HPA double")
+    stations = spark.createDataFrame(places, "station_id string, lat double, lon double")
+    words, lists = day_words(df, "PRESSURE_HPA"), neighbour_lists(stations, 150.0)
+    chosen = chosen_donors(words, lists, bands).collect()
+    assert len(chosen) == len({(r["City_ID"], r["Date"]) for r in chosen})
+    at = {s: (a, o) for s, a, o in places}
+    known = {}
+    for s, d, v in rows:
+        if v is not None:
+            known.setdefault(d, []).append(s)
+    want = {(s, d): min((round(km(at[s], at[o]), 6), o) for o in known[d])[1] for s, d, v in rows if v is None and d in known}
+    assert {(r["City_ID"], r["Date"]): r["donor"] for r in chosen} == want
+    got = repair_gaps(df, stations, "PRESSURE_HPA", bands=bands)
+    assert got.count() == len(rows) and got.filter("PRESSURE_HPA IS NOT NULL").count() == len(want) + sum(map(len, known.values()))
+
+
+def test_gap_repair_of_odd_rows(spark):
+    rows = [("A", D, None), ("A", D, None), ("A", None, None), (None, D, None), ("B", D, 5.0), ("B", D, 7.0), ("C", D, None), ("X", D, None)]
+    places = [("A", 40.0, -100.0), ("B", 40.1, -100.0), ("C", None, -100.0), ("B", 40.1, -100.0)]
+    df = spark.createDataFrame(rows, "City_ID string, Date date, PRESSURE_HPA double")
+    stations = spark.createDataFrame(places, "station_id string, lat double, lon double")
+    got = repair_gaps(df, stations, "PRESSURE_HPA").collect()
+    assert sorted((str(r["City_ID"]), str(r["Date"]), r["PRESSURE_HPA"] or 0, r["ATMOSPHERE_IMPUTED"]) for r in got) == sorted(
+        [("A", str(D), 7.0, 1.0)] * 2 + [("A", "None", 0, 0.0), ("None", str(D), 0, 0.0), ("B", str(D), 5.0, 0.0), ("B", str(D), 7.0, 0.0),
+         ("C", str(D), 0, 0.0), ("X", str(D), 0, 0.0)])
+    assert repair_gaps(df.limit(0), stations, "PRESSURE_HPA").count() == 0
+    assert repair_gaps(df, stations.limit(0), "PRESSURE_HPA").filter("ATMOSPHERE_IMPUTED = 1").count() == 0
+
+
+def test_distances_are_computed_once_a_place_and_station(spark):
+    events = [(D + timedelta(days=k % 400), 10.0 + k % 3, 20.0, f"t{k % 2}") for k in range(4000)]
+    events += [(D, None, 20.0, "nowhere")]
+    stations = spark.createDataFrame([("A", 10.0, 20.5), ("B", 12.1, 20.0), ("C", None, 1.0)], "station_id string, lat double, lon double")
+    df = spark.createDataFrame(events, "Date date, lat double, lon double, event_type string")
+    places = place_dictionary(df, stations, 150.0)
+    assert places.count() == places.select("place", "station").distinct().count() == 4
+    got = label_by_radius(df, stations, km=150.0).collect()
+    assert len(got) == 800 and {r["City_ID"] for r in got} == {"A", "B"}
+
+
 @pytest.mark.parametrize("before,after,ambiguous", [(6, 6, 12), (1, 9, 12), (0, 3, 2)])
 def test_chip_labels_match_brute_force(spark, before, after, ambiguous):
     rng = random.Random(8)
