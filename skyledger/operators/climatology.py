@@ -1,12 +1,9 @@
 """Aggregates behind the dashboards and the evidence report."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from skyledger.functions.columns import fahrenheit_to_celsius
 from skyledger.operators.chunks import join_by_station
-from skyledger.operators.lineage import settle
 from skyledger.operators.target import station_quantiles
 from skyledger.schema import BASINS, DAY, INDICES, STATION
 
@@ -123,17 +120,18 @@ def station_profile(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair over the rows where both are known.
+    """Pearson correlation of every pair over the rows where both are known; null without such rows.
 
-    The rows are written once and aggregated once per column against the columns after it: a single
-    aggregation of all pairs generates methods too large to be compiled.
+    One scan and one aggregation: a row goes to a group for each column, which correlates it with the columns from it
+    on. A single group for all pairs would generate methods too large to be compiled.
     """
-    rows = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlated")
-    parts = []
-    for i, x in enumerate(columns):
-        wide = rows.agg(*[F.corr(x, y).alias(y) for y in columns[i:]])
-        parts.append(wide.unpivot([], columns[i:], "y", "corr").select(F.lit(x).alias("x"), "y", "corr"))
-    found = reduce(lambda a, b: a.unionByName(b), parts)
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = values.select(*columns, F.posexplode(F.array(*columns)).alias("_at", "_value"))
+    wide = long.groupBy("_at").agg(*[F.corr("_value", F.when(F.col("_at") <= j, F.col(y))).alias(y) for j, y in enumerate(columns)])
+    names = F.array(*[F.lit(c) for c in columns])
+    pairs = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("_at")).join(wide, "_at", "left")
+    found = pairs.unpivot(["_at"], columns, "y", "corr").filter(F.array_position(names, F.col("y")) > F.col("_at")).select(
+        F.element_at(names, F.col("_at") + 1).alias("x"), "y", "corr")
     both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     sides = F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both)
     return found.select(F.explode(sides).alias("p"), "corr").select("p.x", "p.y", "corr")

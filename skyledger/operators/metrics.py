@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from skyledger.functions.columns import flag
 from skyledger.operators.ranks import running_levels
 
-# About a million buckets over [0, 1]: few distinct scores share one, and their table stays small.
-SCORE_WIDTH = 2.0**-20
-
 
 def tune_threshold(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Threshold of 0.05, 0.06, .. 0.95 with the best F1, the lowest of equals; (0.5, 0) for one class."""
@@ -65,7 +62,7 @@ def classification_metrics(df: DataFrame, y: str, predicted: str, keys: list[str
 
 def score_levels(df: DataFrame, y: str, score: str, keys: list[str]) -> DataFrame:
     return running_levels(
-        df, keys, score, SCORE_WIDTH, {"n": F.count(F.lit(1)), "pos": F.sum(F.col(y).cast("long"))}
+        df, keys, score, {"n": F.count(F.lit(1)), "pos": F.sum(F.col(y).cast("long"))}
     )
 
 

@@ -1,28 +1,40 @@
 """Exact ranks and quantiles without sorting a whole group in one task.
 
-Rows are first reduced to distinct values with counts, spread over the cluster by value. Values
-fall into ordered buckets of a fixed width; running counts over the buckets (few rows) plus
-running counts inside each bucket give every value its exact rank. The width is a tuning knob: it
-moves work between the two steps and never changes the result.
+Rows are first reduced to distinct values with counts, spread over the cluster by value. Spark's range partitioner
+samples those and deals them into ordered parts of about equal size, however the values lie; running counts over the
+parts (few rows) plus running counts inside each part give every value its exact rank.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyledger.operators.lineage import settle
 
-def running_levels(
-    df: DataFrame, keys: list[str], value: str, width: float, sums: dict[str, Column], bounds: str | None = None
+
+def ranged_levels(
+    df: DataFrame, keys: list[str], value: str, parts: int | None, sums: dict[str, Column], bounds: str | None = None
 ) -> DataFrame:
-    """One row per (keys, value) with each sum, its ``<name>_below`` and its ``<name>_total``.
+    """One row per (keys, value) with each sum and its ``_bucket``, the place of its part in the order of keys and value.
 
-    With ``bounds`` the rows also hold the smallest and largest ``bounds`` as ``_first``, ``_last``.
+    The parts are written, so that all that follows sees the same ones.
     """
     edges = [F.min(bounds).alias("_first"), F.max(bounds).alias("_last")] if bounds else []
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = (
         df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .withColumn("_bucket", F.floor(F.col(value) / width).cast("long"))
-        .groupBy(*keys, "_bucket", value)
+        .groupBy(*keys, value)
         .agg(*[c.alias(n) for n, c in sums.items()], *edges)
     )
+    return settle(levels.repartitionByRange(parts, *keys, value).withColumn("_bucket", F.spark_partition_id()), "levels")
+
+
+def running_levels(
+    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column], bounds: str | None = None, parts: int | None = None
+) -> DataFrame:
+    """One row per (keys, value) with each sum, its ``<name>_below`` and its ``<name>_total``.
+
+    With ``bounds`` the rows also hold the smallest and largest ``bounds`` as ``_first``, ``_last``.
+    """
+    levels = ranged_levels(df, keys, value, parts, sums, bounds)
     names = list(sums)
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -45,7 +57,7 @@ def running_levels(
 
 
 def order_statistics(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple], width: float = 0.05, bounds: str | None = None
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple], parts: int | None = None, bounds: str | None = None
 ) -> DataFrame:
     """Per key and name: the two order statistics around a probability and the step between them.
 
@@ -58,7 +70,7 @@ def order_statistics(
     pairs = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in measures])
     long = df.select(*keys, *([bounds] if bounds else []), F.explode(pairs).alias("_p"))
     long = long.withColumns({"_m": F.col("_p.m"), "_v": F.col("_p.v")}).drop("_p")
-    levels = running_levels(long, [*keys, "_m"], "_v", width, {"n": F.count(F.lit(1))}, bounds)
+    levels = running_levels(long, [*keys, "_m"], "_v", {"n": F.count(F.lit(1))}, bounds, parts)
     outputs = []
     above = F.col("n_total") - F.col("n_below") - F.col("n")
     for name, (column, p, *direction) in wanted.items():
@@ -86,15 +98,15 @@ def interpolate(name: str) -> Column:
     return lo + (hi - lo) * at
 
 
-def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], width: float = 0.05) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], parts: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles per key."""
-    stats = order_statistics(df, keys, wanted, width)
+    stats = order_statistics(df, keys, wanted, parts)
     return stats.select(*keys, *[interpolate(n).alias(n) for n in wanted])
 
 
-def percent_rank(df: DataFrame, keys: list[str], value: str, out: str, width: float = 0.01) -> DataFrame:
+def percent_rank(df: DataFrame, keys: list[str], value: str, out: str, parts: int | None = None) -> DataFrame:
     """(rank - 1) / (n - 1) within the key, ties share the lowest rank; null stays null."""
-    levels = running_levels(df, keys, value, width, {"_n": F.count(F.lit(1))})
+    levels = running_levels(df, keys, value, {"_n": F.count(F.lit(1))}, parts=parts)
     share = F.when(F.col("_n_total") > 1, F.col("_n_below") / (F.col("_n_total") - 1)).otherwise(F.lit(0.0))
     ranked = levels.select(*keys, value, share.alias(out))
     return df.join(ranked, [*keys, value], "left")

@@ -32,7 +32,7 @@ def chronological_split(df: DataFrame, train_pct: int = 70, validation_pct: int
     days, which is bounded by the calendar and broadcast back. A row without a day stays, in no split.
     """
     days = df.filter(F.col(DAY).isNotNull()).select(F.unix_date(DAY).alias("_day"))
-    levels = running_levels(days, [], "_day", 31.0, {"n": F.count(F.lit(1))})
+    levels = running_levels(days, [], "_day", {"n": F.count(F.lit(1))})
     span = df.agg(F.struct(F.min(DAY).alias("first"), F.max(DAY).alias("last"))).scalar()
     whole = (span["first"] <= F.to_date(F.lit(ARCHIVE_START))) & (span["last"] >= F.to_date(F.lit(ARCHIVE_END)))
     day = F.date_from_unix_date("_day")

@@ -7,7 +7,6 @@ from skyledger.functions.hazards import (
     current_risk, extreme_cold, extreme_heat, heat_index, hybrid_risk, sst_air_diff, wet_bulb, wind_chill,
 )
 from skyledger.operators.chunks import CHUNK, attach, chunk_bounds
-from skyledger.operators.ranks import interpolate, order_statistics
 from skyledger.operators.rolling import Frame, rain, rolling
 from skyledger.schema import STATION
 
@@ -37,29 +36,20 @@ def station_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Da
 def station_thresholds(windows: DataFrame) -> DataFrame:
     """Per station, from one pass: mean of the 30-row rain mean and the five risk limits.
 
-    The drought index falls as the rain mean rises, so its upper quartile comes from the mirrored
-    order statistics of the rain mean and needs no second pass once the station's average is known.
+    The drought index falls as the rain mean rises, so its upper quartile comes from the mirrored order statistics of
+    the rain mean and needs no second pass once the station's average is known. A station's values are bounded by the
+    calendar.
     """
-    stats = order_statistics(
-        windows,
-        [STATION],
-        {
-            "t95": ("TAVG", 0.95),
-            "t05": ("TAVG", 0.05),
-            "flood90": ("FLOOD_RISK_IDX", 0.90),
-            "wind90": ("WIND_RISK_IDX", 0.90),
-            "dry": ("_M", 0.75, "descending"),
-        },
-        width=0.05,
-        bounds=CHUNK,
-    )
-    mean = F.col("_sum__M") / F.col("_n__M")
-    low, high = drought(mean, F.col("dry_lo")), drought(mean, F.col("dry_hi"))
-    return stats.select(
-        STATION, "_first", "_last", mean.alias("_mean_M"),
-        *[interpolate(n).alias(n) for n in LIMITS if n != "drought75"],
-        (low + (high - low) * F.col("dry_at")).alias("drought75"),
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    stats = windows.groupBy(STATION).agg(
+        *chunk_bounds(), F.avg("_M").alias("_mean_M"), F.sort_array(F.collect_list(known("_M"))).alias("_rain"),
+        *[F.percentile(known(c), p).alias(n) for n, (c, p) in {
+            "t95": ("TAVG", 0.95), "t05": ("TAVG", 0.05), "flood90": ("FLOOD_RISK_IDX", 0.90), "wind90": ("WIND_RISK_IDX", 0.90)}.items()],
     )
+    last = F.size("_rain") - 1
+    at = F.lit(0.75) * last
+    low, high = (drought(F.col("_mean_M"), F.get("_rain", (last - f(at)).cast("int"))) for f in (F.floor, F.ceil))
+    return stats.withColumn("drought75", low + (high - low) * (at - F.floor(at))).drop("_rain")
 
 
 def hazard_state(windows: DataFrame, thresholds: DataFrame) -> DataFrame:

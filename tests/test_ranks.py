@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import metrics as M
 from skyledger.operators import splits as S
-from skyledger.operators.ranks import percent_rank, quantiles
+from skyledger.operators.ranks import percent_rank, quantiles, ranged_levels
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +25,10 @@ def frame(spark, values):
     return spark.createDataFrame(rows, "k string, v double").cache()
 
 
-@pytest.mark.parametrize("width", [0.01, 0.25, 1000.0])
-def test_quantiles_match_numpy_for_any_width(frame, values, width):
+@pytest.mark.parametrize("parts", [1, 5, 64])
+def test_quantiles_match_numpy_for_any_number_of_parts(frame, values, parts):
     wanted = {"q05": 0.05, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    got = {r["k"]: r for r in quantiles(frame, ["k"], {n: ("v", p) for n, p in wanted.items()}, width).collect()}
+    got = {r["k"]: r for r in quantiles(frame, ["k"], {n: ("v", p) for n, p in wanted.items()}, parts).collect()}
     for k, vs in values.items():
         for n, p in wanted.items():
             assert got[k][n] == pytest.approx(np.quantile(vs, p), abs=1e-9)
@@ -41,6 +41,15 @@ def test_percent_rank(frame, values):
         assert row["share"] == pytest.approx(below / (len(values["b"]) - 1))
 
 
+@pytest.mark.parametrize("low,high", [(0.0, 1e-7), (0.0, 1.0), (-1e9, 1e9)])
+def test_packed_values_spread_over_the_parts(spark, low, high):
+    rows = [(low + (high - low) * i / 20_000,) for i in range(20_000)] + [(1e12,), (-1e12,)]
+    levels = ranged_levels(spark.createDataFrame(rows, "v double"), [], "v", 16, {"n": F.count(F.lit(1))})
+    sizes = levels.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_bucket").collect()
+    assert len(sizes) == 16 and max(r["n"] for r in sizes) < 3 * 20_002 / 16
+    assert all(x["b"] < y["a"] for x, y in zip(sizes, sizes[1:]))
+
+
 def scored(rng, n, tied):
     return [(int(rng.random() < 0.3), (rng.randint(0, 9) / 9 if tied else rng.random())) for _ in range(n)]
 
