@@ -1,5 +1,7 @@
 """Model jobs on MLlib: forests, fusion, next-day temperature, scoring and explanations."""
 
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
@@ -11,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger.functions.columns import flag
 from skyledger.functions.hazards import clamp_pct, risk_tier
+from skyledger.operators.bootstrap import bootstrap_weights
+from skyledger.operators.lineage import settle
 from skyledger.operators.rolling import rolling
 from skyledger.operators.splits import MinMax, with_class_weights
-from skyledger.schema import FEATURES, SEQUENCE
+from skyledger.schema import DAY, FEATURES, SEQUENCE, STATION
 
 SCALED = "_z_"
 UNTRAINED_IMPORTANCE = 0.1
@@ -44,12 +48,45 @@ def hazard_forest(scaled: DataFrame, columns: list[str] = FEATURES, trees: int =
     return train_forest(scaled, "RISK", columns, trees, depth=10, seed=42)
 
 
-def event_forest(scaled: DataFrame, columns: list[str] = FEATURES, trees: int = 100) -> PipelineModel:
-    return train_forest(scaled, "EVENT_LABEL", columns, trees, depth=12, seed=143, min_leaf=3)
+@dataclass
+class Bag:
+    """Forests whose probabilities are averaged."""
+
+    models: list[PipelineModel]
+
 
+def event_forest(
+    scaled: DataFrame, columns: list[str] = FEATURES, trees: int = 100, bootstraps: int = 10, keys: tuple[str, ...] = (STATION, DAY)
+) -> Bag:
+    """Trees on bootstraps that each balance the classes by their own draw.
 
-def with_probability(df: DataFrame, model: PipelineModel, out: str) -> DataFrame:
+    The trees of one bootstrap differ by the features that their splits may use; ``bootstraps`` = ``trees`` gives every
+    tree a draw of its own, for as many passes over the rows. The drawn rows of all bootstraps are written once.
+    """
+    seed, label = 143, "EVENT_LABEL"
+    bootstraps = min(bootstraps, trees)
+    assemble = assembler(scaled_names(columns))
+    rows = bootstrap_weights(scaled.select(*keys, label, *scaled_names(columns)), label, list(keys), bootstraps, seed)
+    rows = settle(assemble.transform(rows).select("bootstrap", F.col(label).cast("double").alias("label"), "features", "weight"), "bootstraps")
+    models = []
+    for b in range(bootstraps):
+        forest = RandomForestClassifier(
+            numTrees=trees // bootstraps + (b < trees % bootstraps), maxDepth=12, minInstancesPerNode=3, seed=seed + b,
+            weightCol="weight", bootstrap=False, featureSubsetStrategy="sqrt")
+        models.append(PipelineModel([assemble, forest.fit(rows.filter(F.col("bootstrap") == b))]))
+    return Bag(models)
+
+
+def with_probability(df: DataFrame, model: PipelineModel | Bag, out: str) -> DataFrame:
     """Probability of class 1; the model's own columns are dropped."""
+    if isinstance(model, Bag):
+        parts = [f"_p{i}" for i in range(len(model.models))]
+        for part, one in zip(parts, model.models):
+            df = with_probability(df, one, part)
+        # The forests of a bag may have one tree more or less; each counts by its trees.
+        trees = [forest_of(m).getNumTrees for m in model.models]
+        total = sum((F.col(p) * float(n) for p, n in zip(parts, trees)), F.lit(0.0))
+        return df.withColumn(out, total / float(sum(trees))).drop(*parts)
     scored = model.transform(df)
     made = ["features", "rawPrediction", "probability", "prediction"]
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(*made)
@@ -111,7 +148,7 @@ def score(
     features: DataFrame,
     scaler: MinMax,
     hazard: PipelineModel,
-    event: tuple[MinMax, PipelineModel, float] | None = None,
+    event: tuple[MinMax, PipelineModel | Bag, float] | None = None,
     fused: DataFrame | None = None,
     columns: list[str] = FEATURES,
     fusion: tuple[PipelineModel, DataFrame] | None = None,

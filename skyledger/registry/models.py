@@ -1,11 +1,17 @@
 """Model jobs. SQL has no models, so the queries return what it can state of their scores: the rows, bounds and rules."""
 
+import re
+
 from pyspark.sql import Column, Window, functions as F
 
+from skyledger.functions.hazards import clamp_pct, risk_tier
 from skyledger.operators import learners as L
+from skyledger.operators.bootstrap import bootstrap_weights, poisson_limits
 from skyledger.operators.cleaning import fill_defaults
 from skyledger.operators.lineage import scratch_path, settle
 from skyledger.operators.metrics import ranking_metrics
+from skyledger.operators.nodes import node_importances, with_node_scores
+from skyledger.operators.splits import minmax_fit
 from skyledger.operators.timing import join_chip_tabular
 from skyledger.plans.features import feature_panel
 from skyledger.plans.scoring import score_panel, score_today
@@ -42,6 +48,118 @@ def on_panel(statement: str) -> str:
         SELECT station, d, risk, ROW_NUMBER() OVER (PARTITION BY station ORDER BY d) AS place FROM target WHERE risk IS NOT NULL""")
 
 
+PANEL_ROWS = f"""
+    SELECT station, d, event_label_available, event_label, risk, {", ".join(
+        (f"GREATEST({c}, 0)" if c == "PRESSURE_DROP_3D" else f"COALESCE({c}, 0)") + f"::DOUBLE AS {c}" for c in FEATURES)}
+    FROM target WHERE risk IS NOT NULL"""
+
+# A fixed forest: five complete trees of four levels, every value a rule of tree and node.
+TREES, NODES, INNER = 5, 31, 15
+RULES = {
+    "feature": f"(tree * 7 + node * 5) % {len(FEATURES)}", "threshold": "((tree * 3 + node * 7) % 13 + 0.37D) / 14",
+    "left": "node * 2 + 1", "right": "node * 2 + 2", "gain": "((node + tree) % 5 + 1) / 10D",
+}
+CHANCE, WEIGHT = "((tree * 11 + node * 17) % 23 + 0.37D) / 23D", "(31 - node) * 1D"
+
+
+def fixed_forest(t):
+    """Written and read again, as a saved forest is."""
+    nodes = t.spark.range(TREES * NODES).select(
+        F.expr(f"int(id div {NODES})").alias("tree"), F.expr(f"int(id % {NODES})").alias("node"))
+    inner = F.col("node") < INNER
+    return once(t, "nodes", lambda: settle(nodes.select(
+        "tree", "node", *[F.when(inner, F.expr(rule)).alias(name) for name, rule in RULES.items()],
+        F.expr(CHANCE).alias("probability"), F.expr(WEIGHT).alias("weight")), "nodes"))
+
+
+def in_duck(rule: str) -> str:
+    return re.sub(r"([0-9.]+)D\b", r"\1::DOUBLE", rule).replace("/ 14", "/ 14::DOUBLE")
+
+
+FOREST_VIEWS = {
+    "panel": PANEL_ROWS,
+    "numbered": f"SELECT id // {NODES} AS tree, id % {NODES} AS node FROM range({TREES * NODES}) AS ids(id)",
+    "nodes": "SELECT tree, node, " + ", ".join(
+        f"CASE WHEN node < {INNER} THEN {in_duck(rule)} END AS {name}" for name, rule in RULES.items()
+    ) + f", {in_duck(CHANCE)} AS probability, {in_duck(WEIGHT)} AS weight FROM numbered",
+    "gains": "SELECT tree, feature, SUM(gain * weight) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY 1, 2",
+    "shares": """SELECT feature, SUM(gain / total) / ANY_VALUE(trees) AS share FROM gains
+                 JOIN (SELECT tree, SUM(gain) AS total FROM gains GROUP BY 1) USING (tree),
+                      (SELECT COUNT(DISTINCT tree) AS trees FROM gains) GROUP BY feature""",
+    "weighed": "SELECT f.place, f.name, COALESCE(share, 0) AS importance FROM ("
+               + " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name" for i, c in enumerate(FEATURES))
+               + ") f LEFT JOIN shares s ON s.feature = f.place",
+}
+SCALED_ROW = ", ".join(
+    f"({c} - MIN({c}) OVER ()) / CASE WHEN MAX({c}) OVER () = MIN({c}) OVER () THEN 1 ELSE MAX({c}) OVER () - MIN({c}) OVER () END"
+    for c in FEATURES)
+
+
+@query(
+    "forest_importances", "feature:s importance:f",
+    over("obs", "SELECT name AS feature, importance FROM weighed", **{k: v for k, v in FOREST_VIEWS.items() if k != "panel"}),
+)
+def _node_importances(t):
+    return node_importances(fixed_forest(t), FEATURES)
+
+
+@query(
+    "forest_scores", "station:s d:s hazard_prob:f probability_pct:f tier:s contribution_rain:f contribution_heat:f largest:f total:f",
+    over(
+        SOURCES,
+        """SELECT station, d, p AS hazard_prob, 100 * p AS probability_pct,
+                  CASE WHEN 100 * p < 30 THEN 'Low Risk' WHEN 100 * p < 60 THEN 'Moderate Alert' WHEN 100 * p < 85 THEN 'Severe Warning'
+                       ELSE 'Extreme Danger' END AS tier,
+                  shares[(SELECT place + 1 FROM weighed WHERE name = 'PRCP_30D')] AS contribution_rain,
+                  shares[(SELECT place + 1 FROM weighed WHERE name = 'HEAT_INDEX')] AS contribution_heat,
+                  list_max(shares) AS largest, list_sum(shares) AS total
+           FROM (SELECT station, d, p, CASE WHEN list_sum(parts) > 0 THEN list_transform(parts, lambda v: v / list_sum(parts))
+                        ELSE list_transform(parts, lambda v: 0.1::DOUBLE) END AS shares
+                 FROM (SELECT station, d, p, list_transform(list_zip(x, w), lambda z: z[1] * z[2]) AS parts
+                       FROM reached JOIN scaled USING (station, d), (SELECT LIST(importance ORDER BY place) AS w FROM weighed)))""",
+        **upto("target"), **FOREST_VIEWS, scaled=f"SELECT station, d, [{SCALED_ROW}] AS x FROM panel",
+        level0="SELECT station, d, x, tree, 0 AS node FROM scaled, (SELECT DISTINCT tree FROM nodes)",
+        **{f"level{k + 1}": f"""SELECT station, d, x, l.tree, CASE WHEN x[feature + 1] <= threshold THEN "left" ELSE "right" END AS node
+                                FROM level{k} l JOIN nodes n ON n.tree = l.tree AND n.node = l.node""" for k in range(4)},
+        reached="""SELECT station, d, AVG(probability) AS p FROM level4 l JOIN nodes n ON n.tree = l.tree AND n.node = l.node GROUP BY 1, 2""",
+    ),
+)
+def _node_scores(t):
+    """Probability, tier and contributions of every panel row from a forest that is a table."""
+    rows, nodes = features(t), fixed_forest(t)
+    scaled = minmax_fit(rows, FEATURES).transform(rows.select(STATION, DAY, *FEATURES), L.SCALED)
+    weights = {r["feature"]: r["importance"] for r in node_importances(nodes, FEATURES).collect()}
+    shares = L.contributions(L.scaled_names(FEATURES), [weights[c] for c in FEATURES])
+    scored = with_node_scores(scaled, nodes, L.scaled_names(FEATURES), [STATION, DAY], "hazard_prob").join(
+        scaled.select(STATION, DAY, shares.alias("shares")), [STATION, DAY])
+    pct = clamp_pct(F.col("hazard_prob") * 100.0)
+    return scored.withColumns({
+        "probability_pct": pct, "tier": risk_tier(pct), "contribution_rain": F.get("shares", F.lit(FEATURES.index("PRCP_30D"))),
+        "contribution_heat": F.get("shares", F.lit(FEATURES.index("HEAT_INDEX"))), "largest": F.array_max("shares"),
+        "total": F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)})
+
+
+@query(
+    "bootstrap_weights", "station:s d:s bootstrap:i copies:i weight:f",
+    over(
+        SOURCES,
+        "SELECT station, d, bootstrap, copies, copies * n / (classes * of_class) AS weight FROM counted",
+        **upto("target"), panel=PANEL_ROWS,
+        shares="""SELECT station, d, event_label AS y, bootstrap, ('0x' || SUBSTR(MD5(station || '|' || strftime(d, '%Y-%m-%d') || '|'
+                         || bootstrap || '|143'), 1, 5))::INTEGER / 1048576::DOUBLE AS share
+                  FROM panel, (SELECT UNNEST(range(4)) AS bootstrap) WHERE event_label IS NOT NULL""",
+        drawn="SELECT station, d, y, bootstrap, " + " + ".join(
+            f"CASE WHEN share >= {limit!r}::DOUBLE THEN 1 ELSE 0 END" for limit in poisson_limits()) + " AS copies FROM shares",
+        classes="SELECT bootstrap, y, SUM(copies)::DOUBLE AS of_class FROM drawn WHERE copies > 0 GROUP BY 1, 2",
+        totals="SELECT bootstrap, SUM(of_class) AS n, COUNT(*) AS classes FROM classes GROUP BY 1",
+        counted="SELECT * FROM drawn JOIN classes USING (bootstrap, y) JOIN totals USING (bootstrap) WHERE copies > 0",
+    ),
+)
+def _bootstraps(t):
+    """Draws and balanced weights of labelled rows, as the event forest takes them."""
+    return bootstrap_weights(features(t).select(STATION, DAY, "EVENT_LABEL"), "EVENT_LABEL", [STATION, DAY], 4, 143)
+
+
 def within(name: str, low: float = 0.0, high: float = 1.0) -> Column:
     return F.coalesce(F.col(name).between(low, high), F.lit(False)).cast("int")
 
