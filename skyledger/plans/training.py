@@ -3,12 +3,12 @@
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from skyledger.functions.columns import flag
 from skyledger.operators import learners as L
 from skyledger.operators.enrichment import align_fusion_inputs
+from skyledger.operators.lagged import LagModel, lagged_ridge
 from skyledger.operators.lineage import settle
 from skyledger.operators.metrics import (
     classification_metrics, event_subset_metrics, ranking_metrics, regression_metrics, tune_threshold,
@@ -28,7 +28,7 @@ SEQUENCE_DAYS = 30
 class Trained:
     hazard: PipelineModel
     hazard_scaler: MinMax
-    temperature: LinearRegressionModel
+    temperature: LagModel
     sequence_scaler: MinMax
     fusion: PipelineModel | None = None
     event: PipelineModel | None = None
@@ -66,7 +66,8 @@ def temperature_scores(panel: DataFrame, t: Trained) -> DataFrame:
     """Scaled next-day temperature per (station, split, day); no window crosses a split."""
     scaled = t.sequence_scaler.transform(panel.select(STATION, DAY, "split", *SEQUENCE))
     windows = L.window_vector(sequences(scaled, SEQUENCE_DAYS))
-    return t.temperature.transform(windows).select(STATION, DAY, "split", "target", "temp_pred")
+    last = F.element_at("sequence", -1)["TAVG"].alias("persisted")
+    return t.temperature.transform(windows).select(STATION, DAY, "split", "target", "temp_pred", last)
 
 
 def train_event_model(panel: DataFrame, t: Trained, trees: int, cuts: tuple[str, str]) -> dict:
@@ -108,8 +109,8 @@ def train(
     sequence_scaler = MinMax({c: ranges.low[c] for c in SEQUENCE}, {c: ranges.high[c] for c in SEQUENCE})
     hazard = L.hazard_forest(hazard_scaler.transform(train_rows, L.SCALED), trees=trees)
 
-    windows = L.window_vector(sequences(sequence_scaler.transform(train_rows.select(STATION, DAY, "split", *SEQUENCE))))
-    t = Trained(hazard, hazard_scaler, L.next_day_temperature(windows), sequence_scaler)
+    steps = sequence_scaler.transform(train_rows.select(STATION, DAY, "split", *SEQUENCE))
+    t = Trained(hazard, hazard_scaler, lagged_ridge(steps, length=SEQUENCE_DAYS), sequence_scaler)
 
     held_out = panel.filter(F.col("split") != "train")
     tabular = settle(
@@ -132,6 +133,8 @@ def train(
         "temperature_mse_scaled": fit["mse_scaled"], "temperature_r2": fit["r2"],
         "temperature_mae_c": fit["mae"], "temperature_rmse_c": fit["rmse"],
     }
+    kept = regression_metrics(part(temperature, "test"), "target", "persisted", low, span).first()
+    t.metrics |= {"persistence_mae_c": kept["mae"], "persistence_rmse_c": kept["rmse"], "persistence_r2": kept["r2"]}
     scored = L.with_probability(fused.filter("part = 'test'"), t.fusion, "score").withColumn("y", F.col("RISK"))
     scored = settle(scored.select("y", "score", flag(F.col("score") >= 0.5).alias("called")), "fused")
     t.metrics["fusion_accuracy"] = classification_metrics(scored, "y", "called").first()["accuracy"]

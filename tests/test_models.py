@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import learners as L
 from skyledger.operators.bootstrap import bootstrap_weights, poisson_limits
+from skyledger.operators.lagged import lagged_moments, lagged_ridge
 from skyledger.operators.nodes import depth, node_importances, node_table, with_node_scores
+from skyledger.operators.rolling import sequences
 from skyledger.sources.writers import load_models, save_models
 
 X = ["a", "b", "c"]
@@ -94,3 +97,33 @@ def test_a_bag_averages_its_forests_and_survives_saving(spark, rows, tmp_path):
     again = load_models(spark, str(tmp_path / "m"))
     assert {r["id"]: r["p"] for r in L.with_probability(scaled, again["models"]["event"], "p").collect()} == got
     assert again["threshold"] == 0.4 and again["models"]["hazard"] is None
+
+
+@pytest.mark.parametrize("length", [30, 3])
+def test_lagged_ridge_equals_the_fit_on_windows(spark, length):
+    """Series that cross chunks, are cut by splits, or are too short for a window; a column that follows from others."""
+    rng = random.Random(8)
+    data = []
+    for station, first, days in (("A", date(1999, 10, 1), 300), ("B", date(2003, 11, 20), 120), ("C", date(2001, 1, 1), 31), ("D", date(2001, 1, 1), 20)):
+        level = 10.0
+        for k in range(days):
+            level = 0.8 * level + rng.gauss(2, 3)
+            low = level - rng.random() * 5
+            data.append((station, "train" if k < days * 0.7 else "test", first + timedelta(days=k * 3), level, low, (level + low) / 2,
+                         None if rng.random() < 0.1 else rng.random(), 4.0))
+    df = spark.createDataFrame(data, "City_ID string, split string, Date date, TMAX double, TMIN double, TAVG double, PRCP double, SST double")
+    windows = L.window_vector(sequences(df, length))
+    fitted = L.next_day_temperature(windows)
+    model = lagged_ridge(df, length=length)
+    assert model.weights == pytest.approx(list(fitted.coefficients.toArray()), abs=1e-6)
+    assert model.intercept == pytest.approx(fitted.intercept, abs=1e-6)
+    both = fitted.transform(windows).withColumnRenamed("temp_pred", "p")
+    assert all(r["p"] == pytest.approx(r["temp_pred"], abs=1e-6) for r in model.transform(both).collect())
+
+
+def test_lagged_moments_make_no_windows(spark, capsys):
+    df = spark.createDataFrame([("A", "all", date(2000, 1, 1), 1.0, 0.0)], "City_ID string, split string, Date date, TAVG double, SST double")
+    lagged_moments(df, ["TAVG", "SST"], 30).explain()
+    assert "collect_list" not in capsys.readouterr().out
+    with pytest.raises(ValueError, match="predecessors"):
+        lagged_ridge(df, ["TAVG", "SST"])
