@@ -157,21 +157,23 @@ def _spans(hit: np.ndarray, limits: np.ndarray) -> list[list[dict]]:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 13, share: int = 20,
-    item: str = "item_id", item_text: str = "text", limit: int = 2_000_000,
+    item: str = "item_id", item_text: str = "text", limit: int = 2_000_000, limit_bytes: int = 128 << 20,
 ) -> DataFrame:
     """All columns of the documents and ``n_words``, ``n_hit``, ``items`` (sorted strings), ``spans`` (runs of hit
     words, start and stop) and ``contaminated``: some word is hit, and one in ``share`` or more.
 
     Null and empty texts have no words and are clean; so is every document against an empty benchmark, or one whose
     texts are null. Items without an id are left out. Repeated rows and ties give the same result for each row. An
-    input column with a result's name is replaced. ``limit`` bounds the windows that are broadcast at once.
+    input column with a result's name is replaced. ``limit`` and ``limit_bytes`` bound the windows that are broadcast at
+    once, dealt into blocks by their hash, so that one long item spreads over blocks too.
     """
     results = [*StructType.fromDDL(RESULT).names, "contaminated"]
     docs = docs.drop(*[c for c in results if c in docs.columns])
     windows = settle(benchmark_windows(benchmark, item_text, item, window), "benchmark")
-    blocks = max(1, math.ceil(windows.count() / limit))
+    size = windows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("content") + F.octet_length("item")).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["rows"] / limit), math.ceil((size["bytes"] or 0) / limit_bytes))
     for k in range(blocks):
-        block = windows.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else windows
+        block = windows.filter(F.pmod(F.xxhash64("mark"), F.lit(blocks)) == k) if blocks > 1 else windows
         docs = scan(docs, text, Index(block.collect()))
         if k + 1 < blocks:
             docs = settle(docs, "scanned")
@@ -181,15 +183,17 @@ def find_contamination(
 def without_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", **options) -> DataFrame:
     """Drop contaminated documents, or with ``remove="spans"`` cut their hit words out of the text.
 
-    A cut goes from the first byte of its first word to the last byte of its last word. Columns stay as they are.
+    A cut goes from the first byte of its first word to the last byte of its last word. Columns stay as they are, also
+    those that have the name of a result of ``find_contamination``.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove!r}")
-    found = find_contamination(docs, benchmark, text, **options)
+    # Under names that no result has.
+    names = {c: f"decontam_column_{i}" for i, c in enumerate(docs.columns) if c != text}
+    found = find_contamination(docs.withColumnsRenamed(names), benchmark, text, **options)
+    columns, names_out = [names.get(c, c) for c in docs.columns], docs.columns
     if remove == "documents":
-        return found.filter(~F.col("contaminated")).select(docs.columns)
-
-    columns = docs.columns
+        return found.filter(~F.col("contaminated")).select(*[F.col(n).alias(c) for n, c in zip(columns, docs.columns)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +212,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "
                     pa.string(), part.docs, [None, pa.py_buffer(ends), pa.py_buffer(part.data[keep].tobytes())]))
             new = pa.chunked_array(bodies, pa.string()).combine_chunks()
             new = pc.if_else(pc.is_null(table[text].combine_chunks()), pa.scalar(None, pa.string()), new)
-            out = pa.table([new if n == text else table[n] for n in columns], names=columns)
+            out = pa.table([new if n == text else table[n] for n in columns], names=names_out)
             yield from out.to_batches()
 
     return found.mapInArrow(cut, docs.schema)

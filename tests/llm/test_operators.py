@@ -461,3 +461,18 @@ def test_wide_sketch_never_counts_more_than_differs(spark):
             places = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(odd[i], odd[j]))
             apart = len(set(a) ^ set(b))
             assert places <= apart and (apart > 200 or places >= 0.8 * apart - 2)
+
+
+def test_one_long_item_is_dealt_over_blocks(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, item), (2, " ".join(item.split()[100:130])), (3, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    sizes = []
+    index = decontam.Index
+    monkeypatch.setattr(decontam, "Index", lambda rows: sizes.append(len(rows)) or index(rows))
+    got = by_id(decontam.find_contamination(docs, bench, limit=100), "n_words", "n_hit", "items", "contaminated")
+    assert got == plain.contamination({r.doc_id: r.text for r in docs.collect()}, [(1, item)])
+    assert sum(sizes) == 388 and max(sizes) < 200
+    sizes.clear()
+    decontam.find_contamination(docs, bench, limit_bytes=10_000).count()
+    assert len(sizes) > 1 and sum(sizes) == 388

@@ -6,6 +6,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+from skyledger.llm.decontam import without_contamination
 from skyledger.llm.quality import judge
 from skyledger.llm.queries import QUERIES, SQL
 from tests.compare import compare, duck
@@ -73,3 +75,29 @@ def test_pipeline_of_no_documents(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns_and_rows_without_an_id(spark, documents, corpus, tmp_path):
+    """Columns with names of results come through as they are; a rejected id takes all its rows, no id is never rejected."""
+    texts = dict(corpus)
+    folder, long = str(tmp_path), "word " * 80
+    extra = spark.createDataFrame(
+        [(None, long, "en", "s", 400), (7000, long, "en", "s", 400), (7000, texts[94], "en", "s", len(texts[94]))], documents.schema.simpleString()[7:-1].replace(":", " "))
+    names = ("n_words", "kept", "items", "spans", "n_hit", "contaminated", "n_removed", "factors", "component_id")
+    docs = documents.unionByName(extra).withColumns({c: F.lit(f"mine {c}") for c in names})
+    spark.createDataFrame([(1, texts[70])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == [*documents.columns, *names], name
+    rows = docs.collect()
+    assert len(rows) > 10 and all(r[c] == f"mine {c}" for r in rows for c in names)
+    assert [r.text for r in rows if r.doc_id is None] == [long] and not [r for r in rows if r.doc_id == 7000]
+
+
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontamination_keeps_clashing_columns(spark, remove):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, f"{text} more", 5, "a"), (2, "clean", 6, "b")], "doc_id long, text string, spans int, contaminated string")
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = without_contamination(docs, bench, remove=remove).collect()
+    assert {r.doc_id: (r.spans, r.contaminated) for r in got} == ({2: (6, "b")} if remove == "documents" else {1: (5, "a"), 2: (6, "b")})
