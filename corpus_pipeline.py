@@ -20,22 +20,24 @@ from skyledger.operators.lineage import settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the robust distance reject go."""
+    """Documents that the rules or the robust distance reject go. Rows with one id go together; rows without an id stay."""
     return docs.join(judge(docs).filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays, with all its rows; rows without an id stay."""
     return docs.join(near_duplicates(docs).filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a document with a smaller id has are cut out; ``n_chars`` follows the text."""
-    cut = remove_shared_passages(docs, untouched=True)
-    new = {"text": F.col("kept")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    # Under names that no result of the operator has.
+    names = {c: f"pipeline_column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cut = remove_shared_passages(docs.withColumnsRenamed(names), untouched=True)
+    new = {c: F.col(names.get(c, c)) for c in docs.columns} | {"text": F.col("kept")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(new["n_chars"])
+    return cut.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
