@@ -468,8 +468,8 @@ def test_one_long_item_is_dealt_over_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, item), (2, " ".join(item.split()[100:130])), (3, "clean text")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     sizes = []
-    index = decontam.Index
-    monkeypatch.setattr(decontam, "Index", lambda rows: sizes.append(len(rows)) or index(rows))
+    made = decontam.Index.__init__
+    monkeypatch.setattr(decontam.Index, "__init__", lambda self, rows: sizes.append(len(rows)) or made(self, rows))
     got = by_id(decontam.find_contamination(docs, bench, limit=100), "n_words", "n_hit", "items", "contaminated")
     assert got == plain.contamination({r.doc_id: r.text for r in docs.collect()}, [(1, item)])
     assert sum(sizes) == 388 and max(sizes) < 200
