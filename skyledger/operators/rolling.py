@@ -140,19 +140,29 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= n)
 
 
+STEP = "struct<_age:int," + ",".join(f"{c}:double" for c in SEQUENCE) + ">"
+
+
 def scoring_sequences(history: DataFrame, current: DataFrame, length: int = 30) -> DataFrame:
     """Last ``length - 1`` history rows plus today's, padded in front with the first row.
 
     ``current`` holds (City_ID, TMAX, TMIN, PRCP); today's SST is the last known one.
     """
     history = history if "TAVG" in history.columns else history.withColumn("TAVG", (F.col("TMAX") + F.col("TMIN")) / 2)
-    tail = last_rows(history, length - 1).select(STATION, "_age", *SEQUENCE)
+    tail = last_rows(history, length - 1).select(STATION, "_age", *[F.col(c).cast("double").alias(c) for c in SEQUENCE])
     ocean = tail.filter(F.col("_age") == 1).select(STATION, F.col("SST").alias("_sst"))
-    today = current.join(ocean, STATION, "left").select(
-        STATION, F.lit(0).alias("_age"), "TMAX", "TMIN", ((F.col("TMAX") + F.col("TMIN")) / 2).alias("TAVG"),
-        "PRCP", F.coalesce("_sst", F.lit(SST_FILL_C)).alias("SST"),
+    today = current.join(ocean, STATION, "left").withColumns({
+        "TAVG": (F.col("TMAX") + F.col("TMIN")) / 2, "SST": F.coalesce("_sst", F.lit(SST_FILL_C)),
+    }).select(STATION, F.lit(0).alias("_age"), *[F.col(c).cast("double").alias(c) for c in SEQUENCE])
+    # Joined and not unioned: a union passes on the partitioning of its sides, which a broadcast join in one of them can
+    # lose at run time, and Spark then groups the two sides of a station apart.
+    step = F.struct("_age", *SEQUENCE)
+    rows = (
+        tail.groupBy(STATION).agg(F.collect_list(step).alias("_tail"))
+        .join(today.select(STATION, F.array(step).alias("_today")), STATION, "full")
+        .select(STATION, F.explode(F.concat(*[F.coalesce(c, F.array().cast(f"array<{STEP}>")) for c in ("_tail", "_today")])).alias("_s"))
+        .select(STATION, "_s.*")
     )
-    rows = tail.unionByName(today)
     # At most ``length`` rows per station from here on.
     place = Window.partitionBy(STATION).orderBy(F.col("_age").desc())
     past, coming = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
