@@ -21,6 +21,7 @@ from skyledger.schema import DAY, FEATURES, SEQUENCE, STATION
 
 SCALED = "_z_"
 UNTRAINED_IMPORTANCE = 0.1
+FUSION_RIDGE = 1e-4
 
 
 def assembler(columns: list[str], out: str = "features") -> VectorAssembler:
@@ -186,7 +187,7 @@ def score(
 
 
 def chip_tabular_fusion(df: DataFrame, inputs=("chip_prob", "event_prob"), label: str = "label") -> PipelineModel:
-    """Logistic fusion of chip and station-day probabilities, fit on the training years."""
+    """Logistic fusion of chip and station-day probabilities, fit on the training years, down to the optimum."""
     assemble = assembler(list(inputs))
     rows = assemble.transform(df.withColumn("label", F.col(label).cast("double"))).select("features", "label")
-    return PipelineModel([assemble, LogisticRegression(regParam=1e-4, maxIter=50).fit(rows)])
+    return PipelineModel([assemble, LogisticRegression(regParam=FUSION_RIDGE, maxIter=200, tol=1e-12).fit(rows)])

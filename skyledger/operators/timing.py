@@ -1,6 +1,6 @@
 """Time-interval joins between image chips and reported events."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skyledger.functions.columns import micros
 from skyledger.operators.chunks import CHUNK, with_sides
@@ -66,3 +66,20 @@ def quiet_dates(calendar: DataFrame, labels: DataFrame, n: int, seed: int = 42)
 def join_chip_tabular(chips: DataFrame, scores: DataFrame) -> DataFrame:
     """Chip probability next to the station-day event probability."""
     return chips.withColumn(DAY, F.to_date("ts")).join(scores, [STATION, DAY])
+
+
+def event_rates(days: DataFrame, events: DataFrame) -> DataFrame:
+    """``event_prob`` per station-day of ``days``: the share of earlier days on which the station reported an event.
+
+    One day with and one without an event are added before dividing. A day sees only what was reported before it, so the
+    rate may be used for any split. Days are counted from the first one of either table; rows without station or day go.
+    """
+    asked = days.select(STATION, DAY, F.lit(0).alias("_hit"), F.lit(1).alias("_asked"))
+    hits = events.select(STATION, DAY, F.lit(1).alias("_hit"), F.lit(0).alias("_asked"))
+    marks = asked.unionByName(hits).dropna(subset=[STATION, DAY]).groupBy(STATION, DAY).agg(
+        F.max("_hit").alias("_hit"), F.max("_asked").alias("_asked"))
+    # A station has one row for each day at most.
+    before = Window.partitionBy(STATION).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    elapsed = F.datediff(F.col(DAY), marks.agg(F.min(DAY)).scalar())
+    counted = marks.withColumn("event_prob", (F.coalesce(F.sum("_hit").over(before), F.lit(0)) + 1.0) / (elapsed + 2.0))
+    return counted.filter("_asked = 1").select(STATION, DAY, "event_prob")

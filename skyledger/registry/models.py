@@ -9,17 +9,17 @@ from skyledger.operators import learners as L
 from skyledger.operators.bootstrap import bootstrap_weights, poisson_limits
 from skyledger.operators.cleaning import fill_defaults
 from skyledger.operators.lineage import scratch_path, settle
-from skyledger.operators.metrics import ranking_metrics
 from skyledger.operators.nodes import node_importances, with_node_scores
 from skyledger.operators.splits import minmax_fit
-from skyledger.operators.timing import join_chip_tabular
+from skyledger.operators.timing import event_rates, label_chips
+from skyledger.plans.chips import fuse_chips
 from skyledger.plans.features import feature_panel
 from skyledger.plans.scoring import score_panel, score_today
 from skyledger.plans.training import Trained, hazard_scores, temperature_scores, train
 from skyledger.registry.entries import query
 from skyledger.registry.features import assembled
 from skyledger.registry.panel_sql import SOURCES, upto
-from skyledger.registry.proxies import over
+from skyledger.registry.proxies import USER_ID, over
 from skyledger.schema import DAY, FEATURES, STATION
 from skyledger.sources.writers import load_models, save_models, write_run_report
 
@@ -252,19 +252,92 @@ def _reload(t):
     )
 
 
-@query("chip_tabular_fusion", "rows:n positives:n roc_auc:f average_precision:f")
+CHIP_CUTS = ("2024-01-19", "2024-01-25")
+NEWTON_STEPS = 10
+
+
+def newton(k: int) -> str:
+    """Step ``k`` of the penalised logistic fit over standardised inputs: three unknowns, solved by cofactors."""
+    ridge = f"{L.FUSION_RIDGE!r}::DOUBLE"
+    sums = ", ".join([
+        "ANY_VALUE(b0) AS b0, ANY_VALUE(b1) AS b1, ANY_VALUE(b2) AS b2, AVG(p - label) AS g0",
+        f"AVG((p - label) * x1) + {ridge} * ANY_VALUE(b1) AS g1, AVG((p - label) * x2) + {ridge} * ANY_VALUE(b2) AS g2",
+        "AVG(p * (1 - p)) AS a, AVG(p * (1 - p) * x1) AS b, AVG(p * (1 - p) * x2) AS c, AVG(p * (1 - p) * x1 * x2) AS e",
+        f"AVG(p * (1 - p) * x1 * x1) + {ridge} AS dd, AVG(p * (1 - p) * x2 * x2) + {ridge} AS f",
+    ])
+    det = "(a * (dd * f - e * e) - b * (b * f - c * e) + c * (b * e - c * dd))"
+    return f"""
+        SELECT b0 - ((dd * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * dd) * g2) / {det} AS b0,
+               b1 - ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / {det} AS b1,
+               b2 - ((b * e - c * dd) * g0 + (b * c - a * e) * g1 + (a * dd - b * b) * g2) / {det} AS b2
+        FROM (SELECT {sums} FROM (SELECT *, 1 / (1 + EXP(-(b0 + b1 * x1 + b2 * x2))) AS p FROM fitted, newton{k - 1}) y) z"""
+
+
+CHIP_VIEWS = {
+    "shots": f"""SELECT event_id AS chip_id, {USER_ID} AS station, ts, value / (value + 40) AS chip_prob
+                 FROM events WHERE event_type <> 'error'""",
+    "near": """SELECT c.chip_id, c.station, c.ts, c.chip_prob, EPOCH_US(c.ts) - EPOCH_US(s.ts) AS us FROM shots c
+               LEFT JOIN fx_storms s ON s.station = c.station AND s.ts BETWEEN c.ts - INTERVAL 12 HOUR AND c.ts + INTERVAL 12 HOUR""",
+    "marked": """SELECT chip_id, station, ts, CAST(ts AS DATE) AS d, chip_prob,
+                        CASE WHEN BOOL_OR(COALESCE(ABS(us) <= 6 * 3600000000, FALSE)) THEN 1 WHEN COUNT(us) > 0 THEN -1 ELSE 0 END AS label
+                 FROM near GROUP BY ALL""",
+    "struck": "SELECT DISTINCT station, d FROM storms",
+    "asked": "SELECT DISTINCT station, d FROM marked",
+    "rates": """SELECT a.station, a.d, (COUNT(h.d) + 1)::DOUBLE / (DATE_DIFF('day', ANY_VALUE(first), a.d) + 2) AS event_prob
+                FROM asked a LEFT JOIN struck h ON h.station = a.station AND h.d < a.d,
+                     (SELECT LEAST((SELECT MIN(d) FROM asked), (SELECT MIN(d) FROM struck)) AS first) GROUP BY a.station, a.d""",
+    "evaluated": f"""SELECT chip_id, station, d, chip_prob, event_prob, label, CASE WHEN d < DATE '{CHIP_CUTS[0]}' THEN 'train'
+                            WHEN d < DATE '{CHIP_CUTS[1]}' THEN 'validation' ELSE 'test' END AS split
+                     FROM marked JOIN rates USING (station, d) WHERE label >= 0""",
+    "spreads": "SELECT STDDEV_SAMP(chip_prob) AS s1, STDDEV_SAMP(event_prob) AS s2 FROM evaluated WHERE split = 'train'",
+    "fitted": "SELECT chip_prob / s1 AS x1, event_prob / s2 AS x2, label FROM evaluated, spreads WHERE split = 'train'",
+    "newton0": "SELECT 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2",
+    **{f"newton{k}": newton(k) for k in range(1, NEWTON_STEPS + 1)},
+    "fused": f"""SELECT chip_id, split, label, 1 / (1 + EXP(-(b0 + b1 * chip_prob / s1 + b2 * event_prob / s2))) AS score
+                 FROM evaluated, spreads, newton{NEWTON_STEPS}""",
+    "tried": """SELECT pct, 2 * SUM(CASE WHEN score >= pct / 100::DOUBLE THEN label ELSE 0 END)
+                       / (COUNT(CASE WHEN score >= pct / 100::DOUBLE THEN 1 END) + SUM(label)) AS f1
+                FROM fused, (SELECT UNNEST(range(5, 96)) AS pct) WHERE split = 'validation' GROUP BY pct""",
+    "best": "SELECT pct / 100::DOUBLE AS threshold, f1 AS validation_f1 FROM tried ORDER BY f1 DESC, pct LIMIT 1",
+    "called": "SELECT chip_id, split, label, score, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS called FROM fused, best",
+    "levels": "SELECT score, SUM(label) AS pos, COUNT(*) AS n FROM fused WHERE split = 'test' GROUP BY 1",
+    "curve": """SELECT pos, n, SUM(n - pos) OVER (ORDER BY score) - (n - pos) AS lower, SUM(pos) OVER (ORDER BY score DESC) AS tp,
+                       SUM(n) OVER (ORDER BY score DESC) AS reached, SUM(pos) OVER () AS p, SUM(n) OVER () AS t FROM levels""",
+    "ranked": """SELECT SUM(pos * (lower + 0.5::DOUBLE * (n - pos))) / (MAX(p) * (MAX(t) - MAX(p))) AS test_auc,
+                        SUM(pos * tp / reached) / MAX(p) AS test_average_precision FROM curve""",
+    "cells": """SELECT AVG(CASE WHEN label = called THEN 1 ELSE 0 END) AS test_accuracy,
+                       COALESCE(2 * SUM(label * called) / NULLIF(SUM(label) + SUM(called), 0), 0) AS test_f1 FROM called WHERE split = 'test'""",
+}
+
+
+def fused_chips(t):
+    """Every report but the storms is a chip with its value as the image model's score; storms label them and give the station's rate."""
+    reports = t.read("events").filter("event_type <> 'error'")
+    images = reports.select(
+        F.col("event_id").alias("chip_id"), t.station_id(F.col("user_id")).alias(STATION), "ts",
+        (F.col("value") / (F.col("value") + 40)).alias("chip_prob"))
+    rates = event_rates(images.select(STATION, F.to_date("ts").alias(DAY)), t.storms())
+    return once(t, "chips", lambda: fuse_chips(label_chips(images, t.storms()), rates, *CHIP_CUTS))
+
+
+@query(
+    "chip_tabular_fusion",
+    "split_strategy:s train_rows:n validation_rows:n test_rows:n test_positives:n threshold:f validation_f1:f"
+    " test_accuracy:f test_f1:f test_auc:f test_average_precision:f",
+    over("storms", """SELECT 'dates' AS split_strategy, threshold, validation_f1, test_accuracy, test_f1, test_auc, test_average_precision,
+                             (SELECT COUNT(*) FROM fused WHERE split = 'train') AS train_rows,
+                             (SELECT COUNT(*) FROM fused WHERE split = 'validation') AS validation_rows,
+                             (SELECT COUNT(*) FROM fused WHERE split = 'test') AS test_rows,
+                             (SELECT SUM(label) FROM fused WHERE split = 'test') AS test_positives FROM best, cells, ranked""", **CHIP_VIEWS),
+)
 def _chips(t):
-    """Chips stand on panel days; the label follows the station-day event, the chip probability a noisy copy of it."""
-    model = trained(t)
-    scaled = model.event_scaler.transform(features(t), L.SCALED)
-    scores = L.with_probability(scaled, model.event, "event_prob").select(
-        STATION, DAY, "event_prob", F.coalesce(F.col("EVENT_LABEL"), F.lit(0.0)).alias("label")
-    )
-    noise = F.pmod(F.xxhash64(STATION, DAY), F.lit(1000)) / 1000.0
-    chips = features(t).select(
-        STATION, F.col(DAY).cast("timestamp_ntz").alias("ts"), (F.col("PRCP_3D") / 50 + noise / 2).alias("chip_prob")
-    )
-    rows = join_chip_tabular(chips, scores)
-    fit = L.chip_tabular_fusion(rows.filter(F.col(DAY) < "2001-01-01"))
-    test = L.with_probability(rows.filter(F.col(DAY) >= "2001-06-01"), fit, "score")
-    return ranking_metrics(test.withColumn("y", F.col("label").cast("int")))
+    return t.spark.range(1).select(*[F.lit(v).alias(k) for k, v in fused_chips(t).metrics.items()])
+
+
+@query(
+    "chip_tabular_scores", "chip_id:n split:s label:i called:i score_thousandths:n",
+    over("storms", "SELECT chip_id, split, label, called, FLOOR(score * 1000 + 1e-5) AS score_thousandths FROM called", **CHIP_VIEWS),
+)
+def _chip_scores(t):
+    """Every evaluated chip; SQL fits the same optimum by Newton steps."""
+    return fused_chips(t).scored.withColumn("score_thousandths", F.floor(F.col("score") * 1000 + 1e-5))

@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,6 +15,9 @@ from skyledger.operators.bootstrap import bootstrap_weights, poisson_limits
 from skyledger.operators.lagged import lagged_moments, lagged_ridge
 from skyledger.operators.nodes import depth, node_importances, node_table, with_node_scores
 from skyledger.operators.rolling import sequences
+from skyledger.operators.splits import SmallSplit
+from skyledger.operators.timing import event_rates
+from skyledger.plans.chips import fuse_chips
 from skyledger.sources.writers import load_models, save_models
 
 X = ["a", "b", "c"]
@@ -127,3 +130,82 @@ def test_lagged_moments_make_no_windows(spark, capsys):
     assert "collect_list" not in capsys.readouterr().out
     with pytest.raises(ValueError, match="predecessors"):
         lagged_ridge(df, ["TAVG", "SST"])
+
+
+def chips_and_rates(spark, days: int, seed: int = 4):
+    """Two sources of evidence, each with its own noise, over chips that lie evenly over ``days``."""
+    rng = random.Random(seed)
+    chips, rates = [], {}
+    for i in range(3000):
+        station, day = f"S{i % 5}", date(2022, 1, 1) + timedelta(days=rng.randrange(days))
+        wet = rates.setdefault((station, day), rng.random())
+        chip = rng.random()
+        hit = int(rng.random() < 1 / (1 + math.exp(6 - 6 * chip - 4 * wet)))
+        chips.append((i, station, datetime(day.year, day.month, day.day, rng.randrange(24)), chip, -1 if rng.random() < 0.1 else hit))
+    return (
+        spark.createDataFrame(chips, "chip_id int, City_ID string, ts timestamp_ntz, chip_prob double, label int"),
+        spark.createDataFrame([(s, d, p) for (s, d), p in rates.items()], "City_ID string, Date date, event_prob double"),
+    )
+
+
+def test_chip_fusion_is_tuned_and_measured_on_periods_of_their_own(spark):
+    chips, rates = chips_and_rates(spark, 1095)
+    fused = fuse_chips(chips, rates)
+    rows = fused.scored.collect()
+    assert fused.metrics["split_strategy"] == "dates" and len(rows) == chips.filter("label >= 0").count()
+    year = {"train": 2022, "validation": 2023, "test": 2024}
+    assert all(r["Date"].year == year[r["split"]] for r in rows)
+
+    def f1(part, threshold):
+        mine = [r for r in rows if r["split"] == part]
+        hits = sum(r["label"] for r in mine if r["score"] >= threshold)
+        return 2 * hits / (sum(r["score"] >= threshold for r in mine) + sum(r["label"] for r in mine))
+
+    best = max(range(5, 96), key=lambda pct: (f1("validation", pct / 100), -pct)) / 100
+    assert fused.threshold == best and fused.metrics["validation_f1"] == pytest.approx(f1("validation", best))
+    assert fused.metrics["test_f1"] == pytest.approx(f1("test", best))
+    test = [r for r in rows if r["split"] == "test"]
+    assert fused.metrics["test_accuracy"] == pytest.approx(sum(r["label"] == r["called"] for r in test) / len(test))
+    positive, negative = ([r["score"] for r in test if r["label"] == y] for y in (1, 0))
+    wins = sum((p > n) + 0.5 * (p == n) for p in positive for n in negative)
+    assert fused.metrics["test_auc"] == pytest.approx(wins / (len(positive) * len(negative)))
+    # Both sides together rank better than either alone.
+    alone = [sum((p > n) + 0.5 * (p == n) for p in a for n in b) / (len(a) * len(b)) for a, b in (
+        ([r[c] for r in test if r["label"] == 1], [r[c] for r in test if r["label"] == 0]) for c in ("chip_prob", "event_prob"))]
+    assert fused.metrics["test_auc"] > max(alone) + 0.01
+
+
+def test_chip_fusion_meets_the_optimum(spark):
+    """At the fitted coefficients the slope of the penalised loss is nil."""
+    chips, rates = chips_and_rates(spark, 1095, seed=9)
+    fused = fuse_chips(chips, rates)
+    train = [r for r in fused.scored.collect() if r["split"] == "train"]
+    weights = fused.model.stages[-1].coefficients
+    assert sum(r["score"] - r["label"] for r in train) / len(train) == pytest.approx(0, abs=1e-7)
+    for j, c in enumerate(("chip_prob", "event_prob")):
+        slope = sum((r["score"] - r["label"]) * r[c] for r in train) / len(train)
+        mean = sum(r[c] for r in train) / len(train)
+        spread = sum((r[c] - mean) ** 2 for r in train) / (len(train) - 1)
+        assert slope + L.FUSION_RIDGE * weights[j] * spread == pytest.approx(0, abs=1e-6)
+
+
+def test_chip_fusion_falls_back_to_shares_or_says_why_not(spark):
+    chips, rates = chips_and_rates(spark, 300)
+    fused = fuse_chips(chips, rates)
+    assert fused.metrics["split_strategy"] == "shares"
+    ends = {r["split"]: (r["a"], r["b"]) for r in fused.scored.groupBy("split").agg(F.min("Date").alias("a"), F.max("Date").alias("b")).collect()}
+    assert ends["train"][1] < ends["validation"][0] and ends["validation"][1] < ends["test"][0]
+    for few in (chips.limit(0), chips.limit(40), chips.withColumn("label", F.least("label", F.lit(0))), chips.withColumn("chip_prob", F.lit(None).cast("double"))):
+        with pytest.raises(SmallSplit, match="too few labelled chips"):
+            fuse_chips(few, rates)
+
+
+def test_event_rates_see_earlier_days_only(spark):
+    day = lambda k: date(2022, 3, 1) + timedelta(days=k)
+    days = spark.createDataFrame([(s, day(k)) for s in "AB" for k in (0, 3, 4, 9, 9)] + [(None, day(1)), ("A", None)], "City_ID string, Date date")
+    events = spark.createDataFrame([("A", day(3)), ("A", day(3)), ("A", day(7)), ("C", day(1))], "City_ID string, Date date")
+    got = {(r["City_ID"], r["Date"]): r["event_prob"] for r in event_rates(days, events).collect()}
+    assert got == {
+        ("A", day(0)): 1 / 2, ("A", day(3)): 1 / 5, ("A", day(4)): 2 / 6, ("A", day(9)): 3 / 11,
+        ("B", day(0)): 1 / 2, ("B", day(3)): 1 / 5, ("B", day(4)): 1 / 6, ("B", day(9)): 1 / 11}
+    assert event_rates(days.limit(0), events).count() == 0
