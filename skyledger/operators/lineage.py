@@ -3,6 +3,9 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +21,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/skyledger-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which belongs to the innermost ``owned_tables`` around the call."""
+    path = f"{shared_folder(spark).rstrip('/')}/skyledger-{name}-{uuid.uuid4().hex}"
+    if (paths := _owned.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``settle`` wrote in the body, also after an error.
+
+    What shall outlive the body is written elsewhere or collected before it ends; frames over settled tables cannot be
+    read afterwards. Bodies may be nested: each owns what was written directly in it.
+    """
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for path in paths:
+            delete_path(spark, path)
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

@@ -9,7 +9,7 @@ from skyledger.functions.columns import flag
 from skyledger.operators import learners as L
 from skyledger.operators.enrichment import align_fusion_inputs
 from skyledger.operators.lagged import LagModel, lagged_ridge
-from skyledger.operators.lineage import settle
+from skyledger.operators.lineage import owned_tables, settle
 from skyledger.operators.metrics import (
     classification_metrics, event_subset_metrics, ranking_metrics, regression_metrics, tune_threshold,
 )
@@ -23,6 +23,16 @@ from skyledger.schema import DAY, FEATURES, SEQUENCE, STATION
 
 SEQUENCE_DAYS = 30
 
+# Years of history that a station should have.
+MINIMUM_YEARS, PREFERRED_YEARS = 10, 20
+TARGET_NOTE = (
+    "Hazard on the next day: on station-days that event reports cover, whether one was reported; on all others the rule"
+    " over the day's climate indices stands in for it."
+)
+LIMIT_NOTE = (
+    "One day ahead only. One to two weeks ahead need ensembles of weather models as input, months ahead seasonal ensembles."
+)
+
 
 @dataclass
 class Trained:
@@ -100,8 +110,13 @@ def train(
     """Hazard forest, temperature regression, late fusion and event forest with their metrics.
 
     The split panel is written once; each model fit, score table and metric reads only its columns
-    of it.
+    of it. What was written for the run is deleted at its end.
     """
+    with owned_tables(features.sparkSession):
+        return fit_all(features, trees, fusion_iterations, event_cuts)
+
+
+def fit_all(features: DataFrame, trees: int, fusion_iterations: int, event_cuts: tuple[str, str]) -> Trained:
     panel = require_splits(settle(chronological_split(features).fillna(0, subset=SEQUENCE), "split"))
     train_rows = part(panel, "train")
     ranges = minmax_fit(train_rows, FEATURES + [c for c in SEQUENCE if c not in FEATURES])
@@ -151,7 +166,10 @@ def train(
 
 def training_manifest(panel: DataFrame) -> dict:
     """Split sizes and periods (three rows), station count and the fixed facts of the model."""
-    manifest = {"forecast_horizon_days": 1, "sequence_length_days": SEQUENCE_DAYS, "rf_features": FEATURES}
+    manifest = {
+        "forecast_horizon_days": 1, "sequence_length_days": SEQUENCE_DAYS, "rf_features": FEATURES, "target": TARGET_NOTE,
+        "operational_limit": LIMIT_NOTE, "minimum_recommended_history_years": MINIMUM_YEARS, "preferred_history_years": PREFERRED_YEARS,
+    }
     labelled = 0
     for row in split_manifest(panel).collect():
         manifest |= {f"{row['split']}_{k}": row[k] for k in ("rows", "start", "end")}

@@ -239,6 +239,42 @@ def _metrics(t):
     return values.select(F.explode("m").alias("metric", "value")).withColumn("value", F.col("value").try_cast("double"))
 
 
+MANIFEST_FACTS = {
+    "forecast_horizon_days": 1, "sequence_length_days": 30, "minimum_recommended_history_years": 10, "preferred_history_years": 20}
+MANIFEST_VIEWS = {
+    "panel": "SELECT station, d, event_label_available FROM target WHERE risk IS NOT NULL",
+    "days": "SELECT d, COUNT(*) AS n FROM panel GROUP BY 1",
+    "running": "SELECT d, SUM(n) OVER (ORDER BY d) - n AS below, SUM(n) OVER () AS total FROM days",
+    "cuts": """SELECT d, CASE WHEN below < FLOOR(total * 70 / 100) THEN 'train' WHEN below < FLOOR(total * 85 / 100) THEN 'validation'
+                              ELSE 'test' END AS split FROM running""",
+    "parts": """SELECT split, COUNT(*) AS n, strftime(MIN(d), '%Y-%m-%d') AS a, strftime(MAX(d), '%Y-%m-%d') AS b
+                FROM panel JOIN cuts USING (d) GROUP BY 1""",
+}
+
+
+@query(
+    "training_manifest", "fact:s value:s",
+    over(
+        SOURCES,
+        " UNION ALL ".join([
+            *[f"SELECT '{k}' AS fact, '{v}' AS value" for k, v in MANIFEST_FACTS.items()],
+            "SELECT split || '_rows', n::VARCHAR FROM parts", "SELECT split || '_start', a FROM parts", "SELECT split || '_end', b FROM parts",
+            "SELECT 'station_count', COUNT(DISTINCT station)::VARCHAR FROM panel",
+            "SELECT 'event_labeled_rows', SUM(event_label_available)::BIGINT::VARCHAR FROM panel",
+            f"SELECT 'rf_features', '{len(FEATURES)}'",
+        ]), **upto("target"), **MANIFEST_VIEWS),
+)
+def _run_manifest(t):
+    """The facts of the written manifest, read again; features as their number, notes left out."""
+    folder = once(t, "manifest", lambda: scratch_path(t.spark, "manifest"))
+    write_run_report(t.spark, {}, trained(t).manifest, folder)
+    text = t.spark.read.text(f"{folder}/training_manifest")
+    facts = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("fact", "value"))
+    names = F.size(F.from_json("value", "array<string>")).cast("string")
+    return facts.filter(~F.col("fact").isin("target", "operational_limit")).withColumn(
+        "value", F.when(F.col("fact") == "rf_features", names).otherwise(F.col("value")))
+
+
 @query("reload_models", "rows:n differing:n", on_panel("SELECT COUNT(*) AS rows, 0 AS differing FROM rows"))
 def _reload(t):
     model = trained(t)

@@ -1,5 +1,7 @@
 """Every registered query against its SQL at the smallest scale, and the models' bounds."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from skyledger.registry.models import EVENT_CUTS, features
 from skyledger.registry.proxies import Tables
 from skyledger.plans.evidence import evidence_tables, write_evidence
 from skyledger.plans.scoring import score_today
-from skyledger.plans.training import Trained, train
+from skyledger.operators.lineage import owned_tables, settle, shared_folder
+from skyledger.plans.training import Trained, hazard_scores, train
 from skyledger.schema import DAY, FEATURES, STATION
 from skyledger.sources.writers import load_models, read_json_row, save_models, write_run_report
 from tests.compare import compare, duck
@@ -97,3 +100,35 @@ def test_evidence_tables_are_written(spark, tables, tmp_path):
     for name in written:
         assert spark.read.json(str(tmp_path / name)).count() > 0
     assert DAY not in written["annual"].columns
+
+
+def test_manifest_holds_all_facts(trained):
+    m = trained.manifest
+    assert m["minimum_recommended_history_years"] == 10 and m["preferred_history_years"] == 20
+    assert "next day" in m["target"] and "ensembles" in m["operational_limit"]
+
+
+def written(spark):
+    return {p.name for p in pathlib.Path(shared_folder(spark)).glob("skyledger-*")}
+
+
+def test_a_training_run_leaves_no_path_behind(spark, tables):
+    panel = features(tables)
+    before = written(spark)
+    model = train(panel, trees=2, fusion_iterations=3, event_cuts=EVENT_CUTS)
+    assert written(spark) == before
+    assert hazard_scores(panel, model).filter("hazard_prob IS NULL").count() == 0
+
+
+def test_an_owner_deletes_what_its_body_wrote_even_after_an_error(spark):
+    before = written(spark)
+    outside = settle(spark.range(3), "outside")
+    kept = written(spark) - before
+    with pytest.raises(ZeroDivisionError):
+        with owned_tables(spark):
+            first = settle(spark.range(5), "first")
+            with owned_tables(spark):
+                assert settle(spark.range(7), "second").count() == 7 and len(written(spark) - before - kept) == 2
+            assert first.count() == 5 and len(written(spark) - before - kept) == 1
+            raise ZeroDivisionError
+    assert written(spark) == before | kept and outside.count() == 3
