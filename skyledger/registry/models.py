@@ -2,15 +2,16 @@
 
 import re
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.functions.hazards import clamp_pct, risk_tier
 from skyledger.operators import learners as L
 from skyledger.operators.bootstrap import bootstrap_weights, poisson_limits
 from skyledger.operators.cleaning import fill_defaults
 from skyledger.operators.lineage import scratch_path, settle
-from skyledger.operators.nodes import node_importances, with_node_scores
-from skyledger.operators.splits import minmax_fit
+from skyledger.operators.metrics import ranking_metrics, regression_metrics
+from skyledger.operators.nodes import node_importances, node_table, with_node_scores
+from skyledger.operators.splits import chronological_split, minmax_fit
 from skyledger.operators.timing import event_rates, label_chips
 from skyledger.plans.chips import fuse_chips
 from skyledger.plans.features import feature_panel
@@ -20,7 +21,7 @@ from skyledger.registry.entries import query
 from skyledger.registry.features import assembled
 from skyledger.registry.panel_sql import SOURCES, upto
 from skyledger.registry.proxies import USER_ID, over
-from skyledger.schema import DAY, FEATURES, STATION
+from skyledger.schema import DAY, FEATURES, SEQUENCE, STATION
 from skyledger.sources.writers import load_models, save_models, write_run_report
 
 EVENT_CUTS = ("2001-01-01", "2001-06-01")
@@ -179,14 +180,14 @@ def _event(t):
 @query("next_day_temperature", "station:s d:s in_range:i", on_panel("SELECT station, d, 1 AS in_range FROM rows WHERE place > 30"))
 def _temperature(t):
     """Scaled temperatures: the fit stays near the unit range."""
-    scored = temperature_scores(features(t).withColumn("split", F.lit("all")), trained(t))
+    scored = temperature_scores(features(t).fillna(0, subset=SEQUENCE).withColumn("split", F.lit("all")), trained(t))
     return scored.withColumn("in_range", within("temp_pred", -1.0, 2.0))
 
 
 @query("fusion_classifier", "station:s d:s in_range:i", on_panel("SELECT station, d, 1 AS in_range FROM rows WHERE place > 30"))
 def _fusion(t):
     model = trained(t)
-    temps = temperature_scores(features(t).withColumn("split", F.lit("all")), model)
+    temps = temperature_scores(features(t).fillna(0, subset=SEQUENCE).withColumn("split", F.lit("all")), model)
     both = temps.join(hazard_scores(features(t), model).select(STATION, DAY, "hazard_prob"), [STATION, DAY])
     return L.with_probability(both, model.fusion, "fused_prob").withColumn("in_range", within("fused_prob"))
 
@@ -275,6 +276,45 @@ def _run_manifest(t):
         "value", F.when(F.col("fact") == "rf_features", names).otherwise(F.col("value")))
 
 
+def against_constant(model: str, rows: DataFrame, equal: Column) -> DataFrame:
+    """Whether the ranking of ``score`` over ``y`` is clearly better than that of a constant, which has 0.5."""
+    return ranking_metrics(rows).select(
+        F.lit(model).alias("model"), F.col("rows"), (F.col("roc_auc") > 0.6).cast("int").alias("beats_constant"), equal.alias("equals_nodes"))
+
+
+@query(
+    "model_checks", "model:s rows:n beats_constant:i equals_nodes:i",
+    over(
+        SOURCES,
+        """SELECT 'hazard' AS model, COUNT(*) AS rows, 1 AS beats_constant, 1 AS equals_nodes FROM ranks
+           UNION ALL SELECT 'event', COUNT(*), 1, NULL FROM ranks WHERE event_label_available <> 0
+           UNION ALL SELECT 'temperature', COUNT(*), 1, NULL FROM ranks WHERE split = 'train' AND place > 30""",
+        **upto("target"), **MANIFEST_VIEWS, ranks="""SELECT event_label_available, split, ROW_NUMBER() OVER (PARTITION BY station, split ORDER BY d)
+                                                     AS place FROM panel JOIN cuts USING (d)"""),
+)
+def _checks(t):
+    """What a model that learned nothing would fail: over the panel forests rank better than a constant, and the hazard forest
+    scores as its node table does; on the rows it was fitted on the regression errs less than their mean. The panel's
+    temperatures are noise, so nothing errs less on later rows."""
+    model, panel = trained(t), features(t)
+    keys, names = [STATION, DAY], L.scaled_names(FEATURES)
+    scaled = model.hazard_scaler.transform(panel, L.SCALED)
+    nodes = settle(node_table(t.spark, L.forest_of(model.hazard)), "nodes")
+    both = L.with_probability(scaled, model.hazard, "score").select(*keys, F.col("RISK").alias("y"), "score").join(
+        with_node_scores(scaled, nodes, names, keys, "again"), keys)
+    both = settle(both, "both")
+    differing = both.agg(F.max(F.abs(F.col("score") - F.col("again")))).scalar()
+    covered = model.event_scaler.transform(panel, L.SCALED).filter(F.coalesce("EVENT_LABEL_AVAILABLE", F.lit(0)) != 0)
+    events = L.with_probability(covered, model.event, "score").select(
+        F.coalesce(F.col("EVENT_LABEL").cast("int"), F.lit(0)).alias("y"), "score")
+    fit = regression_metrics(temperature_scores(chronological_split(panel).fillna(0, subset=SEQUENCE).filter("split = 'train'"), model), "target", "temp_pred")
+    temperature = fit.select(
+        F.lit("temperature").alias("model"), F.col("rows"), (F.col("r2") > 0).cast("int").alias("beats_constant"),
+        F.lit(None).cast("int").alias("equals_nodes"))
+    return against_constant("hazard", both, (differing < 1e-9).cast("int")).unionByName(
+        against_constant("event", events, F.lit(None).cast("int"))).unionByName(temperature)
+
+
 @query("reload_models", "rows:n differing:n", on_panel("SELECT COUNT(*) AS rows, 0 AS differing FROM rows"))
 def _reload(t):
     model = trained(t)
