@@ -1,8 +1,9 @@
 """WARC derivatives: metadata and plain-text conversion records of responses, linked by their identifiers.
 
 A response gives one conversion record with its text and one metadata record with what its header and page say of it.
-Both refer to the response; the metadata record names the conversion as concurrent. Source headers are carried over
-and every record has its own block digest beside the digests of its source.
+Both refer to the response; the metadata record names the conversion as concurrent. Every header line of the source is
+carried over, in order and with repeats, and every record has its own block digest beside the digests of its source.
+A page is read in time linear in its length, whatever tags it leaves open.
 """
 
 from __future__ import annotations
@@ -18,24 +19,28 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Header fields of a source that its derivatives keep.
-KEPT_HEADERS = ("Content-Type", "Content-Language", "Last-Modified", "Server")
+#: A task holds back records of about so many bytes before it hands them on.
+HELD = 8 << 20
 RECORD = (
     "warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string,"
     " content_type string, block_digest string, payload_digest string, source_payload_digest string, block string,"
     " n_links long"
 )
-_SKIPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[!/?]?([a-zA-Z][a-zA-Z0-9]*)?[^<>]*>")
+_OPENERS = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_CLOSERS = {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style", "noscript", "template", "title")}
+_TAG = re.compile(r"<[!/?]?([a-zA-Z][a-zA-Z0-9]*+)?+[^<>]*+>")
 _BREAKS = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr"
     " html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 _HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s<>\"']+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE = re.compile(r"<title\b", re.I)
 _LANGUAGE = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _CHARSET = re.compile(r"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
+_ZEROS = re.compile(r"&#([xX]?)0{2,}+")
+_NO_CHARACTER = re.compile(r"&#(?:[1-9][0-9]{7,}+|[xX][1-9a-fA-F][0-9a-fA-F]{6,}+);?")
+_FOLD = re.compile(r"[\r\n]+")
 
 
 def digest(block: bytes) -> str:
@@ -47,18 +52,69 @@ def identifier(*parts: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join('' if p is None else p for p in parts))}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text: no scripts, styles or comments, a line for each block element, entities resolved."""
-    body = _SKIPPED.sub(" ", page)
-    body = _TAG.sub(lambda m: "\n" if (m[1] or "").lower() in _BREAKS else "", body)
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(body))).strip()
+def visible(page: str) -> str:
+    """The page with a blank for each comment, script, style, noscript and template.
 
-
-def outlinks(page: str, base: str) -> list[str]:
+    What is never closed stays as it is. A closer that is missing once is missing for all later openers, which are then
+    not searched again.
+    """
+    kept, at, begin, unclosed = [], 0, 0, set()
+    while m := _OPENERS.search(page, at):
+        name = (m[1] or "").lower()
+        at = m.end()
+        if name in unclosed:
+            continue
+        end = -1
+        if not name:
+            end = page.find("-->", at) + 3 if page.find("-->", at) >= 0 else -1
+        elif (tag := page.find(">", at)) >= 0 and (close := _CLOSERS[name].search(page, tag + 1)):
+            end = close.end()
+        if end < 0:
+            unclosed.add(name)
+            if len(unclosed) > 4:
+                break
+            continue
+        kept += [page[begin : m.start()], " "]
+        begin = at = end
+    return "".join([*kept, page[begin:]])
+
+
+def title(page: str) -> str | None:
+    """What stands in the first title that is closed; None without one."""
+    if (m := _TITLE.search(page)) and (tag := page.find(">", m.end())) >= 0:
+        if close := _CLOSERS["title"].search(page, tag + 1):
+            return page[tag + 1 : close.start()]
+    return None
+
+
+def resolved(text: str) -> str:
+    """Entities as characters; a number that no character has, of any length, is the replacement character."""
+    return html.unescape(_NO_CHARACTER.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", text)))
+
+
+def plain_text(shown: str) -> str:
+    """Text of what ``visible`` leaves: a line for each block element, entities resolved."""
+    body = _TAG.sub(lambda m: "\n" if (m[1] or "").lower() in _BREAKS else "", shown)
+    return _LINES.sub("\n", _SPACES.sub(" ", resolved(body))).strip()
+
+
+def header_fields(header: str) -> list[tuple[str, str]]:
+    """All fields of an HTTP header block in order, with repeats, names in small letters; a folded line is one value."""
+    fields: list[tuple[str, str]] = []
+    for line in header.split("\r\n")[1 if header.startswith("HTTP/") else 0 :]:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            fields.append((_FOLD.sub(" ", name.strip()).lower(), _FOLD.sub(" ", value.strip())))
+    return fields
+
+
+def outlinks(shown: str, base: str) -> list[str]:
     """Absolute targets of links in order, each once; what cannot be resolved stays as it is written."""
     found: dict[str, None] = {}
-    for m in _HREF.finditer(_SKIPPED.sub(" ", page)):
-        target = html.unescape(next((g for g in m.groups() if g is not None), "")).strip()
+    for m in _HREF.finditer(shown):
+        target = resolved(next((g for g in m.groups() if g is not None), "")).strip()
         try:
             target = urljoin(base, target)
         except ValueError:
@@ -90,21 +146,27 @@ def _dashed(mark: Column) -> list[Column]:
 def derivatives(found: DataFrame, key: str = "page_id") -> DataFrame:
     """Two rows per response of ``responses``: its conversion and its metadata record.
 
-    A response without a body gives an empty conversion; identifiers follow from the response's, so repeated rows
-    give equal records. An empty table gives no rows. Columns beyond those of ``responses`` are not read.
+    A response without a body gives an empty conversion, one without a header no header fields; identifiers follow from the
+    response's, so repeated rows give equal records. An empty table gives no rows. Columns beyond those of ``responses``
+    are not read.
     """
 
+    names = [f.split()[0] for f in RECORD.split(", ")]
+    types = [pa.int64() if f.endswith("long") else pa.string() for f in RECORD.split(", ")]
+
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at = [], []
-            for i, r in enumerate(batch.to_pylist()):
-                rows += derived(r)
+            rows, at, held = [], [], 0
+            for i in range(batch.num_rows):
+                made = derived(batch.slice(i, 1).to_pylist()[0])
+                rows += made
                 at += [i, i]
-            names = [f.split()[0] for f in RECORD.split(", ")]
-            types = [pa.int64() if f.endswith("long") else pa.string() for f in RECORD.split(", ")]
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(at, pa.int64()))]
-                + [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=[key, *names])
+                held += sum(len(r["block"]) for r in made)
+                if held > HELD or i + 1 == batch.num_rows:
+                    yield pa.record_batch(
+                        [batch.column(0).take(pa.array(at, pa.int64()))]
+                        + [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=[key, *names])
+                    rows, at, held = [], [], 0
 
     source = found.select(key, "record_id", "target_uri", "date", "http_header", "body")
     return source.mapInArrow(one, f"`{key}` {found.schema[key].dataType.simpleString()}, {RECORD}")
@@ -116,21 +178,20 @@ def derived(r: dict) -> list[dict]:
     source_payload = digest(page.encode())
     source_block = digest((header + page).encode())
     conversion_id = identifier(r["record_id"], "conversion")
-    text = plain_text(page)
+    shown = visible(page)
+    text = plain_text(shown)
     block = text.encode()
     fields = [("source-block-digest", source_block), ("source-payload-digest", source_payload)]
-    lines = header.split("\r\n")
-    if lines[0].startswith("HTTP/"):
-        fields.append(("http-status", lines[0].split(" ")[1] if " " in lines[0] else ""))
-    given = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if v}
-    fields += [(f"http-{k.lower()}", given[k.lower()]) for k in KEPT_HEADERS if k.lower() in given]
+    if header.startswith("HTTP/"):
+        fields.append(("http-status", (header.split("\r\n", 1)[0].split(" ") + [""])[1]))
+    fields += [(f"http-{name}", value) for name, value in header_fields(header)]
     for name, pattern in (("charset", _CHARSET), ("language", _LANGUAGE)):
         if m := pattern.search(page):
             fields.append((name, m[1].lower()))
-    if m := _TITLE.search(page):
-        fields.append(("title", " ".join(html.unescape(_TAG.sub("", m[1])).split())))
+    if (name := title(page)) is not None:
+        fields.append(("title", " ".join(resolved(_TAG.sub("", name)).split())))
     fields += [("text-bytes", str(len(block))), ("conversion-record", conversion_id)]
-    links = outlinks(page, address)
+    links = outlinks(shown, address)
     fields += [("outlink", x) for x in links]
     about = "".join(f"{k}: {v}\r\n" for k, v in fields)
     shared = {"refers_to": r["record_id"], "target_uri": address, "date": r["date"], "source_payload_digest": source_payload,
