@@ -4,7 +4,9 @@ A text's pre-tokens are its words between blanks, each with the word mark in fro
 neighbours' common prefixes give the trie: position d of a word is a node of its own exactly if it shares fewer than d
 bytes with the word before. The best segmentation score of a prefix needs the scores of its shorter prefixes only, so
 each node is scored once, level by level, however many words pass through it. A word's last node holds its number of
-tokens; a document's count is the sum over its words. Nothing is shuffled.
+tokens; a document's count is the sum over its words. Words over ``LONG`` bytes go by segments, each scored once for
+all words that share it (``longwords``). Scores are integers, so equal ones are equal however they add up. Nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,19 +17,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skyledger.llm.levels import Levels
+from skyledger.llm.longwords import Walker
 from skyledger.llm.texts import BYTES, SPACED, hash_rows, mix, slices, tidy, words
 
 MARK = "▁".encode()
-#: Longer words are scored one by one; a worker forgets its words beyond this number.
+#: Longer words are scored by segments; a worker forgets its words beyond this number.
 LONG, KEPT = 64, 2_000_000
+#: Unit of the scores, and one below all sums of them.
+UNIT, FAR = 1 << 24, -(1 << 60)
 _vocabularies: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary:
     """Pieces with their log probabilities and the words counted so far.
 
-    The file gives an order of pieces, and the score is Zipf's law of the rank. Any single byte is a piece of last
-    resort below all others.
+    The file gives an order of pieces, and the score is Zipf's law of the rank, rounded to 1 / ``UNIT``. Any single byte
+    is a piece of last resort below all others.
     """
 
     def __init__(self, path: str):
@@ -35,22 +41,26 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         scored = {
-            model.id_to_piece(i).encode(): -float(np.log1p(-model.get_score(i)))
+            model.id_to_piece(i).encode(): -round(float(np.log1p(-model.get_score(i))) * UNIT)
             for i in range(model.get_piece_size())
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and model.get_score(i) > -1e6
         }
         self.setup(scored)
 
-    def setup(self, scored: dict[bytes, float]) -> None:
+    def setup(self, scored: dict[bytes, int]) -> None:
         self.scored = scored
-        self.fallback = min(scored.values(), default=0.0) - 10.0
+        self.fallback = min(scored.values(), default=0) - 10 * UNIT
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in sorted({len(p) for p in scored}, reverse=True):
             some = [p for p in scored if len(p) == size]
             marks = hash_rows(np.frombuffer(b"".join(some), np.uint8).reshape(-1, size))
             order = np.argsort(marks)
             self.by_size[size] = marks[order], np.array([scored[p] for p in some])[order]
-        self.marks, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.walker = Walker(scored, self.fallback)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = Levels(np.int64)
 
     @classmethod
     def of(cls, path: str) -> "Vocabulary":
@@ -62,8 +72,8 @@ class Vocabulary:
         """Number of tokens of each distinct word (with its mark)."""
         out = np.zeros(len(found), np.int64)
         size = np.array([len(w) for w in found], np.int64)
-        for i in np.flatnonzero(size > LONG).tolist():
-            out[i] = self._one(found[i])
+        long = np.flatnonzero(size > LONG)
+        out[long] = self.walker.count([found[i] for i in long.tolist()])
         short = np.flatnonzero(size <= LONG)
         short = short[np.array(sorted(range(len(short)), key=lambda k: found[short[k]]), np.int64)] if len(short) else short
         for begin in range(0, len(short), 20_000):
@@ -82,7 +92,7 @@ class Vocabulary:
         up, down = BYTES.get(deep + 1)
         total = np.zeros((n, deep + 1), np.uint64)
         np.cumsum((grid.astype(np.uint64) + np.uint64(1)) * up[:deep], axis=1, out=total[:, 1:])
-        best, tokens = np.zeros((n, deep + 1)), np.zeros((n, deep + 1), np.int64)
+        best, tokens = np.zeros((n, deep + 1), np.int64), np.zeros((n, deep + 1), np.int64)
         for d in range(1, deep + 1):
             alive = size >= d
             own = alive & (shared < d)
@@ -94,7 +104,7 @@ class Vocabulary:
                     continue
                 key = mix((total[node, d] - total[node, d - width]) * down[d - width])
                 at = np.minimum(np.searchsorted(marks, key), len(marks) - 1)
-                value = np.where(marks[at] == key, best[node, d - width] + scores[at], -np.inf)
+                value = np.where(marks[at] == key, best[node, d - width] + scores[at], FAR)
                 better = value > score
                 score[better] = value[better]
                 count[better] = tokens[node[better], d - width] + 1
@@ -106,18 +116,6 @@ class Vocabulary:
             best[rows, d], tokens[rows, d] = score[back[at[rows]]], count[back[at[rows]]]
         return tokens[np.arange(n), size]
 
-    def _one(self, word: bytes) -> int:
-        best, tokens = [0.0], [0]
-        for d in range(1, len(word) + 1):
-            score, count = best[d - 1] + self.fallback, tokens[d - 1] + 1
-            for width in self.by_size:
-                if width <= d and (piece := self.scored.get(word[d - width : d])) is not None:
-                    if best[d - width] + piece > score:
-                        score, count = best[d - width] + piece, tokens[d - width] + 1
-            best.append(score)
-            tokens.append(count)
-        return tokens[-1]
-
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, n_pretokens, n_tokens) per row.
@@ -137,20 +135,16 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
                     n_tokens.append(np.zeros(part.docs, np.int64))
                     continue
                 marks, where, inverse = np.unique(found.hashes(part.data), return_index=True, return_inverse=True)
-                at = np.searchsorted(known.marks, marks)
-                at[at == len(known.marks)] = 0
-                new = np.ones(len(marks), bool) if not len(known.marks) else known.marks[at] != marks
-                if new.any():
-                    if len(known.marks) > KEPT:
-                        known.marks, known.counts = known.marks[:0], known.counts[:0]
-                        new[:] = True
-                    fresh = [MARK + part.data[found.start[i] : found.end[i]].tobytes() for i in where[new].tolist()]
-                    every = np.append(known.marks, marks[new])
-                    order = np.argsort(every, kind="stable")
-                    known.counts = np.append(known.counts, known.count_words(fresh))[order]
-                    known.marks = every[order]
-                    at = np.searchsorted(known.marks, marks)
-                total = np.append(0, np.cumsum(known.counts[at][inverse]))
+                old, counts = known.known.find(marks)
+                if not old.all():
+                    if len(known.known) > KEPT:
+                        known.clear()
+                        old[:] = False
+                    new = np.flatnonzero(~old)
+                    counts[new] = known.count_words(
+                        [MARK + part.data[found.start[i] : found.end[i]].tobytes() for i in where[new].tolist()])
+                    known.known.add(marks[new], counts[new])
+                total = np.append(0, np.cumsum(counts[inverse]))
                 n_tokens.append(total[found.doc[1:]] - total[found.doc[:-1]])
             yield pa.record_batch({
                 "id": batch.column(0), "n_pretokens": pa.array(np.concatenate(n_words)),

@@ -1,10 +1,13 @@
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from skyledger.llm import columnbwt, decontam, importance, licences, lzfactor, minhash, packing, quality, triecount, warc
+from skyledger.llm import (
+    columnbwt, decontam, importance, levels, licences, longwords, lzfactor, minhash, packing, quality, triecount, warc,
+)
 from tests.llm import plain
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -331,6 +334,44 @@ def test_trie_counts(documents, corpus):
     assert got[next(d for d, t in corpus if t == "x" * 5000)][1] == tokens("x" * 5000)
 
 
+def test_long_words_by_segments():
+    """Segments under proved states count as one pass does: small alphabets, ties, periods that never agree on a state."""
+    rng = random.Random(1)
+    for trial in range(40):
+        alphabet = "ab" if trial % 2 else "abcd"
+        scored = {"".join(rng.choices(alphabet, k=rng.randint(1, 7))).encode(): -rng.randint(1, 40) for _ in range(1 + trial % 30)}
+        fallback = min(scored.values()) - 10
+        found = ["".join(rng.choices(alphabet, k=rng.randint(0, 200))).encode() for _ in range(20)]
+        found += [b"a" * 333, b"ab" * 200, b"aab" * 111, found[0] + found[1], b""]
+        got = longwords.Walker(scored, fallback).count(found, 16, 8)
+        assert got.tolist() == [plain.unigram_tokens(w, scored, fallback) for w in found], trial
+
+
+def test_text_without_blanks(spark):
+    rng = random.Random(2)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) if i % 3 else rng.choice(["the", "an", "=" * 90]) for i in range(9000))
+    v = triecount.Vocabulary(PIECES)
+    docs = spark.createDataFrame([(1, text), (2, text + "x"), (3, text[500:])], "doc_id long, text string")
+    for r in triecount.count_tokens(docs, PIECES).collect():
+        word = triecount.MARK + {1: text, 2: text + "x", 3: text[500:]}[r.doc_id].encode()
+        assert (r.n_pretokens, r.n_tokens) == (1, plain.unigram_tokens(word, v.scored, v.fallback))
+
+
+def test_levels_keep_every_mark():
+    rng = np.random.default_rng(6)
+    marks = rng.permutation(np.arange(1, 5001, dtype=np.uint64))
+    table, done = levels.Levels(np.int64), 0
+    while done < 4000:
+        size = int(rng.integers(1, 400))
+        some = marks[done : min(done + size, 4000)]
+        table.add(some, some.astype(np.int64) * 3)
+        done += len(some)
+        known, value = table.find(marks)
+        assert known[:done].all() and not known[done:].any() and (value[:done] == marks[:done].astype(np.int64) * 3).all()
+        sizes = [len(x[0]) for x in table.levels]
+        assert len(table) == done and all(2 * b < a for a, b in zip(sizes, sizes[1:]))
+
+
 def test_importance(spark):
     rng = np.random.default_rng(9)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
