@@ -14,6 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from skyledger.llm.levels import Levels
 from skyledger.llm.repeats import spread
 from skyledger.llm.texts import BLANKS, BYTES, Slice, mix, slices
 
@@ -44,8 +45,14 @@ class Chunks:
         return _known[path]
 
     def clear(self) -> None:
-        self.marks, self.first, self.count = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
-        self.ids = np.zeros(0, np.uint32)
+        self.known, self.ids, self.used = Levels(np.int64, np.int64), np.zeros(0, np.uint32), 0
+
+    def keep(self, ids: np.ndarray) -> None:
+        """Append to the ids, whose room grows by doubling."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, texts: list[bytes], added_tokens: bool = False) -> list[np.ndarray]:
         self.tokenizer.encode_special_tokens = not added_tokens
@@ -64,12 +71,9 @@ class Chunks:
         last = np.searchsorted(np.cumsum(self.width[ids]), stops) + 1
         single = self.encode([chunks[i] for i in order[len(rows) :].tolist()])
         count = np.append(np.diff(np.append(0, last)), [len(x) for x in single]).astype(np.int64)
-        first = np.cumsum(count) - count + len(self.ids)
-        self.ids = np.concatenate([self.ids, ids, *single])
-        every = np.append(self.marks, marks[order])
-        turn = np.argsort(every, kind="stable")
-        self.marks = every[turn]
-        self.first, self.count = np.append(self.first, first)[turn], np.append(self.count, count)[turn]
+        first = np.cumsum(count) - count + self.used
+        self.keep(np.concatenate([ids, *single]))
+        self.known.add(marks[order], first, count)
 
 
 def _unusual(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -112,18 +116,15 @@ def _slice_ids(known: Chunks, part: Slice, added_tokens: bool) -> tuple[np.ndarr
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * BYTES.up[: len(data)], out=total[1:])
     marks = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
     distinct, where, inverse = np.unique(marks, return_index=True, return_inverse=True)
-    at = np.searchsorted(known.marks, distinct)
-    at[at == len(known.marks)] = 0
-    new = np.ones(len(distinct), bool) if not len(known.marks) else known.marks[at] != distinct
-    if new.any():
-        if len(known.marks) > KEPT:
+    old, first, count = known.known.find(distinct)
+    if not old.all():
+        if len(known.known) > KEPT:
             known.clear()
-            new[:] = True
-        known.learn(distinct[new], [data[start[i] : stop[i]].tobytes() for i in where[new].tolist()])
-        at = np.searchsorted(known.marks, distinct)
-    at = at[inverse]
-    count = known.count[at]
-    ids = known.ids[spread(known.first[at], count)]
+            old[:] = False
+        known.learn(distinct[~old], [data[start[i] : stop[i]].tobytes() for i in where[~old].tolist()])
+        _, first, count = known.known.find(distinct)
+    first, count = first[inverse], count[inverse]
+    ids = known.ids[spread(first, count)]
     limits = np.append(0, np.cumsum(count))[np.searchsorted(start, bounds)]
     odd = _unusual(data, bounds)
     if added_tokens:
