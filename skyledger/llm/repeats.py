@@ -8,7 +8,8 @@ equal windows have equal seeds; consecutive windows with the same seed at the sa
 2. Seeds seen more than once in all go back to the blocks that have them.
 3. Each block indexes its runs with such seeds: equal runs once, with their first place and last place. A seed with
    very many runs is indexed window by window instead, so that no group of rows grows with the corpus.
-4. Per group of seeds, ``resolve`` finds where each window starts first.
+4. Per group of seeds, ``resolve`` finds where each window starts first. A task gets its seeds in order and resolves
+   whole seeds by about ``RESOLVED`` bytes, so its memory follows the largest seed and not its share of the index.
 5. Those references go back to the blocks, which hold the texts.
 
 What is shuffled for one block never has more than one row per distinct seed or run, whatever the number of copies.
@@ -31,6 +32,7 @@ from skyledger.llm.texts import (
 )
 
 BLOCK = "__block"
+RESOLVED = 32 << 20
 INDEX = (
     "part long, single boolean, content long, seed long, block long, doc long, pos long, last_doc long, last_pos long,"
     " body binary"
@@ -269,6 +271,32 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Entries | None:
     return Entries(table, table["doc"].to_numpy(), table["pos"].to_numpy(), ends - ends[0], flat)
 
 
+def by_part(resolve: Callable, limit: int = RESOLVED) -> Callable:
+    """``resolve`` over entries in ascending order of ``part``, whole parts by about ``limit`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < limit:
+                continue
+            part = batch["part"].to_numpy()
+            cut = int(np.searchsorted(part, part[-1]))
+            if not cut and (len(held) == 1 or held[-2]["part"][-1].as_py() == part[-1]):
+                continue
+            held[-1] = batch.slice(0, cut)
+            yield from resolve(iter(held))
+            held = [batch.slice(cut)]
+            size = held[0].nbytes
+        if held:
+            yield from resolve(iter(held))
+
+    return run
+
+
 def references(e: Entries, row: np.ndarray, at: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray) -> pa.Table:
     """Per window (entry ``row``, window ``at`` of it) the first place; neighbours with neighbouring places join."""
     last_doc, last_pos = e.table["last_doc"].to_numpy()[row], e.table["last_pos"].to_numpy()[row] + at
@@ -295,7 +323,8 @@ def search(
     """``finish`` gets each block's documents and the references of its runs; its rows are the result."""
     dealt, by = blocked(docs, text, key, how)
     shared = shared_seeds(seeds(dealt, by, text, key, how), how)
-    refs = index(dealt, by, shared, text, key, how).repartition("part").mapInArrow(tidy(resolve), REFS)
+    entered = index(dealt, by, shared, text, key, how).repartition("part").sortWithinPartitions("part")
+    refs = entered.mapInArrow(tidy(by_part(resolve)), REFS)
 
     def one(table: pa.Table, found: pa.Table) -> pa.Table:
         out = finish(table.drop_columns([by]), found)

@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from skyledger.llm import (
-    columnbwt, decontam, importance, levels, licences, longwords, lzfactor, minhash, packing, quality, triecount, warc,
+    columnbwt, decontam, importance, levels, licences, longwords, lzfactor, minhash, packing, quality, repeats, triecount,
+    warc,
 )
 from tests.llm import plain
 
@@ -126,6 +128,27 @@ def test_shared_passages_window_by_window(documents, corpus, monkeypatch):
     assert by_id(lzfactor.remove_shared_passages(documents), "n_words", "n_removed", "kept") == plain.removed_words(dict(corpus))
 
 
+def test_entries_are_resolved_by_whole_parts():
+    """Batches that end inside, before and after a part, empty ones, and a part over several batches."""
+    rng = np.random.default_rng(8)
+    for sizes in ([1] * 60, [30, 1, 1], [3, 90, 2, 40], rng.integers(1, 9, 50).tolist()):
+        part = np.repeat(np.arange(len(sizes)) - 5, sizes)
+        table = pa.table({"part": part, "row": np.arange(len(part))})
+        batches = [b for n in (4, 7) for b in table.to_batches(n)][: -(-len(part) // 4)]
+        seen = []
+
+        def resolve(some):
+            got = pa.Table.from_batches(list(some))
+            seen.append(got)
+            yield from got.to_batches()
+
+        out = pa.Table.from_batches(list(repeats.by_part(resolve, 16 * 10)(iter([batches[0].slice(0, 0), *batches]))))
+        assert out["row"].to_pylist() == list(range(len(part)))
+        ends = [set(t["part"].to_pylist()) for t in seen]
+        assert all(not a & b for i, a in enumerate(ends) for b in ends[i + 1 :])
+        assert all(len(t) <= 14 + max(sizes) for t in seen) and len(seen) > 1
+
+
 def test_repeated_bytes(documents, corpus):
     got = by_id(columnbwt.remove_repeated_bytes(with_clashes(documents)), "n_bytes", "n_removed", "n_spans", "kept")
     assert {d: (*r[:3], bytes(r[3])) for d, r in got.items()} == plain.removed_bytes(dict(corpus))
