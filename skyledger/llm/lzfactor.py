@@ -3,9 +3,10 @@
 The corpus is its own reference, in blocks. Every block indexes the windows of words that other documents share
 (``repeats.index``); the entries of one window from all blocks meet, and the first place of each window, the smallest
 (document, position), is what a parse may copy from. A document is then factored greedily from left to right: a
-factor copies as far as the words that follow at its source stay the same, the next factor begins where it ends.
-A factor of ``window`` words or more is a duplicate span. Windows over the boundary of two factors have been looked
-up as well, so a passage that is pieced together from two sources is found whole.
+factor copies as far as the windows that follow have their first place next to each other, the next factor begins where
+it ends. Windows over the boundary of two factors are looked up as well, so a factor may go on behind the one before it
+with fewer than ``window`` words of its own, and a passage that is pieced together from two sources is found whole. The
+words of the factors are the duplicate spans, and they are what is removed.
 """
 
 from __future__ import annotations
@@ -109,11 +110,11 @@ def remove_shared_passages(
             if nameless.any():
                 named = ~nameless[part.first : part.last][m.doc]
                 m = Matches(*(x[named] for x in (m.start, m.n, m.doc, m.ref_doc, m.ref_pos)))
-            gone = cover(len(s.values), m.start, m.n + window - 1)
+            f = greedy_factors(m, window)
+            gone = cover(len(s.values), f[:, 0], f[:, 1])
             n_words.append(np.diff(s.limits))
             n_removed.append(pieces(s.limits, gone))
             kept.append(joined(s, ~gone))
-            f = greedy_factors(m, window)
             f[:, 0] -= s.limits[f[:, 2]]
             f[:, 2] += part.first
             found.append(f)
