@@ -32,7 +32,7 @@ from skyledger.llm.texts import (
 )
 
 BLOCK = "__block"
-RESOLVED = 32 << 20
+RESOLVED = 4 << 20
 INDEX = (
     "part long, single boolean, content long, seed long, block long, doc long, pos long, last_doc long, last_pos long,"
     " body binary"
