@@ -1,7 +1,7 @@
 """Distance joins: event labels by radius, and gap repair from the nearest station.
 
-Distances are computed between places, not between rows: once for an event place and a station, and once for two
-stations. Days come in afterwards by equi-joins and bitmaps.
+Places meet in the cells of a grid. Events are reduced to the nearest of each station, day and type in the task that
+pairs them; in gap repair days come in after the distances, by equi-joins and bitmaps.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,16 +35,23 @@ def place_dictionary(events: DataFrame, stations: DataFrame, km: float) -> DataF
 def label_by_radius(events: DataFrame, stations: DataFrame, km: float = 100.0, salts: int = SALTS) -> DataFrame:
     """Station-days with an event within ``km``: label 1, distinct types, nearest distance.
 
-    Events of one day, place and type count once. The stations near a place stand in a dictionary of places; event-days
-    meet it by equality. A place with very many event-days is divided by day into ``salts`` parts, each of which meets a
-    copy of the place's few rows.
+    Events of one day, place and type count once. Each goes to the cells that its radius touches; a cell's days are dealt
+    into ``salts`` parts, each of which meets a copy of the cell's stations. An event and a station meet only inside a
+    task, which keeps the nearest event of each station, day and type: no pair is written or shuffled.
     """
-    near = settle(place_dictionary(events, stations, km), "places").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    part = F.pmod(F.xxhash64(DAY), F.lit(salts)).cast("int")
-    days = events.groupBy(DAY, "lat", "lon", "event_type").agg(F.lit(1).alias("_one")).select(
-        DAY, "lat", "lon", "event_type", F.xxhash64("lat", "lon").alias("place"), part.alias("part"))
-    return days.join(near, ["place", "part", "lat", "lon"]).groupBy(DAY, F.col("station").alias(STATION)).agg(
+    grid, part = Grid(km), F.pmod(F.xxhash64(DAY), F.lit(salts)).cast("int")
+    days = events.filter("lat IS NOT NULL AND lon IS NOT NULL").select(DAY, "lat", "lon", "event_type").distinct().select(
+        "*", part.alias("part"), F.explode(grid.around(F.col("lat"), F.col("lon"))).alias("cell")).select("*", "cell.*").drop("cell")
+    marks = stations.select(
+        F.col("station_id").alias("station"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
+        grid.cell(F.col("lat"), F.col("lon")).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part")
+    ).select("*", "cell.*").drop("cell")
+    keys = ["row", "column", "part"]
+    far = haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    # Grouped by the keys of the join as well, the rows stay where the join has put them.
+    nearest = days.join(marks.hint("merge"), keys).withColumn("km", far).filter(F.col("km") <= km).groupBy(
+        *keys, DAY, "station", "event_type").agg(F.min("km").alias("km"))
+    return nearest.groupBy(DAY, F.col("station").alias(STATION)).agg(
         F.lit(1).alias("EVENT_LABEL"),
         F.array_join(F.array_sort(F.collect_set("event_type")), "; ").alias("EVENT_TYPE"),
         F.min("km").alias("EVENT_DISTANCE_KM"),

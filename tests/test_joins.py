@@ -1,5 +1,6 @@
 """Joins: row preservation, coverage rules, and distance and time joins against brute force."""
 
+import glob
 import math
 import random
 from datetime import date, datetime, timedelta
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import enrichment as E
 from skyledger.operators.cleaning import MissingStation, require_stations
+from skyledger.operators.lineage import shared_folder
 from skyledger.operators.radius import (
     chosen_donors, day_words, label_by_radius, neighbour_lists, place_dictionary, repair_gaps,
 )
@@ -167,6 +169,18 @@ def test_gap_repair_of_odd_rows(spark):
     assert repair_gaps(df, stations.limit(0), "PRESSURE_HPA").filter("ATMOSPHERE_IMPUTED = 1").count() == 0
 
 
+def test_radius_pairs_are_reduced_where_they_are_made(spark, capsys):
+    """Between the join of events with stations and the nearest of each station, day and type nothing is shuffled or written."""
+    events = [(D + timedelta(days=k % 5), 10.0 + k / 1000, 20.0, f"t{k % 2}") for k in range(500)]
+    stations = spark.createDataFrame([(f"S{i}", 10.0, 20.0 + i / 100) for i in range(40)] + [("S0", 30.0, 20.0)], "station_id string, lat double, lon double")
+    before = set(glob.glob(f"{shared_folder(spark)}/*"))
+    found = label_by_radius(spark.createDataFrame(events, "Date date, lat double, lon double, event_type string"), stations, km=150.0)
+    assert found.count() == 200 and set(glob.glob(f"{shared_folder(spark)}/*")) == before
+    found.explain()
+    above = capsys.readouterr().out.split("SortMergeJoin")[0]
+    assert above.count("Exchange") == 1 and above.count("partial_min(km") == 2
+
+
 def test_distances_are_computed_once_a_place_and_station(spark):
     events = [(D + timedelta(days=k % 400), 10.0 + k % 3, 20.0, f"t{k % 2}") for k in range(4000)]
     events += [(D, None, 20.0, "nowhere")]
