@@ -70,6 +70,13 @@ def test_a_null_goes_to_the_right(spark):
     assert {r["id"]: r["p"] for r in with_node_scores(df, nodes, ["x"], ["id"], "p").collect()} == {1: 0.1, 2: 0.1, 3: 0.9, 4: 0.9}
 
 
+def test_a_draw_takes_few_hashes(spark, capsys):
+    df = spark.range(10).select(F.col("id").alias("key"), (F.col("id") % 2).cast("double").alias("y"))
+    bootstrap_weights(df, "y", ["key"], 3, 5).explain()
+    # The filter and the copies, in the counted rows and in the joined ones; not one for each limit.
+    assert 0 < capsys.readouterr().out.count("md5(") <= 6
+
+
 def test_draws_are_poisson_and_each_bootstrap_is_balanced(spark):
     df = spark.range(20_000).select(F.col("id").alias("key"), (F.col("id") % 10 == 0).cast("double").alias("y"))
     drawn = bootstrap_weights(df, "y", ["key"], 3, 5)
