@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -77,6 +78,22 @@ def test_a_draw_takes_few_hashes(spark, capsys):
     assert 0 < capsys.readouterr().out.count("md5(") <= 6
 
 
+def test_rows_remember_their_nodes_and_fits_of_a_bag_overlap(rows, monkeypatch):
+    scaled = rows.select("id", F.col("label").alias("EVENT_LABEL"), F.col("label").alias("RISK"), *[F.col(c).alias(L.SCALED + c) for c in X])
+    assert L.forest_of(L.hazard_forest(scaled, X, trees=2)).getCacheNodeIds()
+    both, fit = threading.Barrier(2), RandomForestClassifier.fit
+
+    def met(self, data, params=None):
+        both.wait(60)
+        assert [r[0] for r in data.select("bootstrap").distinct().collect()] == [self.getSeed() - 143]
+        return fit(self, data, params)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", met)
+    bag = L.event_forest(scaled, X, trees=5, bootstraps=2, keys=("id",))
+    assert [L.forest_of(m).getNumTrees for m in bag.models] == [3, 2]
+    assert all(L.forest_of(m).getCacheNodeIds() for m in bag.models)
+
+
 def test_draws_are_poisson_and_each_bootstrap_is_balanced(spark):
     df = spark.range(20_000).select(F.col("id").alias("key"), (F.col("id") % 10 == 0).cast("double").alias("y"))
     drawn = bootstrap_weights(df, "y", ["key"], 3, 5)
