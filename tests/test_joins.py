@@ -12,7 +12,7 @@ from skyledger.operators import enrichment as E
 from skyledger.operators.cleaning import MissingStation, require_stations
 from skyledger.operators.lineage import shared_folder
 from skyledger.operators.radius import (
-    chosen_donors, day_words, label_by_radius, neighbour_lists, place_dictionary, repair_gaps,
+    chosen_donors, day_words, donors_by_rings, label_by_radius, neighbour_lists, place_dictionary, repair_gaps, ring_ends,
 )
 from skyledger.operators.timing import label_chips
 
@@ -169,6 +169,30 @@ def test_gap_repair_of_odd_rows(spark):
     assert repair_gaps(df, stations.limit(0), "PRESSURE_HPA").filter("ATMOSPHERE_IMPUTED = 1").count() == 0
 
 
+def test_rings_find_the_donors_of_whole_lists(spark):
+    rng = random.Random(11)
+    places = [(f"S{k:03d}", 40 + rng.randint(0, 30) / 20, -100 + rng.randint(0, 30) / 20) for k in range(120)]
+    stations = spark.createDataFrame(places, "station_id string, lat double, lon double")
+    # Day 0 is known nowhere, day 1 by one station, the others by more and more.
+    data = [(s, date(2020, 1, 1) + timedelta(days=d), 1.0 if (rng.random() < d / 60 if d != 1 else s == "S007") else None)
+            for s, *_ in places for d in range(30)]
+    df = spark.createDataFrame(data, "City_ID string, Date date, PRESSURE_HPA double")
+    words = day_words(df, "PRESSURE_HPA")
+    assert ring_ends(stations, 150.0, 4) and not ring_ends(stations, 150.0, 1000)
+    whole = {tuple(r) for r in chosen_donors(words, neighbour_lists(stations, 150.0), (8, 64)).collect()}
+    ringed = donors_by_rings(words, stations, 150.0, (8, 64), crowd=4).collect()
+    assert len(ringed) == len(whole) > 1000 and {tuple(r) for r in ringed} == whole
+
+
+def test_far_stations_pair_only_while_gaps_are_open(spark):
+    places = [(f"S{k:03d}", 40 + k % 20 / 10, -100 + k // 20 / 10) for k in range(400)]
+    stations = spark.createDataFrame(places, "station_id string, lat double, lon double")
+    ends = ring_ends(stations, 400.0)
+    asking = stations.filter("station_id = 'S000'").selectExpr("station_id AS City_ID")
+    assert ends and neighbour_lists(stations, 400.0, upto=ends[0]).count() < neighbour_lists(stations, 400.0).count() / 2
+    assert neighbour_lists(stations, 400.0, asking, beyond=ends[0]).select("City_ID").distinct().count() == 1
+
+
 def test_radius_pairs_are_reduced_where_they_are_made(spark, capsys):
     """Between the join of events with stations and the nearest of each station, day and type nothing is shuffled or written."""
     events = [(D + timedelta(days=k % 5), 10.0 + k / 1000, 20.0, f"t{k % 2}") for k in range(500)]
