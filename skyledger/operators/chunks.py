@@ -89,12 +89,8 @@ def chunk_bounds() -> list[Column]:
     return [F.min(CHUNK).alias("_first"), F.max(CHUNK).alias("_last")]
 
 
-def with_sides(df: DataFrame, columns: list[str], keys=(STATION,), order=(DAY,)) -> DataFrame:
-    """Add the last known value up to each row (``_prev_<c>``) and the first one from it on (``_next_<c>``).
-
-    Inside a chunk a window finds them; across chunks they come from a table with one row per key
-    and chunk.
-    """
+def chunk_ends(df: DataFrame, columns: list[str], keys=(STATION,), order=(DAY,)) -> DataFrame:
+    """One row per key and chunk: the last known value of earlier chunks (``_from_<c>``), the first one of later chunks (``_to_<c>``)."""
     keys, order = list(keys), list(order)
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     known = {c: F.when(F.col(c).isNotNull(), rank) for c in columns}
@@ -104,12 +100,21 @@ def with_sides(df: DataFrame, columns: list[str], keys=(STATION,), order=(DAY,))
     )
     ahead = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
+    return ends.select(
         *keys,
         CHUNK,
         *[F.last(f"_tail_{c}", True).over(ahead).alias(f"_from_{c}") for c in columns],
         *[F.last(f"_head_{c}", True).over(behind).alias(f"_to_{c}") for c in columns],
     )
+
+
+def with_sides(df: DataFrame, columns: list[str], keys=(STATION,), order=(DAY,)) -> DataFrame:
+    """Add the last known value up to each row (``_prev_<c>``) and the first one from it on (``_next_<c>``).
+
+    Inside a chunk a window finds them; across chunks they come from a table with one row per key
+    and chunk.
+    """
+    keys, order = list(keys), list(order)
     # Both directions run as growing frames: a frame that reaches to the chunk's end would be
     # evaluated again from every row.
     running = (Window.unboundedPreceding, 0)
@@ -117,15 +122,25 @@ def with_sides(df: DataFrame, columns: list[str], keys=(STATION,), order=(DAY,))
     onward = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*running)
     sides = {f"_prev_{c}": F.coalesce(F.last(c, True).over(upto), F.col(f"_from_{c}")) for c in columns}
     sides |= {f"_next_{c}": F.coalesce(F.last(c, True).over(onward), F.col(f"_to_{c}")) for c in columns}
-    joined = df.join(ends, [*keys, CHUNK], "left").withColumns(sides)
+    joined = df.join(chunk_ends(df, columns, keys, order), [*keys, CHUNK], "left").withColumns(sides)
     return joined.drop(*[f"_{p}_{c}" for c in columns for p in ("from", "to")])
 
 
 def carry(df: DataFrame, columns: list[str], keys=(STATION,), order=(DAY,)) -> DataFrame:
-    """Fill nulls from the last earlier value, then from the first later one, over any distance."""
-    sides = with_sides(df, columns, keys, order)
-    filled = sides.withColumns({c: F.coalesce(f"_prev_{c}", f"_next_{c}") for c in columns})
-    return filled.drop(*[f"_{p}_{c}" for c in columns for p in ("prev", "next")])
+    """Fill nulls from the last earlier value, then from the first later one, over any distance.
+
+    A row without an earlier value in its chunk has its first later one where the chunk has its first, so one sort by
+    the chunk's order serves both directions. The values of other chunks are joined after it: no sort holds them.
+    """
+    keys, order = list(keys), list(order)
+    place = chunk_window(keys, order)
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = {f"_prev_{c}": F.last(c, True).over(upto) for c in columns}
+    near |= {f"_first_{c}": F.first(c, True).over(whole) for c in columns}
+    joined = df.withColumns(near).join(chunk_ends(df, columns, keys, order), [*keys, CHUNK], "left")
+    filled = joined.withColumns({c: F.coalesce(f"_prev_{c}", f"_from_{c}", f"_first_{c}", f"_to_{c}") for c in columns})
+    return filled.drop(*[f"_{p}_{c}" for c in columns for p in ("prev", "from", "first", "to")])
 
 
 def join_by_station(df: DataFrame, table: DataFrame, how: str = "inner", salts: int = 16) -> DataFrame:

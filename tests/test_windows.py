@@ -80,6 +80,12 @@ def test_carry_reaches_over_any_distance(panel):
     assert differing(got, want, ["TMAX", "TMIN"]) == 0
 
 
+def test_carry_sorts_the_rows_once(panel, capsys):
+    carry(with_chunk(panel), ["TMAX"]).explain()
+    sorts = [line for line in capsys.readouterr().out.splitlines() if "Sort [" in line and "Date#" in line]
+    assert len(sorts) == 1 and "DESC" not in sorts[0]
+
+
 def test_drought_index(panel):
     mean = F.avg(F.coalesce("PRCP", F.lit(0.0))).over(plain().rowsBetween(-29, 0))
     want = panel.withColumn("m", mean)
