@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyledger.functions.columns import floor_at
 from skyledger.functions.hazards import flood_risk, wind_risk
 from skyledger.operators.chunks import CHUNK, COPY, carry, chunk_window, over_rows, with_chunk, with_neighbours
+from skyledger.operators.lineage import settle
 from skyledger.schema import DAY, SEQUENCE, SST_FILL_C, STATION
 
 
@@ -122,10 +123,15 @@ def next_day(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def sequences(df: DataFrame, length: int = 30, keys=(STATION, "split"), columns=None) -> DataFrame:
-    """Per row with ``length`` predecessors inside its own (station, split): those rows as an array, and its TAVG."""
+    """Per row with ``length`` predecessors inside its own (station, split): those rows as an array, and its TAVG.
+
+    The filled rows are written once: their own windows read them twice, and no task holds the sort of the fill and that
+    of the windows at a time.
+    """
     columns = columns or SEQUENCE
     keys = list(keys)
-    filled = carry(with_chunk(df), columns, keys).fillna(SST_FILL_C, subset=columns)
+    filled = carry(with_chunk(df).select(*keys, DAY, CHUNK, *columns), columns, keys).fillna(SST_FILL_C, subset=columns)
+    filled = settle(filled, "filled")
     step = F.struct(*[F.col(c) for c in columns])
     window = chunk_window(keys, [DAY]).rowsBetween(-length, -1)
     out = over_rows(

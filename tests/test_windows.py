@@ -105,6 +105,7 @@ def test_sequences_stay_inside_their_split(panel):
     assert got.count() == expected
     assert got.filter(F.size("sequence") != 30).count() == 0
     assert {r[0] for r in got.select(STATION).distinct().collect()} <= {"HOT", "SPARSE"}
+    assert all("skyledger-filled" in f for f in got.inputFiles())
 
 
 def test_short_history_is_padded_with_its_first_row(spark, panel):
