@@ -1,6 +1,7 @@
 """Forests as node tables, bootstraps with weights of their own, bags of forests."""
 
 import math
+import os
 import random
 import threading
 from datetime import date, datetime, timedelta
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 from skyledger.operators import learners as L
 from skyledger.operators.bootstrap import bootstrap_weights, poisson_limits
 from skyledger.operators.lagged import lagged_moments, lagged_ridge
+from skyledger.operators.lineage import settle
 from skyledger.operators.nodes import depth, node_importances, node_table, with_node_scores
 from skyledger.operators.rolling import sequences
 from skyledger.operators.splits import SmallSplit
 from skyledger.operators.timing import event_rates
+from skyledger.plans import training
 from skyledger.plans.chips import fuse_chips
+from skyledger.schema import FEATURES, SEQUENCE
 from skyledger.sources.writers import load_models, save_models
 
 X = ["a", "b", "c"]
@@ -126,6 +130,37 @@ def test_a_bag_averages_its_forests_and_survives_saving(spark, rows, tmp_path):
     assert again["threshold"] == 0.4 and again["models"]["hazard"] is None
 
 
+def test_forests_of_a_bag_share_one_vector(rows, monkeypatch):
+    scaled = rows.select("id", F.col("label").alias("EVENT_LABEL"), *[F.col(c).alias(L.SCALED + c) for c in X])
+    bag, made, transform = L.event_forest(scaled, X, trees=2, bootstraps=2, keys=("id",)), [], VectorAssembler.transform
+    monkeypatch.setattr(VectorAssembler, "transform", lambda self, *args: made.append(1) or transform(self, *args))
+    scored = L.with_probability(scaled, bag, "p")
+    assert len(made) == 1 and scored.columns == [*scaled.columns, "p"]
+
+
+def test_models_that_need_no_other_are_fitted_at_a_time(spark, monkeypatch):
+    """Each waits for the other two; what one of them writes is deleted with the run."""
+    together, written = threading.Barrier(3), []
+
+    class Met(Exception):
+        pass
+
+    def met(*args, **options):
+        written.append(settle(spark.range(1), "met").inputFiles()[0])
+        together.wait(60)
+        raise Met
+
+    monkeypatch.setattr(L, "hazard_forest", met)
+    monkeypatch.setattr(training, "lagged_ridge", met)
+    monkeypatch.setattr(training, "train_event_model", met)
+    columns = dict.fromkeys([*FEATURES, *SEQUENCE, "RISK", "EVENT_LABEL", "EVENT_LABEL_AVAILABLE"])
+    days = spark.range(400).select(
+        F.lit("A").alias("City_ID"), F.expr("date_add(date'2001-01-01', int(id))").alias("Date"), *[(F.col("id") % 7).cast("double").alias(c) for c in columns])
+    with pytest.raises(Met):
+        training.train(days, trees=2)
+    assert len(written) == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in written)
+
+
 @pytest.mark.parametrize("length", [30, 3])
 def test_lagged_ridge_equals_the_fit_on_windows(spark, length):
     """Series that cross chunks, are cut by splits, or are too short for a window; a column that follows from others."""
