@@ -130,6 +130,14 @@ def test_a_bag_averages_its_forests_and_survives_saving(spark, rows, tmp_path):
     assert again["threshold"] == 0.4 and again["models"]["hazard"] is None
 
 
+def test_contributions_take_the_sum_of_a_row_once(spark, capsys):
+    df = spark.createDataFrame([(1.0, 3.0, None), (0.0, -1.0, 0.0)], "a double, b double, c double")
+    shares = df.select(L.contributions(X, [0.5, 0.25, 0.25]).alias("shares"))
+    assert [r[0] for r in shares.collect()] == [[0.4, 0.6, 0.0], [0.1, 0.1, 0.1]]
+    shares.explain()
+    assert "/ aggregate(" not in capsys.readouterr().out
+
+
 def test_forests_of_a_bag_share_one_vector(rows, monkeypatch):
     scaled = rows.select("id", F.col("label").alias("EVENT_LABEL"), *[F.col(c).alias(L.SCALED + c) for c in X])
     bag, made, transform = L.event_forest(scaled, X, trees=2, bootstraps=2, keys=("id",)), [], VectorAssembler.transform
