@@ -169,6 +169,39 @@ def test_models_that_need_no_other_are_fitted_at_a_time(spark, monkeypatch):
     assert len(written) == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in written)
 
 
+def dated(spark):
+    columns = dict.fromkeys([*FEATURES, *SEQUENCE, "RISK"])
+    return spark.range(400).select(
+        F.lit("A").alias("City_ID"), F.when(F.col("id") != 7, F.expr("date_add(date'2001-01-01', int(id))")).alias("Date"),
+        *[F.when(F.col("id") % 9 != 4, (F.col("id") % 7).cast("double")).alias(c) for c in columns],
+        (F.col("id") % 2).cast("double").alias("EVENT_LABEL"), F.lit(1).alias("EVENT_LABEL_AVAILABLE"))
+
+
+def test_a_written_panel_is_not_written_again(spark, monkeypatch):
+    """Only the split of each day is; the rows are those of a panel that was not written, the one without a day among them."""
+    days, written = dated(spark), []
+    monkeypatch.setattr(training, "settle", lambda df, name: written.append((name, df.columns)) or settle(df, name))
+    once, again = (training.split_panel(days, w) for w in (True, False))
+    assert written == [("days", ["Date", "split"]), ("split", again.columns)]
+    assert once.columns == again.columns and once.count() == 400
+    assert once.exceptAll(again).count() == again.exceptAll(once).count() == 0
+
+
+def test_the_event_model_scores_later_rows_only(spark, monkeypatch):
+    seen = []
+
+    def noted(df, model, out):
+        seen.extend(sorted(r[0] for r in df.select("split").distinct().collect()))
+        return df.withColumn(out, F.lit(0.6))
+
+    monkeypatch.setattr(L, "event_forest", lambda *args, **options: None)
+    monkeypatch.setattr(L, "with_probability", noted)
+    panel = dated(spark).filter("Date is not null").fillna(0)
+    found = training.train_event_model(panel, training.Trained(None, None, None, None), 2, ("2001-06-01", "2001-09-01"))
+    assert seen == ["test", "validation"]
+    assert [found[f"event_model_{s}_rows"] for s in ("train", "validation", "test")] == [150, 92, 157]
+
+
 @pytest.mark.parametrize("length", [30, 3])
 def test_lagged_ridge_equals_the_fit_on_windows(spark, length):
     """Series that cross chunks, are cut by splits, or are too short for a window; a column that follows from others."""
