@@ -1,6 +1,8 @@
 """Chunked windows against plain per-station windows, with one station holding most rows."""
 
 import random
+import re
+import time
 from datetime import date, timedelta
 
 import pytest
@@ -8,8 +10,11 @@ from pyspark.sql import Window, functions as F
 
 from skyledger.operators import rolling as R
 from skyledger.operators.chunks import CHUNK, COPY, carry, join_by_station, with_chunk, with_neighbours
+from skyledger.operators.lineage import CLEANUP, settle
 from skyledger.operators.target import drought_index
-from skyledger.schema import DAY, STATION
+from skyledger.plans.assemble import assemble
+from skyledger.plans.features import feature_panel
+from skyledger.schema import DAY, FEATURES, STATION
 
 SCHEMA = "City_ID string, Date date, TMAX double, TMIN double, PRCP double"
 
@@ -123,3 +128,35 @@ def test_join_by_station_keeps_rows(spark, panel):
     got = join_by_station(panel, table, "left")
     assert got.count() == panel.count()
     assert got.filter("k = 1").count() == panel.filter("City_ID = 'HOT'").count()
+
+
+def test_the_last_stage_of_the_panel_is_short_enough_to_be_compiled(spark, panel, capsys):
+    """The JVM does not compile methods over 8,000 bytes."""
+    labelled = assemble(panel).withColumns({
+        "EVENT_LABEL": F.lit(1.0), "EVENT_LABEL_AVAILABLE": F.lit(0), "EVENT_TYPE": F.lit("a"), "EVENT_DISTANCE_KM": F.col("TMAX")})
+    found = feature_panel(labelled.filter("City_ID <> 'HOT'"))
+    assert {dict(found.dtypes)[c] for c in FEATURES} == {"double"}
+    missing = found.filter(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in FEATURES))
+    assert missing.isEmpty() and not found.filter("WET_BULB = 0").isEmpty()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found.select("*").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, panel):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    rows = panel.repartition(7, "TMAX").groupBy(STATION).agg(F.sum("PRCP").alias("rain"))
+    found = settle(rows, "few")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and found.count() == 5
+    assert spark.conf.get(CLEANUP, None) == setting
