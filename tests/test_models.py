@@ -75,6 +75,30 @@ def test_a_null_goes_to_the_right(spark):
     assert {r["id"]: r["p"] for r in with_node_scores(df, nodes, ["x"], ["id"], "p").collect()} == {1: 0.1, 2: 0.1, 3: 0.9, 4: 0.9}
 
 
+def test_the_depth_of_a_small_forest_needs_no_job_a_level(spark, rows, forest, monkeypatch):
+    nodes = settle(node_table(spark, forest), "nodes")
+    levels = max(t.depth for t in forest.trees)
+    with monkeypatch.context() as m:
+        m.setattr(type(nodes), "isEmpty", lambda self: pytest.fail("a job for a level"))
+        assert depth(nodes) == levels > 2
+        assert depth(nodes.filter("feature IS NULL AND node = 0")) == 0
+        few = {r["id"]: r["p"] for r in with_node_scores(rows, nodes, X, ["id"], "p").collect()}
+    monkeypatch.setattr("skyledger.operators.nodes.MOST_NODES", 1)
+    assert depth(nodes) == levels
+    assert {r["id"]: r["p"] for r in with_node_scores(rows, nodes, X, ["id"], "p").collect()} == pytest.approx(few, abs=1e-12)
+
+
+def test_trees_of_any_numbers_keep_their_own_nodes(spark):
+    """Tree 2 has more nodes than tree 0 and there is no tree 1: places over all trees do not meet."""
+    nodes = spark.createDataFrame([
+        (0, 0, 0, 1.0, 1, 2, 0.5, 0.1, 4.0), (0, 1, None, None, None, None, 0.1, None, 2.0), (0, 2, None, None, None, None, 0.2, None, 2.0),
+        (2, 0, 0, 2.0, 1, 4, 0.5, 0.1, 4.0), (2, 1, 0, 1.0, 2, 3, 0.5, 0.1, 4.0), (2, 2, None, None, None, None, 0.3, None, 2.0),
+        (2, 3, None, None, None, None, 0.5, None, 2.0), (2, 4, None, None, None, None, 0.9, None, 2.0)], NODES)
+    df = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 2.5)], "id int, x double")
+    found = {r["id"]: r["p"] for r in with_node_scores(df, nodes, ["x"], ["id"], "p").collect()}
+    assert depth(nodes) == 2 and found == pytest.approx({1: 0.2, 2: 0.35, 3: 0.55}, abs=1e-12)
+
+
 def test_a_draw_takes_few_hashes(spark, capsys):
     df = spark.range(10).select(F.col("id").alias("key"), (F.col("id") % 2).cast("double").alias("y"))
     bootstrap_weights(df, "y", ["key"], 3, 5).explain()
