@@ -256,6 +256,12 @@ def test_lagged_moments_make_no_windows(spark, capsys):
         lagged_ridge(df, ["TAVG", "SST"])
 
 
+def test_forests_write_no_checkpoint_of_the_nodes_of_rows(rows):
+    scaled = rows.select("id", F.col("label").alias("EVENT_LABEL"), F.col("label").alias("RISK"), *[F.col(c).alias(L.SCALED + c) for c in X])
+    bag = L.event_forest(scaled, X, trees=2, bootstraps=2, keys=("id",))
+    assert [L.forest_of(m).getCheckpointInterval() for m in (*bag.models, L.hazard_forest(scaled, X, trees=2))] == [-1, -1, -1]
+
+
 def chips_and_rates(spark, days: int, seed: int = 4):
     """Two sources of evidence, each with its own noise, over chips that lie evenly over ``days``."""
     rng = random.Random(seed)
