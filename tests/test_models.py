@@ -256,6 +256,16 @@ def test_lagged_moments_make_no_windows(spark, capsys):
         lagged_ridge(df, ["TAVG", "SST"])
 
 
+def test_lagged_rows_are_few_enough_fields_for_whole_stage_code(spark, capsys):
+    df = spark.createDataFrame([("A", "all", date(2000, 1, 1), *[1.0] * 5)], "City_ID string, split string, Date date, " + ", ".join(f"{c} double" for c in SEQUENCE))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lagged_moments(df, SEQUENCE, 30).explain()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "*" in next(line for line in capsys.readouterr().out.splitlines() if "Generate posexplode" in line)
+
+
 def test_forests_write_no_checkpoint_of_the_nodes_of_rows(rows):
     scaled = rows.select("id", F.col("label").alias("EVENT_LABEL"), F.col("label").alias("RISK"), *[F.col(c).alias(L.SCALED + c) for c in X])
     bag = L.event_forest(scaled, X, trees=2, bootstraps=2, keys=("id",))
